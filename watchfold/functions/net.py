@@ -41,7 +41,7 @@ def in_blocks(ip: Column, blocks: list[str]) -> Column:
 def block_low_high(c: Column) -> tuple[Column, Column]:
     """Bounds of a block held in a column, with the prefix length optional."""
     low, bits = block_key(c)
-    span = F.shiftleft(F.lit(1).cast("bigint"), (32 - bits).cast("int"))
+    span = F.call_function("shiftleft", F.lit(1).cast("bigint"), (32 - bits).cast("int"))
     return low * span, low * span + span - 1
 
 
@@ -50,7 +50,7 @@ def block_key(c: Column) -> tuple[Column, Column]:
     bits = F.coalesce(F.get(F.split(c, "/"), F.lit(1)).try_cast("int"), F.lit(32))
     addr = ipv4(F.get(F.split(c, "/"), F.lit(0)))
     ok = bits.between(0, 32)
-    return F.when(ok, F.shiftright(addr, 32 - bits)), F.when(ok, bits)
+    return F.when(ok, F.call_function("shiftright", addr, (32 - bits).cast("int"))), F.when(ok, bits)
 
 
 def is_subset(c: Column, block: str) -> Column:

@@ -9,6 +9,7 @@ from ..functions import ids
 from ..functions.fingerprints import object_json_fingerprint
 from ..sources.rules import Rule, rule_objects_json
 from . import normalize
+from .barrier import once
 from .rules import rule_lookup
 from .skew import chunk_number, first_per_key, salted_join
 
@@ -109,12 +110,11 @@ def append_objects(bundles: DataFrame, more: Column) -> DataFrame:
 
 def explode_for_merge(bundles: DataFrame, group: Column, order: list[str]) -> DataFrame:
     """Object rows with group, bundle, order, position, type and fingerprint."""
-    return bundles.select(
+    rows = bundles.select(
         group.alias("group_key"), "bundle_id", *order, F.posexplode("objects").alias("pos", "object")
-    ).withColumns({
-        "type": F.get_json_object("object", "$.type"),
-        "fingerprint": object_json_fingerprint(F.col("object")),
-    })
+    )
+    return once(rows, "fingerprint", object_json_fingerprint(F.col("object"))).withColumn(
+        "type", F.get_json_object("object", "$.type"))
 
 
 def consolidate(objects: DataFrame, order: list[str], keep_first_whole: bool = False) -> DataFrame:

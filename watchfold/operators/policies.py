@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from .filters import all_of, any_of
+from .rules import SEPARATOR
 
 
 @dataclass(frozen=True)
@@ -144,10 +145,11 @@ def kernel_fields(payload: Column) -> dict[str, Column]:
 def tag_policies(events: DataFrame, policies: list[Policy], function: Column,
                  fields: dict[str, Column]) -> DataFrame:
     """Events selected by at least one policy, with the array ``policies``."""
-    names = F.array_compact(F.array(*[
+    names = F.concat_ws(SEPARATOR, *[
         F.when(policy_column(p, function, fields), F.lit(p.name)) for p in policies
-    ]))
-    return events.withColumn("policies", names).where(F.size("policies") > 0)
+    ])
+    hit = events.withColumn("_names", names).where("_names != ''")
+    return hit.withColumn("policies", F.split("_names", SEPARATOR)).drop("_names")
 
 
 def in_block_table(rows: DataFrame, ip: str, blocks: DataFrame, block: str) -> DataFrame:

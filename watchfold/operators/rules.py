@@ -221,24 +221,35 @@ def rule_column(rule: Rule, layout: str = "flat", observation: int = 0) -> Colum
     return any_of([all_of([predicate_column(p, layout) for p in g]) for g in groups])
 
 
-def matched_keys(rules: list[Rule], layout: str = "flat") -> Column:
-    """Array of the keys of all rules a row satisfies, in catalogue order.
+SEPARATOR = "\x1f"
+
+
+def matched_text(rules: list[Rule], layout: str = "flat") -> Column:
+    """Keys of all rules a row satisfies, in catalogue order, as one text.
 
-    One expression over the row: no join, no shuffle. Long catalogues are built
-    in chunks so a generated method stays small.
+    ``concat_ws`` skips nulls and is generated code; an array filter here would
+    be interpreted, and every predicate below it with it. Long catalogues are
+    built in chunks so a generated method stays small.
     """
-    none = F.array().cast("array<string>")
     parts = [
-        F.array_compact(F.array(*[
+        F.concat_ws(SEPARATOR, *[
             F.when(rule_column(r, layout), F.lit(r.key)) for r in rules[i:i + CHUNK]
-        ])) for i in range(0, len(rules), CHUNK)
+        ]) for i in range(0, len(rules), CHUNK)
     ]
-    return F.concat(*parts) if len(parts) > 1 else (parts[0] if parts else none)
+    return F.concat_ws(SEPARATOR, *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def matched_keys(rules: list[Rule], layout: str = "flat") -> Column:
+    """Array of the keys of all rules a row satisfies; no join, no shuffle."""
+    text = matched_text(rules, layout)
+    return F.when(text != "", F.split(text, SEPARATOR)).otherwise(
+        F.array().cast("array<string>"))
 
 
 def match_rules(logs: DataFrame, rules: list[Rule], layout: str = "flat") -> DataFrame:
     """Rows that satisfy at least one rule, with the array ``matches``."""
-    return logs.withColumn("matches", matched_keys(rules, layout)).where(F.size("matches") > 0)
+    hit = logs.withColumn("_matched", matched_text(rules, layout)).where("_matched != ''")
+    return hit.withColumn("matches", F.split("_matched", SEPARATOR)).drop("_matched")
 
 
 def rule_lookup(rules: list[Rule], attribute: str) -> Column:
@@ -250,7 +261,8 @@ def rule_lookup(rules: list[Rule], attribute: str) -> Column:
 
 def match_rows(logs: DataFrame, rules: list[Rule], layout: str = "flat") -> DataFrame:
     """One row per (log, rule) match with rule and indicator ids."""
-    hit = match_rules(logs, rules, layout).withColumn("key", F.explode("matches")).drop("matches")
+    text = F.nullif(matched_text(rules, layout), F.lit(""))
+    hit = logs.select("*", F.explode(F.split(text, SEPARATOR)).alias("key"))
     return hit.withColumns({
         "matched_rule_id": F.element_at(rule_lookup(rules, "rule_id"), F.col("key")),
         "indicator_id": F.element_at(rule_lookup(rules, "indicator_id"), F.col("key")),
@@ -268,7 +280,7 @@ def gate_by_function(logs: DataFrame, predicates: DataFrame, function: str = "fu
     """
     rules = predicates.select("key", F.col("function_name").alias("_fn"), "regex")
     return logs.join(rules, (F.col(function) == F.col("_fn")) &
-                     F.col("command_line").rlike(F.col("regex")), "inner").drop("_fn", "regex")
+                     F.rlike(F.col("command_line"), F.col("regex")), "inner").drop("_fn", "regex")
 
 
 def match_counts(matched: DataFrame) -> DataFrame:

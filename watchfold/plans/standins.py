@@ -13,14 +13,21 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import times
+from ..operators.barrier import once
 from ..session import tune
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table by name; plain timestamps are taken as UTC."""
     tune(spark)
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return utc(df)
+    return spread(utc(spark.read.parquet(f"{folder}/{name}.parquet")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of one small file. A table with at least one
+    partition per core is left as it is, so nothing is shuffled at size."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def utc(df: DataFrame) -> DataFrame:
@@ -136,10 +143,9 @@ def kernel_long(ev: DataFrame) -> DataFrame:
         "action": F.when(~is_exec, F.lit("KPROBE_ACTION_POST")),
         "policy_name": F.when(~is_exec, text("policy-", kind)),
     }, schemas.KERNEL_PAYLOAD)
-    return ev.select(
-        F.col("event_id"), F.col("time_text").alias("time"), F.col("node").alias("node_name"),
-        F.when(is_exec, F.lit("process_exec")).otherwise(F.lit("process_kprobe")).alias("type"),
-        payload.alias("payload"))
+    return once(ev, "payload", payload, [
+        "event_id", F.col("time_text").alias("time"), F.col("node").alias("node_name"),
+        F.when(is_exec, F.lit("process_exec")).otherwise(F.lit("process_kprobe")).alias("type")])
 
 
 def kernel_wide(ev: DataFrame) -> DataFrame:
@@ -198,7 +204,7 @@ def alerts(ev: DataFrame) -> DataFrame:
         "event": event, "level": F.lit("error"), "message": text(name, ": ", k), "msg": name,
         "time": text(F.substring("time_text", 1, 19), "Z"),
     }, schemas.ALERT)
-    return ev.select("event_id", row.alias("a")).select("event_id", "a.*")
+    return once(ev, "a", row, ["event_id"]).select("event_id", "a.*")
 
 
 def traces(ev: DataFrame) -> DataFrame:
@@ -227,7 +233,7 @@ def traces(ev: DataFrame) -> DataFrame:
                   schemas.TRACE_ARG))),
         "matchedPolicies": F.lit("p"),
     }, schemas.TRACE)
-    return ev.select("event_id", row.alias("t")).select("event_id", "t.*")
+    return once(ev, "t", row, ["event_id"]).select("event_id", "t.*")
 
 
 def rule_alerts(ev: DataFrame) -> DataFrame:
@@ -244,12 +250,11 @@ def rule_alerts(ev: DataFrame) -> DataFrame:
         "fd.name": text("10.0.0.", k),
     }
     fields = F.create_map(*[x for n, v in pairs.items() for x in (F.lit(n), v)])
-    return ev.select(
+    return once(ev, "interesting", fields, [
         "event_id", F.col("time_text").alias("timestamp"), F.col("node").alias("hostname"),
         text("rule ", k % 6).alias("rule"), F.lit("syscall").alias("source"),
         choose(F.col("event_type"), {"error": "Critical"}, "Notice").alias("priority"),
-        F.array(F.lit("container"), F.col("event_type")).alias("tags"),
-        fields.alias("interesting"))
+        F.array(F.lit("container"), F.col("event_type")).alias("tags")])
 
 
 def dns_spans(ev: DataFrame) -> DataFrame:
@@ -270,7 +275,7 @@ def dns_spans(ev: DataFrame) -> DataFrame:
         "latency": k * 1000, "pod_name": F.col("pod"), "namespace": F.col("namespace"),
         "container_id": F.col("container"), "pid": F.col("event_id"), "node_name": F.col("node"),
     }, schemas.DNS_SPAN)
-    return ev.select("event_id", row.alias("d")).select("event_id", "d.*")
+    return once(ev, "d", row, ["event_id"]).select("event_id", "d.*")
 
 
 def upid(c: Column) -> Column:
@@ -299,7 +304,7 @@ def http_spans(ev: DataFrame) -> DataFrame:
         "latency": k * 1000, "pod_name": F.col("pod"), "namespace": F.col("namespace"),
         "container_id": F.col("container"), "pid": F.col("event_id"), "node_name": F.col("node"),
     }, schemas.HTTP_SPAN)
-    return ev.select("event_id", row.alias("h")).select("event_id", "h.*")
+    return once(ev, "h", row, ["event_id"]).select("event_id", "h.*")
 
 
 def page_spans(pages: DataFrame) -> DataFrame:

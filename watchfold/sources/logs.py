@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators.barrier import once
 
 CORRUPT = "_corrupt_record"
 
@@ -31,14 +32,13 @@ def parse_or_drop(df: DataFrame, text: str, schema: T.StructType,
     ``dropped`` of an observation of that name: no second pass.
     """
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    parsed = df.withColumn(
-        "_doc", F.from_json(text, with_corrupt, {"columnNameOfCorruptRecord": CORRUPT})
-    )
+    keep = [c for c in df.columns if c != text]
+    parsed = once(
+        df, "_doc", F.from_json(text, with_corrupt, {"columnNameOfCorruptRecord": CORRUPT}), keep)
     bad = F.col("_doc").isNull() | F.col(f"_doc.{CORRUPT}").isNotNull()
     if observe:
         parsed = parsed.observe(observe, F.count_if(bad).alias("dropped"),
                                 F.count(F.lit(1)).alias("seen"))
-    keep = [c for c in df.columns if c != text]
     return parsed.where(~bad).select(*keep, *[f"_doc.{f.name}" for f in schema.fields])
 
 
@@ -86,8 +86,8 @@ def read_kernel_long(spark: SparkSession, path) -> DataFrame:
 
 def kernel_long_from_text(df: DataFrame) -> DataFrame:
     """Table form, where the payload is JSON text."""
-    parsed = df.withColumn("payload", F.from_json("payload", schemas.KERNEL_PAYLOAD))
-    return drop_init(parsed)
+    keep = [c for c in df.columns if c != "payload"]
+    return drop_init(once(df, "payload", F.from_json("payload", schemas.KERNEL_PAYLOAD), keep))
 
 
 def drop_init(df: DataFrame) -> DataFrame:
@@ -111,9 +111,10 @@ ALERT_NESTED = {
 
 def alerts_from_text(df: DataFrame) -> DataFrame:
     """Alert table rows (five JSON text columns) to structs, one parse each."""
-    return df.select(*[
-        F.from_json(k, ALERT_NESTED[k]).alias(k) if k in ALERT_NESTED else F.col(k)
-        for k in schemas.ALERT_ROOT_KEYS
+    parsed = F.struct(*[F.from_json(k, t).alias(k) for k, t in ALERT_NESTED.items()])
+    rest = [k for k in schemas.ALERT_ROOT_KEYS if k not in ALERT_NESTED]
+    return once(df, "_doc", parsed, rest).select(*[
+        F.col(f"_doc.{k}") if k in ALERT_NESTED else F.col(k) for k in schemas.ALERT_ROOT_KEYS
     ])
 
 
@@ -137,7 +138,7 @@ def read_rule_alerts(spark: SparkSession, path) -> DataFrame:
 def rule_alerts_from_message(df: DataFrame) -> DataFrame:
     doc = F.from_json("message", schemas.RULE_ALERT_MESSAGE)
     return (
-        df.withColumn("_doc", doc)
+        once(df, "_doc", doc, ["timestamp"])
         .where(F.col("_doc").isNotNull())
         .select(
             "timestamp", F.col("_doc.hostname").alias("hostname"), F.col("_doc.rule").alias("rule"),
