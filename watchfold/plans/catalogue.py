@@ -1196,9 +1196,6 @@ def stream_repeats(spark, d):
 @query
 def stream_followed_by(spark, d):
     first, then = _kinds()
-    out = pipelines.followed_by_stream(_event_stream(spark, d), "user_id", "ts", "event_id", first,
-                                       then, 7200, ttl_hours=24 * 365)
-    table = pipelines.drain_to_table(out, "stream-followed-by")
-    # Ends are decided once the watermark has passed them.
-    return table.where(F.col("us") < F.lit(1706572800000000)).select(
-        F.col("row_id").alias("event_id"), F.col("key").cast("bigint").alias("user_id"))
+    ev = _event_stream(spark, d).select("event_id", "user_id", "event_type", "ts")
+    out = pipelines.followed_by_stream(ev, ["user_id"], "ts", first, then, 7200)
+    return pipelines.drain_to_table(out.select("event_id", "user_id"), "stream-followed-by")

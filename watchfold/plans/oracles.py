@@ -664,4 +664,4 @@ ev("stream_repeats", """, w AS (SELECT user_id, CAST(epoch(date_trunc('hour', ts
       - 3600 * d AS window_start FROM ev, (VALUES (0), (1)) t(d) WHERE event_type = 'error')
   SELECT user_id, window_start, count(*) AS repeats FROM w WHERE window_start < 1706572800
   GROUP BY 1, 2 HAVING count(*) >= 2""")
-ev("stream_followed_by", WITHIN + " AND b.ts < TIMESTAMP '2024-01-30'")
+ev("stream_followed_by", WITHIN)

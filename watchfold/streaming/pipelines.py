@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.exact import floor_div
 from ..operators import bundles, normalize, rules as rule_ops
@@ -161,91 +161,32 @@ def observation_and_stream(stream: DataFrame, key: list[str], ts: str, a: Column
     return both.where("has_a AND has_b").select(*key, F.col("w.start").alias("window_start"))
 
 
-class FollowedBy(StatefulProcessor):
-    """Earliest first-observation per key, and ends that wait for it.
+def followed_by_stream(stream: DataFrame, key: list[str], ts: str, first: Column, then: Column,
+                       within_seconds: float, lateness: str = LATENESS) -> DataFrame:
+    """Rows satisfying ``then`` with an earlier ``first`` row of their key, at most
+    ``within_seconds`` before: each row once, as soon as its match is there.
 
-    An end row is decided once the watermark has passed its time, by which all
-    rows before it have arrived, so the result does not depend on arrival order.
-    With a time span only starts that can still be reached are kept.
+    A left-semi stream–stream join, so the state is Spark's own and is dropped
+    once the watermark is out of reach. The bucket of the span's length is part
+    of the join key, which spreads a busy key over time; a ``first`` row is
+    repeated in the bucket after its own. A rule without a time span takes the
+    retention as its span, since unbounded state is no option on a stream.
     """
-
-    def __init__(self, within_us: int | None, ttl_ms: int):
-        self.within_us = within_us
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.starts = handle.getListState("starts", "us bigint", self.ttl_ms)
-        self.ends = handle.getListState("ends", "us bigint, row_id bigint", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timer_values):
-        import pandas as pd
-
-        starts, ends = [], []
-        for pdf in rows:
-            us = pdf["us"].astype("int64")
-            starts += [(int(u),) for u in us[pdf["is_first"]]]
-            ends += [(int(u), int(r)) for u, r in zip(us[pdf["is_then"]],
-                                                      pdf["row_id"][pdf["is_then"]])]
-        old = list(self.starts.get()) if self.starts.exists() else []
-        if starts:
-            merged = sorted({(int(s[0]),) for s in old} | set(starts))
-            if self.within_us is None:
-                merged = merged[:1]
-            self.starts.put(merged)
-        if ends:
-            self.ends.appendList(ends)
-            for due in sorted({e[0] // 1000 + 1 for e in ends}):
-                self.handle.registerTimer(due)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info):
-        import pandas as pd
-
-        now_us = expired_timer_info.getExpiryTimeInMs() * 1000
-        starts = sorted(int(s[0]) for s in self.starts.get()) if self.starts.exists() else []
-        waiting = [(int(e[0]), int(e[1])) for e in self.ends.get()] if self.ends.exists() else []
-        due = [e for e in waiting if e[0] < now_us]
-        rest = [e for e in waiting if e[0] >= now_us]
-        out = []
-        for us, row_id in due:
-            reach = [s for s in starts if s < us and (
-                self.within_us is None or us - s <= self.within_us)]
-            if reach:
-                out.append((key[0], us, row_id))
-        if rest:
-            self.ends.put(rest)
-        else:
-            self.ends.clear()
-        if self.within_us is not None and starts:
-            kept = [(s,) for s in starts if s >= now_us - self.within_us]
-            if kept:
-                self.starts.put(kept)
-            else:
-                self.starts.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["key", "us", "row_id"])
-
-    def close(self) -> None:
-        pass
-
-
-def followed_by_stream(stream: DataFrame, key: str, ts: str, row_id: str, first: Column,
-                       then: Column, within_seconds: float | None = None,
-                       lateness: str = LATENESS, ttl_hours: float = 24) -> DataFrame:
-    """``A FOLLOWEDBY B`` per key on a stream, optionally within a time span."""
-    rows = (
-        stream.where(first | then).withWatermark(ts, lateness)
-        .select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"),
-                F.unix_micros(ts).alias("us"), F.col(row_id).cast("bigint").alias("row_id"),
-                F.coalesce(first, F.lit(False)).alias("is_first"),
-                F.coalesce(then, F.lit(False)).alias("is_then"))
+    width = int(within_seconds * 1_000_000)
+    bucket = floor_div(F.unix_micros(F.col(ts)), width)
+    ends = stream.where(then).withWatermark(ts, lateness).withColumn("_bucket", bucket)
+    starts = stream.where(first).select(
+        *[F.col(k).alias(f"_a_{k}") for k in key], F.col(ts).alias("_a_ts")
+    ).withWatermark("_a_ts", lateness)
+    own = floor_div(F.unix_micros("_a_ts"), width)
+    starts = starts.withColumn("_a_bucket", F.explode(F.array(own, own + 1)))
+    condition = (
+        (F.col("_bucket") == F.col("_a_bucket")) & (F.col("_a_ts") < F.col(ts))
+        & (F.col("_a_ts") >= F.col(ts) - F.make_interval(secs=F.lit(within_seconds)))
     )
-    within = None if within_seconds is None else int(within_seconds * 1_000_000)
-    return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=FollowedBy(within, int(ttl_hours * 3_600_000)),
-        outputStructType="key string, us bigint, row_id bigint",
-        outputMode="Append", timeMode="EventTime")
+    for k in key:
+        condition = condition & (F.col(k) == F.col(f"_a_{k}"))
+    return ends.join(starts, condition, "left_semi").drop("_bucket")
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str, fmt: str = "parquet",
