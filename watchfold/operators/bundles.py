@@ -108,34 +108,38 @@ def append_objects(bundles: DataFrame, more: Column) -> DataFrame:
 
 # --- merging -------------------------------------------------------------------------
 
-def explode_for_merge(bundles: DataFrame, group: Column, order: list[str]) -> DataFrame:
+def explode_for_merge(grouped: DataFrame, order: list[str]) -> DataFrame:
     """Object rows with group, bundle, order, position, type and fingerprint."""
-    rows = bundles.select(
-        group.alias("group_key"), "bundle_id", *order, F.posexplode("objects").alias("pos", "object")
-    )
+    rows = grouped.select(
+        "group_key", "bundle_id", *order, F.posexplode("objects").alias("pos", "object"))
     return once(rows, "fingerprint", object_json_fingerprint(F.col("object"))).withColumn(
         "type", F.get_json_object("object", "$.type"))
 
 
-def consolidate(objects: DataFrame, order: list[str], keep_first_whole: bool = False) -> DataFrame:
+def consolidate(bundles: DataFrame, group: Column, order: list[str],
+                keep_first_whole: bool = False) -> DataFrame:
     """One merged bundle per group, as object rows.
 
-    The group's first bundle (by ``order``) gives the bundle id; of objects that
-    are equal up to id and dates only the first stays. Equality is a hash key,
-    so this is one grouping instead of comparing every object with every other,
-    and repeats go before the shuffle. Rows stay tall: a rule can own a third of
-    all bundles, and no list over a group is ever built (see ``bundle_parts``).
+    ``bundles`` has bundle_id, objects (JSON texts) and the ``order`` columns.
+    The group's first bundle gives the bundle id; of objects that are equal up
+    to id and dates only the first stays. Equality is a hash key, so this is one
+    grouping instead of comparing every object with every other, and repeats go
+    before the shuffle. Rows stay tall: a rule can own a third of all bundles,
+    and no list over a group is ever built (see ``bundle_parts``).
 
     ``keep_first_whole`` also keeps repeats inside the first bundle.
     """
+    grouped = bundles.select(group.alias("group_key"), "bundle_id", *order, "objects")
+    objects = explode_for_merge(grouped, order)
     position = [F.col(c).asc() for c in [*order, "bundle_id", "pos"]]
     kept = first_per_key(objects, ["group_key", "type", "fingerprint"], position)
-    first = F.struct(*order, "bundle_id")
-    heads = objects.groupBy("group_key").agg(F.min(first).alias("_head")).select(
-        "group_key", F.col("_head.bundle_id").alias("merged_id"))
+    heads = grouped.groupBy("group_key").agg(
+        F.min(F.struct(*order, "bundle_id")).alias("_head")
+    ).select("group_key", F.col("_head.bundle_id").alias("merged_id"))
     if keep_first_whole:
-        whole = salted_join(objects, heads, ["group_key"], "inner", ["bundle_id", "pos"])
-        firsts = whole.where(F.col("bundle_id") == F.col("merged_id"))
+        first_rows = salted_join(grouped, heads, ["group_key"], "inner", ["bundle_id"]).where(
+            F.col("bundle_id") == F.col("merged_id"))
+        firsts = explode_for_merge(first_rows, [*order, "merged_id"])
         later = salted_join(kept, heads, ["group_key"], "inner", ["fingerprint"]).where(
             F.col("bundle_id") != F.col("merged_id"))
         return firsts.unionByName(later)
@@ -144,13 +148,13 @@ def consolidate(objects: DataFrame, order: list[str], keep_first_whole: bool = F
 
 def consolidate_by_rule(bundles: DataFrame, order: list[str], rule: str = "rule_id",
                         **kw) -> DataFrame:
-    return consolidate(explode_for_merge(bundles, F.col(rule), order), order, **kw)
+    return consolidate(bundles, F.col(rule), order, **kw)
 
 
 def consolidate_by_process(bundles: DataFrame, order: list[str], **kw) -> DataFrame:
     """Grouped by the id of each bundle's first object."""
     first = F.get_json_object(F.get("objects", F.lit(0)), "$.id")
-    return consolidate(explode_for_merge(bundles, first, order), order, **kw)
+    return consolidate(bundles, first, order, **kw)
 
 
 def bundle_parts(merged: DataFrame, order: list[str], size: int = 1000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .skew import salted_join
 
 # Fixed values -----------------------------------------------------------------
 EXPORT_EVENT_SET = ["process_kprobe", "process_exec"]
@@ -161,13 +162,15 @@ def rule_binding(df: DataFrame, namespace: str = "namespace", alert: str = "aler
     )
 
 
-def http_endpoints(spans: DataFrame, pod_dim: DataFrame, pod: str = "pod") -> DataFrame:
+def http_endpoints(spans: DataFrame, pod_dim: DataFrame, pod: str = "pod",
+                   salt_by: list[str] | None = None) -> DataFrame:
     """Source and destination of a span from the side that traced it.
 
     ``pod_dim(ip, pod_of_ip)`` names remote addresses that are pods; an unknown
     address keeps its IP. Spans without one of the two ends are rejected.
     """
-    named = spans.join(pod_dim, spans["remote_addr"] == pod_dim["ip"], "left").drop("ip")
+    by_ip = pod_dim.select(F.col("ip").alias("remote_addr"), "pod_of_ip")
+    named = salted_join(spans, by_ip, ["remote_addr"], "left", salt_by or [pod, "req_path"])
     remote_pod = F.coalesce("pod_of_ip", F.lit(""))
     known = remote_pod != ""
     remote = F.when(known, remote_pod).otherwise(F.col("remote_addr"))

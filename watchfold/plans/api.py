@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import baseline, bundles, context, filters, normalize, rules as rule_ops
-from ..sources import logs, sinks
+from ..operators import bundles, context, filters, normalize, rules as rule_ops
+from ..operators.skew import salted_join
+from ..sources import sinks
 from ..sources.rules import CORE_RULES, Rule
 
 # Filter keys a table accepts, and the row limit without one.
@@ -39,11 +40,24 @@ def newest(df: DataFrame, order_by: str, limit: int = DEFAULT_LIMIT,
 def query_table(spark: SparkSession, root: str, table: str,
                 filters_: dict[str, object] | None = None,
                 limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """One of the eight readable result tables."""
+    """Newest rows of one of the eight readable result tables.
+
+    Rows of a newer date come before all rows of an older one, so only as many
+    of the newest date partitions are read as hold ``limit`` matching rows.
+    """
     if table not in ALLOWED_FILTERS:
         raise KeyError(table)
-    df = sinks.read_table(spark, root, table).drop(sinks.DATE)
-    return newest(df, schemas.RESULT_TABLES[table][1], limit, filters_, ALLOWED_FILTERS[table])
+    df = sinks.read_table(spark, root, table)
+    kept = filters.equality_filters(df, filters_ or {}, ALLOWED_FILTERS[table])
+    dates = sinks.table_dates(spark, root, table)
+    n = 1
+    while n < len(dates):
+        recent = kept.where(F.col(sinks.DATE) >= dates[n - 1])
+        if recent.select(F.lit(1)).limit(int(limit)).count() >= int(limit):
+            kept = recent
+            break
+        n *= 4
+    return newest(kept.drop(sinks.DATE), schemas.RESULT_TABLES[table][1], limit)
 
 
 def oldest_after(df: DataFrame, time_column: str, mark, limit: int,
@@ -145,7 +159,8 @@ def scored_bundle(alerts: DataFrame, kernel: DataFrame, dns: DataFrame, http: Da
     rows = alerts_with_ns(alerts).withColumns({
         "_con": F.col("RuntimeK8sDetails")["containerID"],
         "_pid": F.col("BaseRuntimeMetadata")["infectedPID"]})
-    joined = rows.join(execs, ["_con", "_pid"], "left").drop("_con", "_pid")
+    joined = salted_join(rows, execs, ["_con", "_pid"], "left", ["time_ns", "message"]).drop(
+        "_con", "_pid")
     endpoints = filters.http_endpoints(
         http.withColumn("pod", F.concat_ws("/", "namespace", "pod_name")), pod_dim)
     scored = context.scored_alerts(
@@ -158,14 +173,18 @@ def scored_bundle(alerts: DataFrame, kernel: DataFrame, dns: DataFrame, http: Da
 
 def next_batch(spark: SparkSession, root: str, table: str, mark=None, limit: int = 10,
                tie: list[str] | None = None) -> DataFrame:
-    df = sinks.read_table(spark, root, table)
+    """The oldest ``limit`` rows after the mark; earlier dates are not read."""
     time_column = schemas.RESULT_TABLES[table][1]
-    return oldest_after(df, time_column, mark if mark is not None else "1970-01-01T00:00:00Z",
-                        limit, tie or [])
+    df = sinks.read_table(spark, root, table)
+    if mark is None:
+        mark = "1970-01-01T00:00:00Z" if dict(df.dtypes)[time_column] == "string" else 0
+    first = mark[0] if isinstance(mark, (tuple, list)) else mark
+    df = df.where(F.col(sinks.DATE) >= sinks.date_of(first)).drop(sinks.DATE)
+    return oldest_after(df, time_column, mark, limit, tie or [])
 
 
 __all__ = [
     "newest", "query_table", "oldest_after", "preview", "run_script", "transform",
     "kernel_bundles", "alert_bundles", "convert_queue", "merge_by_rule", "alerts_with_ns",
-    "scored_bundle", "next_batch", "logs", "baseline",
+    "scored_bundle", "next_batch",
 ]

@@ -24,10 +24,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of one small file. A table with at least one
-    partition per core is left as it is, so nothing is shuffled at size."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Use several cores on a table that is one small file. A table with a few
+    partitions is left as it is, so nothing is shuffled at size, and so is one
+    too small for the shuffle to pay."""
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, 32)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 64 * 1024 or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def utc(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +22,27 @@ def event_date(df: DataFrame, time_column: str) -> Column:
     return F.date_format(times.ns_to_ts(c), "yyyy-MM-dd")
 
 
-def append_table(df: DataFrame, root: str, table: str) -> None:
+def date_of(value) -> str:
+    """The partition a time belongs to: ISO text or epoch nanoseconds."""
+    if isinstance(value, str):
+        return value[:10]
+    day = datetime.fromtimestamp(int(value) // 1_000_000_000, timezone.utc)
+    return day.strftime("%Y-%m-%d")
+
+
+def append_table(df: DataFrame, root: str, table: str, cluster: bool = True) -> None:
     """Append rows to a result table: its columns only, partitioned by event
-    date, sorted by time inside each file so row groups prune."""
+    date, sorted by time inside each file so row groups prune.
+
+    ``cluster`` cuts the rows into even time ranges first: each task then writes
+    one or two dates, files do not overlap in time, and a date that holds most
+    of the rows is still written by many tasks. Small batches can skip it.
+    """
     schema, time_column = schemas.RESULT_TABLES[table]
     rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
     rows = rows.withColumn(DATE, event_date(rows, time_column))
+    if cluster:
+        rows = rows.repartitionByRange(DATE, time_column)
     (rows.sortWithinPartitions(DATE, time_column)
      .write.mode("append").partitionBy(DATE).parquet(f"{root}/{table}"))
 
@@ -36,6 +53,16 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(with_date).parquet(f"{root}/{table}")
 
 
+def table_dates(spark: SparkSession, root: str, table: str) -> list[str]:
+    """Dates the table has, newest first: one folder listing, no data read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted((n[len(DATE) + 1:] for n in names if n.startswith(DATE + "=")), reverse=True)
+
+
 def append_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
     """Idempotent form for ``foreachBatch``: a retried batch overwrites its own
     folder instead of adding rows twice."""

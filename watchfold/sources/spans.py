@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.skew import salted_join
+from . import sinks
 
 LOOK_BACK_NS = 20 * 60 * 1_000_000_000
 
@@ -38,6 +40,8 @@ def select_spans(df: DataFrame, last_seen_ns: int | None = None, start_ns: int |
         low = None
     if low is not None:
         df = df.where(F.col("time_") >= low if inclusive else F.col("time_") > low)
+        if sinks.DATE in df.columns:
+            df = df.where(F.col(sinks.DATE) >= sinks.date_of(low))
     if namespace:
         df = df.where(F.col("namespace") == namespace)
     if pod:
@@ -54,7 +58,8 @@ def with_process(df: DataFrame, proc_dim: DataFrame) -> DataFrame:
     """upid -> container id, pid and node. Unknown upids keep nulls, except the
     pid, which the upid itself spells (ASID in the first four bytes, pid in the
     next four)."""
-    joined = df.drop("container_id", "pid", "node_name").join(proc_dim, "upid", "left")
+    bare = df.drop("container_id", "pid", "node_name")
+    joined = salted_join(bare, proc_dim, ["upid"], "left", ["time_", "latency"])
     return joined.withColumn("pid", F.coalesce("pid", upid_pid(F.col("upid"))))
 
 
