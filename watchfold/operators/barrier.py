@@ -1,7 +1,10 @@
-"""Expressions that must be evaluated once per row."""
+"""Expressions that must be evaluated once per row, and typed nulls."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +19,13 @@ def once(df: DataFrame, name: str, expression: Column, keep: list[str] | None =
     """
     columns = ["*"] if keep is None else keep
     return df.select(*columns, F.explode(F.array(expression)).alias(name))
+
+
+def null_of(type_name: str) -> Column:
+    """A typed null. Wide projections need hundreds, so they are kept."""
+    return _null(type_name, id(SparkContext._active_spark_context))
+
+
+@lru_cache(maxsize=None)
+def _null(type_name: str, context: int) -> Column:
+    return F.lit(None).cast(type_name)

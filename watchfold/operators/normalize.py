@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import ids, text, times
 from ..functions import fingerprints as fp
+from .barrier import null_of, once
 
 # Names the object format uses for the extension blocks.
 KERNEL_EXTENSION = "x-tetra-ext"
@@ -25,7 +26,8 @@ DNS_NOTE = "Pixie DNS data wrapped in STIX observed-data"
 def _norm(df: DataFrame, **columns: Column) -> DataFrame:
     """Project to the normalised schema; columns not given are null."""
     return df.select(*[
-        columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        (columns[f.name].cast(f.dataType.simpleString()) if f.name in columns
+         else null_of(f.dataType.simpleString())).alias(f.name)
         for f in schemas.NORM.fields
     ])
 
@@ -42,6 +44,11 @@ def normalize_kernel(df: DataFrame, v1_ids: bool = False) -> DataFrame:
     The payload's own ``args`` stay available for rules that ask for them.
     """
     df = df.where(F.col("type").isin("process_exec", "process_kprobe"))
+    has_promoted = "kprobe0" in df.columns
+    if has_promoted:
+        df = once(df, "_k", F.struct(*[
+            F.from_json(F.nullif(f"kprobe{i}", F.lit("null")), schemas.ARG).alias(f"k{i}") for i in range(text.ARG_SLOTS)
+        ]), ["time", "node_name", "type", "payload"])
     payload, node = F.col("payload"), F.col("node_name")
     proc, parent = payload["process"], payload["parent"]
     container = _blank(proc["pod"]["container"]["id"])
@@ -52,10 +59,10 @@ def normalize_kernel(df: DataFrame, v1_ids: bool = False) -> DataFrame:
     else:
         corr = ids.corr_id(container, pid, node, start, kernel=True)
     is_kprobe = F.col("type") == "process_kprobe"
-    if "kprobe0" in df.columns:
+    if has_promoted:
         promoted = {
-            f"k{i}": F.when(is_kprobe, text.arg_text(F.from_json(f"kprobe{i}", schemas.ARG)))
-            .otherwise("") for i in range(text.ARG_SLOTS)
+            f"k{i}": F.when(is_kprobe, text.arg_text(F.col("_k")[f"k{i}"])).otherwise("")
+            for i in range(text.ARG_SLOTS)
         }
     else:
         promoted = {f"k{i}": F.lit("") for i in range(text.ARG_SLOTS)}

@@ -18,6 +18,7 @@ from ..operators import (
     baseline, bundles, context, filters, graph, normalize, policies, sequences,
 )
 from ..operators import rules as rule_ops
+from ..operators.barrier import once
 from ..session import cut_lineage, scratch_dir
 from ..sources import bundles as bundle_io
 from ..sources import logs, sinks, spans, tail
@@ -629,9 +630,9 @@ def _lineitem_bundles(spark, d):
     # A line can occur twice, so the bundle id takes every column of it.
     line = si.text(F.col("l_orderkey"), "-", F.col("l_linenumber"), "-", F.col("l_partkey"), "-",
                    F.col("l_suppkey"))
-    return li.select(
+    return once(li, "objects", F.array(process, kind, kind), [
         si.text("bundle--", line).alias("bundle_id"), (F.col("l_suppkey") % 7).alias("rule_id"),
-        F.col("l_orderkey").alias("seen"), F.array(process, kind, kind).alias("objects"))
+        F.col("l_orderkey").alias("seen")])
 
 
 @query

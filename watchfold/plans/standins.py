@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import times
-from ..operators.barrier import once
-from ..session import tune
+from ..operators.barrier import null_of, once
+from ..session import spread, tune
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,17 +23,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(utc(spark.read.parquet(f"{folder}/{name}.parquet")))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use several cores on a table that is one small file. A table with a few
-    partitions is left as it is, so nothing is shuffled at size, and so is one
-    too small for the shuffle to pay."""
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, 32)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 64 * 1024 or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def utc(df: DataFrame) -> DataFrame:
     plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
@@ -42,7 +31,8 @@ def utc(df: DataFrame) -> DataFrame:
 def typed(fields: dict[str, Column], schema: T.StructType) -> Column:
     """Struct of exactly this type; fields not given are null."""
     return F.struct(*[
-        fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+        (fields[f.name].cast(f.dataType.simpleString()) if f.name in fields
+         else null_of(f.dataType.simpleString())).alias(f.name) for f in schema.fields
     ])
 
 

@@ -82,3 +82,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession, "lineage")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use several cores on a frame that is one or two small files. A frame with
+    partitions enough is left as it is, so nothing is shuffled at size, and so is one
+    too small for the shuffle to pay."""
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, 32)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 64 * 1024 or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

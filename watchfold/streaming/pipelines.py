@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.exact import floor_div
 from ..operators import bundles, normalize, rules as rule_ops
-from ..session import scratch_dir
+from ..session import scratch_dir, spread
 from ..sources import sinks
 from ..sources.rules import Rule
 
@@ -80,7 +80,7 @@ def match_etl(stream: DataFrame, to_norm: Callable[[DataFrame], DataFrame],
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         catalogue = rules()
-        norm = to_norm(batch).persist()
+        norm = to_norm(spread(batch)).persist()
         try:
             sinks.append_batch(normalize.object_rows(norm), root, object_table, batch_id)
             matched = rule_ops.match_rules(norm, catalogue, layout)
