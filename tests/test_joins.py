@@ -155,7 +155,9 @@ def objects_for(rnd, i):
     for j in range(n):
         fields = [("type", rnd.choice(["process", "indicator"])), ("id", f"x--{i}-{j}"),
                   ("created", str(i)), ("pid", rnd.randint(0, 2)),
-                  ("ext", {"b": rnd.randint(0, 1), "a": [1, {"z": 1.50, "y": 2}]})]
+                  rnd.choice([
+                      ("ext", {"b": rnd.randint(0, 1), "a": [1, {"z": 1.50, "y": 2}]}),
+                      ("refs", ["a", "b"][:rnd.randint(1, 2)]), ("rate", 0.5), ("name", "x")])]
         rnd.shuffle(fields)
         out.append(json.dumps(dict(fields), separators=rnd.choice([(",", ":"), (", ", ": ")])))
     return out

@@ -97,9 +97,10 @@ def object_json_fingerprint(json_text: Column) -> Column:
 
     A variant prints keys sorted and numbers one way, but costs twice a plain
     parse, so flat objects without fractions skip it: their own keys are sorted
-    below anyway.
+    below anyway, and their values are plain words.
     """
-    nested = F.instr(F.substring(json_text, 2, 1 << 30), "{") > 0
+    inside = F.substring(json_text, 2, 1 << 30)
+    nested = (F.instr(inside, "{") > 0) | (F.instr(inside, "[") > 0)
     fraction = json_text.rlike(r"[:,\[]\s*-?[0-9]+[.eE]")
     canonical = F.when(nested | fraction, F.try_parse_json(json_text).cast("string")).otherwise(
         json_text)

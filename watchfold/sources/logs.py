@@ -18,15 +18,16 @@ CORRUPT = "_corrupt_record"
 
 
 def _json_lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """Typed JSON lines; lines that are not JSON are dropped."""
-    with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.schema(with_corrupt).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Typed JSON lines; lines that are not JSON objects are dropped."""
+    return parse_or_drop(spark.read.text(path), "value", schema)
 
 
 def parse_or_drop(df: DataFrame, text: str, schema: T.StructType,
                   observe: str | None = None) -> DataFrame:
-    """Parse JSON text in column ``text``; rows that do not parse are dropped.
+    """Parse JSON text in column ``text``; rows that are no JSON object are dropped.
+
+    A document with a field of an unexpected type is kept, with that field null:
+    the parser flags it too, so flagged rows are looked at once more.
 
     With ``observe`` the dropped rows are counted on the way as the metric
     ``dropped`` of an observation of that name: no second pass.
@@ -35,7 +36,9 @@ def parse_or_drop(df: DataFrame, text: str, schema: T.StructType,
     keep = [c for c in df.columns if c != text]
     parsed = once(
         df, "_doc", F.from_json(text, with_corrupt, {"columnNameOfCorruptRecord": CORRUPT}), keep)
-    bad = F.col("_doc").isNull() | F.col(f"_doc.{CORRUPT}").isNotNull()
+    flagged = F.col(f"_doc.{CORRUPT}")
+    broken = ~F.ltrim(flagged).startswith("{") | F.try_parse_json(flagged).isNull()
+    bad = F.col("_doc").isNull() | (flagged.isNotNull() & broken)
     if observe:
         parsed = parsed.observe(observe, F.count_if(bad).alias("dropped"),
                                 F.count(F.lit(1)).alias("seen"))
