@@ -35,7 +35,7 @@ def test_matching_does_not_shuffle(spark, testdata):
 
 
 def test_columns_and_filters_reach_the_scan(spark, testdata):
-    plan = plan_of(QUERIES["high_water_mark"](spark, testdata))
+    plan = plan_of(QUERIES["append_rate"](spark, testdata))
     assert "props" not in plan.split("ReadSchema")[-1]
     plan = plan_of(QUERIES["newest_n"](spark, testdata))
     assert "TakeOrderedAndProject" in plan and "EqualTo(event_type,error)" in plan

@@ -7,6 +7,8 @@ Objects are only printed at the sink, by ``process_object`` and friends.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +25,26 @@ HTTP_NOTE = "Pixie HTTP data wrapped in STIX observed-data"
 DNS_NOTE = "Pixie DNS data wrapped in STIX observed-data"
 
 
-def _norm(df: DataFrame, **columns: Column) -> DataFrame:
-    """Project to the normalised schema; columns not given are null."""
-    return df.select(*[
+def _fields(columns: dict[str, Column]) -> list[Column]:
+    """The normalised columns; those not given are null."""
+    return [
         (columns[f.name].cast(f.dataType.simpleString()) if f.name in columns
          else null_of(f.dataType.simpleString())).alias(f.name)
         for f in schemas.NORM.fields
-    ])
+    ]
+
+
+def _norm(df: DataFrame, **columns: Column) -> DataFrame:
+    return df.select(*_fields(columns))
 
 
 def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+KERNEL_KINDS = ["process_exec", "process_kprobe"]
+
+
 def normalize_kernel(df: DataFrame, v1_ids: bool = False) -> DataFrame:
     """exec and kprobe rows; exit rows carry no object and are left out.
 
@@ -43,13 +52,19 @@ def normalize_kernel(df: DataFrame, v1_ids: bool = False) -> DataFrame:
     there (columns kprobe0..4); the long form has none, which gives ``""``.
     The payload's own ``args`` stay available for rules that ask for them.
     """
-    df = df.where(F.col("type").isin("process_exec", "process_kprobe"))
-    has_promoted = "kprobe0" in df.columns
-    if has_promoted:
+    df = df.where(F.col("type").isin(*KERNEL_KINDS))
+    promoted = None
+    if "kprobe0" in df.columns:
+        promoted = F.col("_k")
         df = once(df, "_k", F.struct(*[
             F.from_json(F.nullif(f"kprobe{i}", F.lit("null")), schemas.ARG).alias(f"k{i}") for i in range(text.ARG_SLOTS)
         ]), ["time", "node_name", "type", "payload"])
-    payload, node = F.col("payload"), F.col("node_name")
+    return _norm(df, **_kernel_columns(F.col("payload"), F.col("node_name"), F.col("time"),
+                                       F.col("type"), promoted, v1_ids))
+
+
+def _kernel_columns(payload: Column, node: Column, time: Column, kind: Column,
+                    promoted_args: Column | None, v1_ids: bool) -> dict[str, Column]:
     proc, parent = payload["process"], payload["parent"]
     container = _blank(proc["pod"]["container"]["id"])
     pid = F.coalesce(proc["pid"], F.lit(-1).cast("bigint"))
@@ -58,18 +73,18 @@ def normalize_kernel(df: DataFrame, v1_ids: bool = False) -> DataFrame:
         corr = ids.corr_id_v1(container, pid, node, start, "kernel")
     else:
         corr = ids.corr_id(container, pid, node, start, kernel=True)
-    is_kprobe = F.col("type") == "process_kprobe"
-    if has_promoted:
+    is_kprobe = kind == "process_kprobe"
+    if promoted_args is not None:
         promoted = {
-            f"k{i}": F.when(is_kprobe, text.arg_text(F.col("_k")[f"k{i}"])).otherwise("")
+            f"k{i}": F.when(is_kprobe, text.arg_text(promoted_args[f"k{i}"])).otherwise("")
             for i in range(text.ARG_SLOTS)
         }
     else:
         promoted = {f"k{i}": F.lit("") for i in range(text.ARG_SLOTS)}
-    seen_at = F.coalesce(F.col("time"), start)
+    seen_at = F.coalesce(time, start)
     ns = times.iso_to_ns(seen_at)
-    return _norm(
-        df, source=F.lit("kernel"), event_ts=times.ns_to_ts(ns), event_ts_ns=ns,
+    return dict(
+        source=F.lit("kernel"), event_ts=times.ns_to_ts(ns), event_ts_ns=ns,
         time_text=seen_at, node=node, pod=_blank(proc["pod"]["name"]),
         namespace=_blank(proc["pod"]["namespace"]), container_id=container, pid=pid,
         command_line=text.command_line(proc["binary"], proc["arguments"]), cwd=proc["cwd"],
@@ -82,7 +97,7 @@ def normalize_kernel(df: DataFrame, v1_ids: bool = False) -> DataFrame:
         children=F.lit(""), corr_id=corr, process_id=ids.process_id(corr),
         observed_id=ids.object_id("observed-data", corr, seen_at, payload["function_name"]),
         dedup_key=F.concat(
-            fp.kernel_fingerprint(payload, is_kprobe), fp.kind_suffix(F.col("type"))),
+            fp.kernel_fingerprint(payload, is_kprobe), fp.kind_suffix(kind)),
     )
 
 
@@ -90,32 +105,36 @@ def normalize_alert(df: DataFrame, v1_ids: bool = False) -> DataFrame:
     """Runtime alerts. The newer form keys on the parent pid and the pod name,
     so that ids meet those of the kernel and span sources; the older form keys
     on the tree's pid and the cloud instance."""
-    base, k8s = F.col("BaseRuntimeMetadata"), F.col("RuntimeK8sDetails")
-    tree = F.col("RuntimeProcessDetails")["processTree"]
-    node = F.col("event")["k8s"]["node"]
+    return _norm(df, **_alert_columns(F.col, v1_ids))
+
+
+def _alert_columns(c: Callable[[str], Column], v1_ids: bool = False) -> dict[str, Column]:
+    base, k8s = c("BaseRuntimeMetadata"), c("RuntimeK8sDetails")
+    tree = c("RuntimeProcessDetails")["processTree"]
+    node = c("event")["k8s"]["node"]
     container = _blank(k8s["containerID"])
     minus = F.lit(-1).cast("bigint")
     if v1_ids:
         pid = F.coalesce(tree["pid"], minus)
         created = base["timestamp"]
-        host = _blank(F.col("CloudMetadata")["instance_id"])
+        host = _blank(c("CloudMetadata")["instance_id"])
         corr = ids.corr_id_v1(container, pid, host, created)
         node, pod = host, _blank(k8s["podName"])
-        seen_at = F.coalesce(F.col("time"), created)
+        seen_at = F.coalesce(c("time"), created)
     else:
         pid = F.coalesce(tree["ppid"], minus)
         pod = F.coalesce(k8s["podName"], F.lit(ids.UNKNOWN_HOST))
-        created = F.coalesce(F.col("time"), F.lit("UnknownTime"))
+        created = F.coalesce(c("time"), F.lit("UnknownTime"))
         corr = ids.corr_id(container, pid, pod, created)
         seen_at = created
-    ns = F.coalesce(times.iso_to_ns(F.col("time")), F.col("event")["timestamp"])
+    ns = F.coalesce(times.iso_to_ns(c("time")), c("event")["timestamp"])
     args = base["arguments"]
-    return _norm(
-        df, source=F.lit("alert"), event_ts=times.ns_to_ts(ns), event_ts_ns=ns,
+    return dict(
+        source=F.lit("alert"), event_ts=times.ns_to_ts(ns), event_ts_ns=ns,
         time_text=seen_at, node=_blank(node), pod=pod, namespace=_blank(k8s["namespace"]),
         container_id=container, pid=pid, command_line=_blank(tree["cmdline"]),
-        cwd=_blank(tree["cwd"]), created_time=created, function_name=_blank(F.col("RuleID")),
-        image_id=_blank(k8s["image"]), flags=_blank(F.col("message")),
+        cwd=_blank(tree["cwd"]), created_time=created, function_name=_blank(c("RuleID")),
+        image_id=_blank(k8s["image"]), flags=_blank(c("message")),
         parent_pid=F.coalesce(tree["ppid"], minus), parent_command_line=_blank(tree["pcomm"]),
         parent_cwd=F.lit(""), grand_parent_pid=F.lit(""),
         k0=_blank(args["capability"]), k1=_blank(args["syscall"]),
@@ -123,31 +142,35 @@ def normalize_alert(df: DataFrame, v1_ids: bool = False) -> DataFrame:
         k3=F.coalesce(base["severity"].cast("string"), F.lit("{}")),
         k4=F.coalesce(base["infectedPID"].cast("string"), F.lit("{}")),
         alert_flags=args["flags"], alert_name=_blank(base["alertName"]),
-        rule_id=_blank(F.col("RuleID")), children=F.coalesce(tree["children"], F.lit("[]")),
+        rule_id=_blank(c("RuleID")), children=F.coalesce(tree["children"], F.lit("[]")),
         corr_id=corr, process_id=ids.process_id(corr),
-        observed_id=ids.object_id("observed-data", corr, seen_at, F.col("RuleID")),
-        dedup_key=fp.alert_fingerprint(base, k8s, F.col("RuntimeProcessDetails")),
+        observed_id=ids.object_id("observed-data", corr, seen_at, c("RuleID")),
+        dedup_key=fp.alert_fingerprint(base, k8s, c("RuntimeProcessDetails")),
     )
 
 
 def normalize_trace(df: DataFrame) -> DataFrame:
     """Syscall traces; nested arguments become one flat map."""
-    seen_at = times.ns_to_iso_millis(F.col("timestamp"))
-    container = _blank(F.col("container.id"))
-    pid = F.coalesce("processId", F.lit(-1).cast("bigint"))
-    host = _blank(F.col("hostName"))
+    return _norm(df, **_trace_columns(F.col))
+
+
+def _trace_columns(c: Callable[[str], Column]) -> dict[str, Column]:
+    seen_at = times.ns_to_iso_millis(c("timestamp"))
+    container = _blank(c("container")["id"])
+    pid = F.coalesce(c("processId"), F.lit(-1).cast("bigint"))
+    host = _blank(c("hostName"))
     corr = ids.corr_id_v1(container, pid, host, seen_at)
-    meta = F.col("metadata.Properties")
-    row = {c: F.col(c) for c in
+    meta = c("metadata")["Properties"]
+    row = {n: c(n) for n in
            ("cgroupId", "containerId", "eventName", "args", "mountNamespace", "pidNamespace")}
-    return _norm(
-        df, source=F.lit("trace"), event_ts=times.ns_to_ts(F.col("timestamp")),
-        event_ts_ns=F.col("timestamp"), time_text=seen_at, node=host,
-        pod=_blank(F.col("kubernetes.podName")),
-        namespace=_blank(F.col("kubernetes.podNamespace")), container_id=container, pid=pid,
-        command_line=_blank(F.col("processName")), cwd=F.lit(""), created_time=seen_at,
-        function_name=_blank(F.col("syscall")), image_id=_blank(F.col("container.image")),
-        flags=F.lit(""), trace_args=text.flatten_trace_args(F.col("args")),
+    return dict(
+        source=F.lit("trace"), event_ts=times.ns_to_ts(c("timestamp")),
+        event_ts_ns=c("timestamp"), time_text=seen_at, node=host,
+        pod=_blank(c("kubernetes")["podName"]),
+        namespace=_blank(c("kubernetes")["podNamespace"]), container_id=container, pid=pid,
+        command_line=_blank(c("processName")), cwd=F.lit(""), created_time=seen_at,
+        function_name=_blank(c("syscall")), image_id=_blank(c("container")["image"]),
+        flags=F.lit(""), trace_args=text.flatten_trace_args(c("args")),
         alert_name=_blank(meta["signatureName"]), rule_id=_blank(meta["signatureID"]),
         interpretation=text.interpretation(
             meta["Category"], meta["Technique"], meta["external_id"]),
@@ -160,20 +183,24 @@ def normalize_trace(df: DataFrame) -> DataFrame:
 
 def normalize_rule_alert(df: DataFrame) -> DataFrame:
     """Rule-engine alerts. Their tty stands in for the pid, which they lack."""
+    return _norm(df, **_rule_alert_columns(F.col))
+
+
+def _rule_alert_columns(c: Callable[[str], Column]) -> dict[str, Column]:
     def field(key):
-        return F.try_element_at(F.col("interesting"), F.lit(key))
+        return F.try_element_at(c("interesting"), F.lit(key))
 
     def word(key):
         return F.coalesce(field(key), F.lit("None"))
 
-    seen_at = F.col("timestamp")
+    seen_at = c("timestamp")
     container = _blank(field("container.id"))
     pid = F.coalesce(field("proc.tty"), F.lit("-1"))
-    host = _blank(F.col("hostname"))
+    host = _blank(c("hostname"))
     corr = ids.corr_id_v1(container, pid, host, seen_at, "rule_alert")
     ns = times.iso_to_ns(seen_at)
-    return _norm(
-        df, source=F.lit("rule_alert"), event_ts=times.ns_to_ts(ns), event_ts_ns=ns,
+    return dict(
+        source=F.lit("rule_alert"), event_ts=times.ns_to_ts(ns), event_ts_ns=ns,
         time_text=seen_at, node=host, pod=_blank(field("k8s.pod.name")),
         namespace=_blank(field("k8s.pod.namespace")), container_id=container,
         pid=pid.try_cast("bigint"), command_line=word("proc.commandline"),
@@ -186,11 +213,11 @@ def normalize_rule_alert(df: DataFrame) -> DataFrame:
         parent_command_line=word("proc.pname"),
         k0=_blank(field("fd.l4proto")), k1=_blank(field("fd.name")),
         k2=_blank(field("fd.type")), k3=_blank(field("evt.res")), k4=_blank(field("user.name")),
-        alert_name=_blank(F.col("priority")), rule_id=_blank(F.col("rule")),
-        interpretation=F.array_join("tags", ", "), children=F.lit(""),
+        alert_name=_blank(c("priority")), rule_id=_blank(c("rule")),
+        interpretation=F.array_join(c("tags"), ", "), children=F.lit(""),
         corr_id=corr, process_id=ids.process_id(corr),
-        observed_id=ids.object_id("observed-data", corr, seen_at, F.col("rule")),
-        dedup_key=fp.rule_alert_fingerprint(F.col("interesting")),
+        observed_id=ids.object_id("observed-data", corr, seen_at, c("rule")),
+        dedup_key=fp.rule_alert_fingerprint(c("interesting")),
     )
 
 
@@ -222,23 +249,45 @@ def source_of(json_text: Column) -> Column:
 def normalize_mixed(lines: DataFrame, column: str = "value") -> DataFrame:
     """A mixed queue of JSON lines: each line to its source's normaliser.
 
-    Lines of no known source and lines that are not JSON give no row.
+    One scan: a line's keys name its source, and it is parsed once, with that
+    source's schema. Lines of no known source and lines that are not JSON give
+    no row, and neither do exit rows.
     """
-    from ..sources import logs
-
-    tagged = lines.select(F.col(column).alias("_line"), source_of(F.col(column)).alias("_src"))
-
-    def of(name, schema):
-        return logs.parse_or_drop(tagged.where(F.col("_src") == name).select("_line"),
-                                  "_line", schema)
-
-    wide = logs.promote_args(of("kernel", schemas.KERNEL_WIDE))
-    return union_sources(
-        normalize_kernel(logs.wide_to_long(wide)),
-        normalize_alert(of("alert", schemas.ALERT)),
-        normalize_trace(of("trace", schemas.TRACE)),
-        normalize_rule_alert(of("rule_alert", schemas.RULE_ALERT)),
+    line, src = F.col("_line"), F.col("_src")
+    tagged = once(lines, "_src", source_of(F.col(column)), [F.col(column).alias("_line")])
+    tagged = tagged.where(src.isNotNull())
+
+    def parsed(name, schema):
+        return F.when(src == name, F.from_json(line, schema)).alias(name)
+
+    docs = once(tagged, "_doc", F.struct(
+        parsed("kernel", schemas.KERNEL_WIDE), parsed("alert", schemas.ALERT),
+        parsed("trace", schemas.TRACE), parsed("rule_alert", schemas.RULE_ALERT)), ["_src"])
+    kernel = F.col("_doc.kernel")
+    slots = once(docs, "_k", F.when(src == "kernel", F.struct(*[
+        F.coalesce(
+            F.from_json(F.nullif(kernel[f"kprobe{i}"], F.lit("null")), schemas.ARG),
+            F.get(kernel["process_kprobe"]["args"], F.lit(i))).alias(f"k{i}")
+        for i in range(text.ARG_SLOTS)])))
+    kind = (
+        F.when(kernel["process_exec"].isNotNull(), "process_exec")
+        .when(kernel["process_exit"].isNotNull(), "process_exit")
+        .otherwise("process_kprobe")
+    )
+    payload = F.coalesce(kernel["process_exec"], kernel["process_kprobe"])
+    rows = slots.where((src != "kernel") | kind.isin(*KERNEL_KINDS))
+
+    def of(name):
+        return lambda field: F.col(f"_doc.{name}")[field]
+
+    norm = (
+        F.when(src == "kernel", F.struct(*_fields(_kernel_columns(
+            payload, kernel["node_name"], kernel["time"], kind, F.col("_k"), False))))
+        .when(src == "alert", F.struct(*_fields(_alert_columns(of("alert")))))
+        .when(src == "trace", F.struct(*_fields(_trace_columns(of("trace")))))
+        .when(src == "rule_alert", F.struct(*_fields(_rule_alert_columns(of("rule_alert")))))
     )
+    return once(rows, "_norm", norm, []).select("_norm.*")
 
 
 # --- objects as JSON text ----------------------------------------------------
