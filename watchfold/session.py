@@ -54,12 +54,9 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
     The cluster names a shared folder in that setting. Only when it is unset
-    (tests, one machine) a local folder is made and set.
+    (tests, one machine) a local folder is made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _local_scratch_base()
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
