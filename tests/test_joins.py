@@ -344,3 +344,36 @@ def test_severity_terms(spark):
     assert score(args="APT update") == 1.3
     assert score(exec_id="unexpected", uid=0, auid=0, tree=False, args="apt", dns=True,
                  http=True) == 8.8
+
+
+def test_follow_pids_and_negation(spark):
+    lineage = spark.createDataFrame(
+        [("a", None, "/bin/sh", 1), ("b", "a", "x", 5), ("c", "b", "x", 6), ("d", None, "y", 7)],
+        "id string, parent_id string, binary string, pid int")
+    ev = spark.createDataFrame([(i, e) for i, e in enumerate("abcdd")], "n int, exec_id string")
+
+    def got(**kw):
+        return sorted(r["n"] for r in policies.followed(ev, lineage, **kw).collect())
+
+    assert got(binaries=policies.SHELL_BINARIES) == [0, 1, 2]
+    assert got(pids=(5,)) == [1, 2]
+    assert got(pids=(0, 1), negated=True) == [3, 4]
+
+
+def test_pid_namespace_selector(spark):
+    from watchfold import schemas
+
+    df = spark.createDataFrame(
+        [(1, "", "/proc/3/root"), (2, "containerd://x", "/proc/3/root/etc"),
+         (3, "containerd://x", "/proc/30/rootx")], "n int, con string, path string")
+    payload = F.from_json(F.to_json(F.struct(
+        F.struct(F.struct(F.struct(F.col("con").alias("id")).alias("container")).alias("pod"))
+        .alias("process"),
+        F.array(F.struct(F.lit(None).cast("string").alias("string_arg")),
+                F.struct(F.col("path").alias("string_arg"))).alias("args"))),
+        schemas.KERNEL_PAYLOAD)
+    df = df.withColumn("payload", payload)
+    policy = next(p for p in policies.POLICIES if p.name == "detect-share-ps-namespace")
+    hit = policies.tag_policies(df, [policy], F.lit("__x64_sys_openat"),
+                                policies.kernel_fields(F.col("payload")))
+    assert [r["n"] for r in hit.collect()] == [2]

@@ -38,7 +38,7 @@ def json_or_self(c: Column) -> Column:
     """Parse if it is JSON, keep the text if not, null for the word ``null``."""
     plain = F.nullif(c, F.lit("null"))
     return F.when(
-        plain.isNotNull(), F.coalesce(F.try_parse_json(plain), F.to_variant_object(F.array(plain)))
+        plain.isNotNull(), F.coalesce(F.try_parse_json(plain), plain.cast("variant"))
     )
 
 

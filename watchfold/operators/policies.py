@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from .filters import all_of, any_of
 from .rules import SEPARATOR
+from .skew import salted_join
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,16 @@ POLICIES = [
         Part("arg0", "Postfix", ("gdb", "strace")),),)),
     Policy("detect-exploit-containerd-sock", "sys_connect", ((
         Part("binary", "Postfix", ("crictl",)),),)),
+    Policy("detect-kubelet-pods-access", "sys_openat", ((
+        Part("arg1", "Postfix", ("token", "/proc/mounts")),
+        Part("binary", "NotIn", (
+            "/usr/bin/kubelet", "/usr/local/sbin/runc", "/usr/local/bin/containerd",
+            "/usr/local/bin/containerd-shim-runc-v2", "/usr/bin/dumb-init",
+            "/nginx-ingress-controller"))),)),
+    Policy("detect-ce-var-log-symlink", "sys_symlinkat", ((Part("arg0", "Prefix", ("/",)),),)),
+    Policy("detect-share-ps-namespace", "sys_openat", ((
+        Part("arg1", "Prefix", tuple(f"/proc/{i}/root" for i in range(1, 21))),
+        Part("pid_ns", "NotIn", ("host_ns",))),)),
 ]
 SHELL_BINARIES = (
     "/usr/bin/sh", "/bin/sh", "/usr/bin/bash", "/bin/bash", "/usr/bin/zsh", "/bin/zsh",
@@ -169,13 +180,22 @@ def in_block_table(rows: DataFrame, ip: str, blocks: DataFrame, block: str) -> D
     return probes.join(keyed, ["_bits", "_net"]).drop("_bits", "_net", "_ip")
 
 
-def followed(events: DataFrame, lineage: DataFrame, binaries: list[str] | tuple[str, ...],
-             exec_id: str = "exec_id") -> DataFrame:
-    """Events whose process, or one of its ancestors, runs one of the binaries.
+def followed(events: DataFrame, lineage: DataFrame, binaries: tuple[str, ...] = (),
+             pids: tuple[int, ...] = (), exec_id: str = "exec_id", negated: bool = False,
+             salt_by: list[str] | None = None) -> DataFrame:
+    """Events whose process, or one of its ancestors, runs one of the binaries or
+    has one of the pids; with ``negated`` the other events.
 
-    ``lineage(id, parent_id, binary)`` has one row per process.
+    ``lineage(id, parent_id, binary, pid)`` has one row per process; ``pid`` is
+    needed only for pids.
     """
     from .graph import descendants_of
 
-    hits = descendants_of(lineage, F.col("binary").isin(list(binaries)))
-    return events.join(hits.select(F.col("id").alias(exec_id)), exec_id, "left_semi")
+    tests = []
+    if binaries:
+        tests.append(F.col("binary").isin(*binaries))
+    if pids:
+        tests.append(F.col("pid").isin(*pids))
+    hits = descendants_of(lineage, any_of(tests)).select(F.col("id").alias(exec_id))
+    salt_by = salt_by or [c for c, t in events.dtypes if "map" not in t and "variant" not in t]
+    return salted_join(events, hits, [exec_id], "left_anti" if negated else "left_semi", salt_by)

@@ -137,7 +137,8 @@ def json_or_self(spark, d):
     v = text.json_or_self(F.col("c"))
     return ev.select(
         "event_id", text.json_or_text(F.col("c")).alias("as_text"),
-        F.try_variant_get(v, "$.k", "bigint").alias("k"), v.isNull().alias("is_null"))
+        F.try_variant_get(v, "$.k", "bigint").alias("k"), v.isNull().alias("is_null"),
+        F.schema_of_variant(v).alias("kind"))
 
 
 @query
@@ -1145,7 +1146,7 @@ def stream_spans(spark, d):
     raw = spark.read.parquet(f"{root}/dns_events").select("time_", "pid")
     objects = spark.read.parquet(f"{root}/dns_objects").select(
         F.col("timestamp").alias("time_"),
-        F.get_json_object("data", "$.objects[0].extensions.x-pixie-dns-ext.pid")
+        F.get_json_object("data", f"$.objects[0].extensions.{normalize.DNS_EXTENSION}.pid")
         .cast("bigint").alias("pid"))
     return raw.withColumn("written", F.lit("raw")).unionByName(
         objects.withColumn("written", F.lit("objects")))

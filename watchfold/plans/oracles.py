@@ -140,7 +140,9 @@ ev("json_or_self", """SELECT event_id,
   CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN 'plain ' || k
     ELSE '{"k":' || k || '}' END AS as_text,
   CASE WHEN event_type NOT IN ('error', 'click') THEN k END AS k,
-  event_type = 'error' AS is_null FROM ev""")
+  event_type = 'error' AS is_null,
+  CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN 'STRING' ELSE 'OBJECT<k: BIGINT>' END AS kind
+  FROM ev""")
 ev("parse_or_drop", "SELECT event_id, k FROM ev WHERE event_type <> 'error'")
 ev("scalar_misc", """, p AS (SELECT *, (k * 257 + user_id) % 65536 AS port0 FROM ev)
   SELECT event_id, pod AS unwrapped, pod AS kept, props AS decoded,
@@ -313,6 +315,8 @@ ker("kernel_policies", f"""SELECT event_id, 'enumerate-service-account' AS polic
     WHERE event_type = 'click' AND k < 20 AND k % 2 = 0
   UNION ALL SELECT event_id, 'detect-sensitive-file-access' FROM ker
     WHERE event_type = 'click' AND k >= 20 AND k < 40 AND k % 2 = 0
+  UNION ALL SELECT event_id, 'detect-share-ps-namespace' FROM ker
+    WHERE event_type = 'view' AND k < 50 AND k % 25 BETWEEN 1 AND 20
   UNION ALL SELECT event_id, 'k8s-api-calls' FROM ker WHERE fn = 'tcp_connect' AND k % 32 < 16
   UNION ALL SELECT event_id, 'monitor-network-activity-outside-cluster-cidr-range' FROM ker
     WHERE fn = 'tcp_connect'""")

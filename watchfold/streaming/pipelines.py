@@ -154,11 +154,14 @@ def repeats_stream(stream: DataFrame, key: list[str], ts: str, condition: Column
 
 
 def observation_and_stream(stream: DataFrame, key: list[str], ts: str, a: Column, b: Column,
-                           window: str, lateness: str = LATENESS) -> DataFrame:
+                           window: str, lateness: str = LATENESS,
+                           either: bool = False) -> DataFrame:
+    """(key, window) in which both observations occurred; with ``either`` one is
+    enough."""
     rows = stream.where(a | b).withWatermark(ts, lateness)
     both = rows.groupBy(*key, F.window(ts, window).alias("w")).agg(
         F.bool_or(a).alias("has_a"), F.bool_or(b).alias("has_b"))
-    return both.where("has_a AND has_b").select(*key, F.col("w.start").alias("window_start"))
+    return both.where("has_a OR has_b" if either else "has_a AND has_b").select(*key, F.col("w.start").alias("window_start"))
 
 
 def followed_by_stream(stream: DataFrame, key: list[str], ts: str, first: Column, then: Column,
