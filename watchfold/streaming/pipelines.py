@@ -31,12 +31,24 @@ def start(writer, interval: str | None) -> StreamingQuery:
 
 
 def drain_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available into Parquet and read that back."""
+    """Run a stream over what is available into Parquet and read that back.
+
+    Every state partition opens stores of its own, so this one-off run takes no
+    more of them than twice the cores. A query that stays up keeps the session's
+    number, which its checkpoint then fixes.
+    """
     spark = stream.sparkSession
     out, checkpoint = scratch_dir(spark, purpose), scratch_dir(spark, purpose + "-checkpoint")
-    query = (stream.writeStream.format("parquet").outputMode(mode)
-             .option("path", out).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
+    key = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(key)
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set(key, str(min(int(configured), 2 * cores)))
+    try:
+        query = (stream.writeStream.format("parquet").outputMode(mode)
+                 .option("path", out).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, configured)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
