@@ -1,9 +1,10 @@
 """Queries of this package by name, and SQL for those that SQL can express."""
 
-from watchfold.llm import exact_dedup, language_id
+from watchfold.llm import exact_dedup, language_id, near_dedup
 
 QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_jaccard_join": near_dedup.op6_jaccard_join,
 }
 ORACLES = {**exact_dedup.SQL}
