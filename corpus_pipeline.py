@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from watchfold.llm.exact_dedup import drop_copies
 from watchfold.llm.language_id import accepted
+from watchfold.llm.near_dedup import one_of_each
+from watchfold.llm.packing import packed_documents
 from watchfold.llm.shared import documents, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,9 +27,19 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return drop_copies(docs).select(COLUMNS)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs).select(COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed_documents(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language ID", known_language),
     ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("best-fit packing", packed),
 ]
 
 #: Language ID is a fitted model, which SQL cannot express; tests/llm holds a brute-force version.

@@ -1,8 +1,9 @@
 """Queries of this package by name, and SQL for those that SQL can express."""
 
-from watchfold.llm import exact_dedup, language_id, near_dedup
+from watchfold.llm import exact_dedup, language_id, near_dedup, packing
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_language_id": language_id.op3_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_jaccard_join": near_dedup.op6_jaccard_join,
