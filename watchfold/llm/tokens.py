@@ -10,7 +10,7 @@ apostrophes, and a text that may hold a special token is one stretch.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,6 @@ import pyarrow.compute as pc
 from watchfold.llm.near_dedup import _BASE, _powers, mix
 
 MOST_KEPT = 1_500_000  # stretches in a worker's table, about 30 bytes each
-LONGEST_KEPT = 64      # bytes of a stretch that is kept
 CHUNK = 1 << 21        # bytes of text in work at a time
 
 OTHER, LETTER, MARK, SPACE, LATIN = range(5)
@@ -54,6 +53,42 @@ def strings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+class Seen:
+    """Stretches met so far: their hashes, sorted, and the number under which each was learned."""
+
+    def __init__(self, fold: np.ndarray | None = None):
+        self.fold = fold
+        self.up, self.down = _powers(_BASE, CHUNK), _powers(pow(_BASE, -1, 1 << 64), CHUNK)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.rows = np.zeros(0, np.int64)
+
+    def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, learn: Callable[[list[str]], None]) -> np.ndarray:
+        """Number of each stretch; ``learn`` is given the new ones, to be numbered in its order."""
+        if len(data) >= len(self.up):
+            grown = 1 << int(len(data)).bit_length()
+            self.up, self.down = _powers(_BASE, grown), _powers(pow(_BASE, -1, 1 << 64), grown)
+        folded = data if self.fold is None else self.fold[data]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * self.up[:len(data)], out=total[1:])
+        key = mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
+        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == unique[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw, s, e = data.tobytes(), start[first[new]].tolist(), end[first[new]].tolist()
+            learn([raw[a:b].decode() for a, b in zip(s, e, strict=True)])
+            numbers = len(self.rows) + np.arange(len(new))
+            self.keys, self.rows = np.insert(self.keys, place[new], unique[new]), np.insert(self.rows, place[new], numbers)
+            place = np.searchsorted(self.keys, unique)
+        return self.rows[place][inverse]
+
+
 class Encoder:
     def __init__(self, path: str, spaced: bool):
         """``spaced``: the vocabulary's words begin with their space (byte-level); otherwise
@@ -65,18 +100,25 @@ class Encoder:
         self.spaced = spaced
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fold = np.arange(256, dtype=np.uint8)
+        fold = np.arange(256, dtype=np.uint8)
         if not spaced:
-            self.fold[ord("A"):ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
-        self.up, self.down = _powers(_BASE, CHUNK), _powers(pow(_BASE, -1, 1 << 64), CHUNK)
+            fold[ord("A"):ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+        self.seen = Seen(fold)
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.seen.clear()
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, self.kind)
 
+    def _learn(self, stretches: list[str]) -> None:
+        found = self._ask(stretches)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), self.kind, int(size.sum()))])
+
     def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where stretches begin."""
         kind = _CLASS[data]
@@ -114,9 +156,6 @@ class Encoder:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, self.kind), np.zeros(n, np.int64)
-        if len(data) >= len(self.up):
-            grown = 1 << int(len(data)).bit_length()
-            self.up, self.down = _powers(_BASE, grown), _powers(pow(_BASE, -1, 1 << 64), grown)
         start = self._starts(data, offsets)
         end = np.append(start[1:], len(data))
         if not self.spaced:
@@ -124,34 +163,15 @@ class Encoder:
             for i in self._whole_texts(data, offsets):
                 word |= start == offsets[i]
             start, end = start[word], end[word]
-        folded = self.fold[data]
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * self.up[:len(data)], out=total[1:])
-        key = mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
-        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == unique[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw, s, e = data.tobytes(), start[first[new]].tolist(), end[first[new]].tolist()
-            found = self._ask([raw[a:b].decode() for a, b in zip(s, e, strict=True)])
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            at = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), self.kind, int(size.sum()))])
-            where = place[new]
-            self.keys = np.insert(self.keys, where, unique[new])
-            self.at, self.size = np.insert(self.at, where, at), np.insert(self.size, where, size)
-            place = np.searchsorted(self.keys, unique)
-        count = self.size[place][inverse]
+        row = self.seen.find(data, start, end, self._learn)
+        count = self.size[row]
         upto = np.cumsum(count)
-        index = np.repeat(self.at[place][inverse] - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
+        index = np.repeat(self.at[row] - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
         ids = self.ids[index]
         of = np.searchsorted(offsets, start, "right") - 1
         each = np.bincount(of, count, minlength=n).astype(np.int64)
-        # Long stretches are rare and large; a full table starts anew.
-        if len(self.keys) > MOST_KEPT or len(self.ids) > 8 * MOST_KEPT:
+        # A full table starts anew.
+        if len(self.seen.keys) > MOST_KEPT or len(self.ids) > 8 * MOST_KEPT:
             self.clear()
         return ids, each
 
