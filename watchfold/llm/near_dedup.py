@@ -350,7 +350,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = sized.groupBy("root").agg(blocks.alias("blocks"))
     dealt = in_blocks(sized.select("root", F.col("node").alias("id"), "text_key"), sizes, "root", "id")
     dealt = dealt.select("run", "side", "same", "id", "text_key")
-    texts = rows.join(dealt, ["id", "text_key"]).select("run", "side", "same", "id", "text")
+    # By merging at every size: the texts are the larger side, and the other grows with them.
+    texts = rows.join(dealt.hint("merge"), ["id", "text_key"]).select("run", "side", "same", "id", "text")
     links = texts.repartition("run").sortWithinPartitions("run", "id").mapInArrow(
         verify, "id long, links long, root long")
     links = written(links, "near-links")
@@ -373,7 +374,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = jaccard_join(docs, id_col, text_col).where(F.col("class_id") != F.col(id_col))
     gone = written(found.select(F.col(id_col).cast("long").alias("_id")).distinct(), "near-dropped")
     keyed = docs.withColumn("_id", F.col(id_col).cast("long"))
-    return keyed.join(gone, "_id", "left_anti").drop("_id")
+    return keyed.join(gone.hint("merge"), "_id", "left_anti").drop("_id")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
