@@ -135,7 +135,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sha = F.sha2(normalised(F.col(text_col)), 256)
     keyed = docs.withColumn("_sha", sha).withColumn("_id", F.col(id_col))
     on = [keyed["_id"].eqNullSafe(other["_id"]), keyed["_sha"] == other["_sha"]]
-    left = keyed.join(other, on, "left_anti")
+    left = keyed.join(other.hint("merge"), on, "left_anti")
     if again.isEmpty():
         return left.drop("_sha", "_id")
     # Rows given more than once under one id: the first of each stays.
