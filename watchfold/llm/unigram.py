@@ -6,14 +6,15 @@ whole 1/16ths: sums of such numbers are exact, also in the library's 32-bit floa
 they stay under a million. ``library_model`` writes the same model for the SentencePiece library.
 
 The text is one space and then the text, with spaces as U+2581; other characters stay. No piece
-has a character before a U+2581 that is not one itself, so lattices fall apart before a space
-that follows something else, and around a line end, which no piece holds. A character that no piece
+has a character before a U+2581 that is not one itself, or holds an ASCII letter beside another
+ASCII character, or a line end. So lattices fall apart at such places (``load`` checks it). A character that no piece
 stands for costs the least score less 10 and counts as its UTF-8 bytes.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,10 @@ UNIT = 16  # parts of a score
 UNKNOWN_PENALTY = 10 * UNIT
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
+_APART = re.compile(r"[A-Za-z][!-@\[-`{-~]|[!-@\[-`{-~][A-Za-z]")
+_LETTER, _OTHER = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+_OTHER[[c for c in range(33, 127) if not chr(c).isalpha()]] = True
 
 
 @dataclass(frozen=True)
@@ -57,7 +62,7 @@ def load(path: str) -> Vocabulary:
     for i, piece in enumerate(model.pieces):
         text = piece.piece.replace(SPACE, " ").encode()
         if piece.type == NORMAL:
-            if SPACE in piece.piece.lstrip(SPACE) or "\n" in piece.piece:
+            if SPACE in piece.piece.lstrip(SPACE) or "\n" in piece.piece or _APART.search(piece.piece):
                 raise ValueError(f"piece {i} reaches over the end of a stretch")
             pieces[piece.piece] = i
         elif piece.type == BYTE:
@@ -91,11 +96,13 @@ def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where stretches begin: at a text's first byte, at a space after something else, at and
-    after a line end."""
+    """Where stretches begin: at a text's first byte, at a space after something else, between
+    an ASCII letter and another ASCII character, at and after a line end."""
     begin = np.zeros(len(data), bool)
     line, space = data == 10, data == 32
+    letter, other = _LETTER[data], _OTHER[data]
     begin[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+    begin[1:] |= (letter[1:] & other[:-1]) | (letter[:-1] & other[1:])
     begin[offsets[:-1][offsets[:-1] < len(data)]] = True
     return np.flatnonzero(begin)
 
