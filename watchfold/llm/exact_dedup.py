@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfold.llm.shared import documents, written
+from watchfold.llm.shared import documents, unused, written
 
 CAPACITY = 65_536  # distinct keys in a bucket; the directory has about one entry for each so many
 STEP = 4           # bits by which a count looks ahead of the directory
@@ -130,19 +130,19 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the rows that ``exact_dedup`` drops, all columns kept."""
     found = written(exact_dedup(docs, id_col, text_col).where("not kept"), "dedup-dropped")
     same = found[id_col].eqNullSafe(found["keep_id"])
-    other = found.where(~same).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    again = found.where(same).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    keyed = docs.withColumn("_sha", sha).withColumn("_id", F.col(id_col))
-    on = [keyed["_id"].eqNullSafe(other["_id"]), keyed["_sha"] == other["_sha"]]
+    own_id, sha = unused(docs, "dedup_id", "dedup_sha")
+    dropped = [F.col(id_col).alias(own_id), F.col("text_sha256").alias(sha)]
+    other, again = found.where(~same).select(dropped).distinct(), found.where(same).select(dropped).distinct()
+    keyed = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256)).withColumn(own_id, F.col(id_col))
+    on = [keyed[own_id].eqNullSafe(other[own_id]), keyed[sha] == other[sha]]
     left = keyed.join(other.hint("merge"), on, "left_anti")
     if again.isEmpty():
-        return left.drop("_sha", "_id")
+        return left.drop(sha, own_id)
     # Rows given more than once under one id: the first of each stays.
-    on = [left["_id"].eqNullSafe(again["_id"]), left["_sha"] == again["_sha"]]
+    on = [left[own_id].eqNullSafe(again[own_id]), left[sha] == again[sha]]
     once = left.join(again, on, "left_anti")
-    twice = left.join(again, on, "left_semi").dropDuplicates(["_id", "_sha"])
-    return once.unionByName(twice).drop("_sha", "_id")
+    twice = left.join(again, on, "left_semi").dropDuplicates([own_id, sha])
+    return once.unionByName(twice).drop(sha, own_id)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

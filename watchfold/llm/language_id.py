@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfold.llm.shared import documents, in_worker, ship
+from watchfold.llm.shared import documents, in_worker, ship, unused
 
 ORDER = 3
 UNIT = 1 << 16              # parts of a bit
@@ -252,7 +252,8 @@ def held_out(id_col: str) -> Column:
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", into: str = "language") -> DataFrame:
-    """``docs`` with a struct column ``into``: lang_pred, score, bits of the best code, bytes."""
+    """``docs`` with a struct column ``into`` (replaced if it is there): lang_pred, score, bits of
+    the best code, bytes."""
     return docs.withColumn(into, predictor(docs.sparkSession, model)(F.col(text_col)))
 
 
@@ -263,10 +264,11 @@ def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     eight bits a byte, which is what bytes without any statistics cost.
     """
     model = learn(docs.where(~held_out("doc_id")), "doc_id", text_col)
-    found = identify(docs, model, text_col, "_language")
-    found = found.where((F.col("_language.lang_pred") != UNKNOWN)
-                        & (F.col("_language.bits") < 8 * F.col("_language.bytes")))
-    return found.drop("_language")
+    into, = unused(docs, "language")
+    found = identify(docs, model, text_col, into)
+    found = found.where((F.col(f"{into}.lang_pred") != UNKNOWN)
+                        & (F.col(f"{into}.bits") < 8 * F.col(f"{into}.bytes")))
+    return found.drop(into)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfold.llm.shared import documents, in_worker, ship, whole_keys, written
+from watchfold.llm.shared import documents, in_worker, ship, unused, whole_keys, written
 from watchfold.llm.tokens import byte_level
 
 CAPACITY = 2048
@@ -98,11 +98,14 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def pack(items: DataFrame, size_col: str = "length", capacity: int = CAPACITY, fan: int = FAN) -> DataFrame:
-    """``items``, which must be a written table, with ``sequence_id`` and ``offset``.
+    """``items``, which must be a written table, with ``sequence_id`` and ``offset`` (replaced if
+    they are there).
 
     A partition's items are held by one task as narrow rows; sizes are 1 to ``capacity``.
     """
     ship(items.sparkSession)
+    items = items.drop("sequence_id", "offset")
+    bin_, offset_, fill_, into_, shift_ = unused(items, "bin", "bin_offset", "bin_fill", "bin_into", "bin_shift")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
 
     def local(batches):
@@ -112,13 +115,13 @@ def pack(items: DataFrame, size_col: str = "length", capacity: int = CAPACITY, f
         table = pa.Table.from_batches(held)
         part = TaskContext.get().partitionId()
         bin_of, offset, fill = best_fit(table.column(size_col).to_numpy(), capacity)
-        table = table.append_column("_bin", pa.array((part << GROUP_BIT) + bin_of))
-        table = table.append_column("_offset", pa.array(offset)).append_column("_fill", pa.array(fill[bin_of]))
+        table = table.append_column(bin_, pa.array((part << GROUP_BIT) + bin_of))
+        table = table.append_column(offset_, pa.array(offset)).append_column(fill_, pa.array(fill[bin_of]))
         yield from table.to_batches(max_chunksize=100_000)
 
-    placed = written(items.mapInArrow(local, f"{schema}, _bin long, _offset long, _fill long"), "pack-local")
-    bins = placed.where("_offset = 0").select(F.col("_bin").alias("bin"), F.col("_fill").alias("fill"),
-                                             F.shiftright("_bin", GROUP_BIT).alias("part"))
+    placed = written(items.mapInArrow(local, f"{schema}, `{bin_}` long, `{offset_}` long, `{fill_}` long"), "pack-local")
+    bins = placed.where(F.col(offset_) == 0).select(F.col(bin_).alias("bin"), F.col(fill_).alias("fill"),
+                                                   F.shiftright(bin_, GROUP_BIT).alias("part"))
     turn = 0
     while True:
         least, groups = bins.agg(F.min("fill"), F.max("part")).first()
@@ -143,12 +146,12 @@ def pack(items: DataFrame, size_col: str = "length", capacity: int = CAPACITY, f
         merged = grouped.repartition("group").sortWithinPartitions("group", "bin").mapInArrow(
             merge, "bin long, into long, shift long, fill long, part long")
         merged = written(merged, "pack-round")
-        moves = merged.select(F.col("bin").alias("_bin"), "into", "shift")
-        placed = placed.join(moves, "_bin", "left").withColumns({
-            "_bin": F.coalesce("into", "_bin"), "_offset": F.col("_offset") + F.coalesce("shift", F.lit(0)),
-        }).drop("into", "shift")
+        moves = merged.select(F.col("bin").alias(bin_), F.col("into").alias(into_), F.col("shift").alias(shift_))
+        placed = placed.join(moves, bin_, "left").withColumns({
+            bin_: F.coalesce(into_, bin_), offset_: F.col(offset_) + F.coalesce(shift_, F.lit(0)),
+        }).drop(into_, shift_)
         bins = merged.where("shift = 0").select(F.col("into").alias("bin"), "fill", "part")
-    return placed.withColumnsRenamed({"_bin": "sequence_id", "_offset": "offset"}).drop("_fill")
+    return placed.withColumnsRenamed({bin_: "sequence_id", offset_: "offset"}).drop(fill_)
 
 
 def assembled(placed: DataFrame) -> DataFrame:

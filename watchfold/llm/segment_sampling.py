@@ -8,7 +8,7 @@ log-probability, so a set of segmentations that share a beginning and then leave
 node can wait in the queue as one value, below the value of the path it leaves, until it is the
 largest; then its best member is drawn piece by piece, and what it leaves beside waits in turn.
 The (k+1)-th value is the threshold of the inclusion scores
-``1 - exp(-exp(log_prob - threshold))``.
+``1 - exp(-exp(log_prob - threshold))``, which are given as logarithms.
 
 All random numbers are hashes of (seed, row key, path, place), so a row's samples depend on
 nothing but the row. Lattices fall apart into stretches (``unigram``); a worker keeps the
@@ -347,7 +347,7 @@ def sampler(path: str | None, alpha: float, seed: int) -> Sampler:
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES,
            alpha: float = ALPHA, seed: int = 0, path: str | None = None) -> DataFrame:
-    """Rows (id, rank from 1, ids, log_prob, perturbed, inclusion, round_trip). ``ids`` are
+    """Rows (id, rank from 1, ids, log_prob, perturbed, log_inclusion, round_trip). ``ids`` are
     little-endian unsigned 16-bit numbers; ``round_trip`` tells that they decode to the text."""
     ship(docs.sparkSession)
 
@@ -365,7 +365,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
                 names = batch.column(0).slice(at, to - at)
                 if len(empty):
                     yield rows(names.take(pa.array(empty)), 1, np.zeros(0, int), np.zeros(len(empty) + 1, int),
-                               np.zeros(len(empty)), np.zeros(len(empty)), np.ones(len(empty)), np.ones(len(empty), bool))
+                               np.zeros(len(empty)), np.zeros(len(empty)), np.zeros(len(empty)), np.ones(len(empty), bool))
                 if len(part):
                     keys = mix(all_keys[at:to].copy())
                     texts, paths, threshold = own.chunk(part, bounds, keys, samples)
@@ -375,8 +375,10 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
                         ids, cuts = own.ids(p.edges, p.bounds)
                         here = pa.array(texts[p.texts])
                         same = pc.equal(own.text(ids, cuts), source.take(here)).to_numpy(zero_copy_only=False)
-                        with np.errstate(over="ignore"):
-                            inclusion = -np.expm1(-np.exp(p.log_prob - threshold[p.texts]))
+                        above = p.log_prob - threshold[p.texts]
+                        with np.errstate(over="ignore", divide="ignore"):
+                            # Far below 0 the logarithm of the inclusion is the difference itself.
+                            inclusion = np.where(above < -30, above, np.log(-np.expm1(-np.exp(above))))
                         yield rows(names.take(here), rank + 1, ids, cuts, p.log_prob, p.value, inclusion, same)
                     if len(own.lattices.chars) > MOST_KEPT:
                         own.lattices.clear()
@@ -388,12 +390,12 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
         return pa.RecordBatch.from_arrays(
             [names, pa.array(np.full(len(names), rank, np.int32)), binary, pa.array(log_prob), pa.array(value),
              pa.array(inclusion), pa.array(same)],
-            names=[id_col, "rank", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
+            names=[id_col, "rank", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col), F.xxhash64(id_col).alias("_key"), F.col(text_col))
     return keyed.mapInArrow(run, f"`{id_col}` {kind}, rank int, ids binary, log_prob double, perturbed double, "
-                                 "inclusion double, round_trip boolean")
+                                 "log_inclusion double, round_trip boolean")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", into: str = "text", path: str | None = None) -> DataFrame:
@@ -418,4 +420,4 @@ def decode(encoded: DataFrame, ids_col: str = "ids", into: str = "text", path: s
 def op1_gumbel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sample(documents(spark, sf_dir))
     return out.select("doc_id", "rank", (F.octet_length("ids") / 2).cast("long").alias("n_tokens"),
-                      F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion", "round_trip")
+                      F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion", "round_trip")

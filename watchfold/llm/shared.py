@@ -42,6 +42,17 @@ def written(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def whole_keys(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[pa.Table, list[int]]]:
     """Tables that hold only whole runs of equal leading columns, with the runs' bounds.
 
