@@ -17,33 +17,33 @@ def lit(v):
 
 
 def test_alert_correlation(spark):
-    pod = "webapp-mywebapp-67965968bb-hmnrq"
-    con = "04935e4da811b72fe84da42fa691cfd273eb4a0680de6d73f72e61c0d044b4f1"
-    row = one(spark, c=ids.corr_id(lit(con), lit(84328), lit(pod), lit("2025-07-15T13:33:29Z")))
-    assert row.c == "250715T133329Z04935e4da811000843289f0e6fa8cc52"
+    pod = "shop-frontend-7c4d-x2k9q"
+    con = "c0ffee15600d4a8a08f09d37b73795649038408b5f338277e0910d750195b448"
+    row = one(spark, c=ids.corr_id(lit(con), lit(60100), lit(pod), lit("2030-11-05T21:08:47Z")))
+    assert row.c == "301105T210847Zc0ffee15600d000601003921529a2234"
     assert row.c.endswith(hashlib.md5(pod.encode()).hexdigest()[:12])
 
 
 def test_kernel_correlation_prefix(spark):
-    con = "containerd://88a138a1e320c55cfcc8dd5d8c528523c2f48faf8cf1b87d7723bab968e08664"
+    con = "containerd://5b7e0c4d9a1f0cc175b9c0f1b6a831c399e26977266192eb5ffee6ae2fec3ad7"
     row = one(
         spark,
-        exact=ids.corr_id(lit(con), lit(123852), lit("n"), lit("2025-04-23T10:22:32.037987445Z"),
+        exact=ids.corr_id(lit(con), lit(31415), lit("n"), lit("2031-02-11T07:45:09.118273645Z"),
                           kernel=True),
         odd=ids.corr_id(lit("docker://88a1"), lit(1), lit("n"),
-                        lit("2025-04-23T10:22:32.037987445Z"), kernel=True),
+                        lit("2031-02-11T07:45:09.118273645Z"), kernel=True),
         old=ids.corr_id_v1(lit("docker://88a1"), lit(1), lit("n"),
-                           lit("2025-04-23T10:22:32.037987445Z"), "kernel"),
+                           lit("2031-02-11T07:45:09.118273645Z"), "kernel"),
     )
-    assert row.exact.startswith("250423T1022320388a138a1e32000123852")
-    assert row.odd.startswith("250423T10223203unknown00000001")
+    assert row.exact.startswith("310211T074509115b7e0c4d9a1f00031415")
+    assert row.odd.startswith("310211T07450911unknown00000001")
     assert row.old is None
 
 
 def test_process_id_keeps_one_host_character(spark):
-    row = one(spark, p=ids.process_id(lit("250423T1022320588a138a1e32000123865gke-k8s-caas")),
+    row = one(spark, p=ids.process_id(lit("310211T074509275b7e0c4d9a1f00027182worker-blue")),
               none=ids.process_id(lit("")))
-    assert row.p == "process--250423T1022320588a138a1e32000123865g"
+    assert row.p == "process--310211T074509275b7e0c4d9a1f00027182w"
     assert row.none is None
 
 
@@ -56,14 +56,14 @@ def test_zero_fill_is_sign_aware(spark, pid, filled):
 
 def test_unknown_host(spark):
     row = one(spark, c=ids.corr_id(lit("abc"), lit(None).cast("bigint"), lit("UnknownHost"),
-                                   lit("2025-07-15T13:33:29Z")))
-    assert row.c == "250715T133329Zabc0000None0UnknownHost"
+                                   lit("2030-11-05T21:08:47Z")))
+    assert row.c == "301105T210847Zabc0000None0UnknownHost"
 
 
 def test_process_id_from_exec(spark):
     import base64
 
-    name = "gke-k8s-caas-0008-beta-user-pool-40badfb2-d52w:51279632875939:123852"
+    name = "worker-blue-07:4711:31415"
     row = one(spark, ok=ids.process_id_from_exec(lit(base64.b64encode(name.encode()).decode())),
               bad=ids.process_id_from_exec(lit("%%%")),
               binary=ids.process_id_from_exec(lit(base64.b64encode(b"\xff\xfe").decode())))
@@ -84,24 +84,24 @@ def test_iso_to_ns(spark):
 
 def test_nanoseconds_stay_exact(spark):
     """Odd nanoseconds that a double cannot hold."""
-    values = [1752586409959206033, 1752586409959206001, -1, 0, 999]
+    values = [1920143327412007009, 1920143327412006977, -1, 0, 999]
     df = spark.createDataFrame([(v,) for v in values], "ns bigint")
     got = [r[0] for r in df.select(F.unix_micros(times.ns_to_ts(F.col("ns")))).collect()]
     assert got == [v // 1000 for v in values]
 
 
 def test_epoch_units(spark):
-    ms = 1751871558248
+    ms = 1919191919191
     row = one(spark, strict=times.epoch_to_iso(lit(ms)), loose=times.epoch_to_iso(lit(ms), False),
               bound=times.start_bound_ns(lit(ms)), wrong=times.start_bound_ns(lit(ms), False))
-    assert row.strict == "2025-07-07T06:59:18Z"
-    assert row.loose == "1970-01-01T00:29:11Z"
+    assert row.strict == "2030-10-25T20:51:59Z"
+    assert row.loose == "1970-01-01T00:31:59Z"
     assert row.bound == ms * 10**6 and row.wrong == ms * 10**3
 
 
 def test_trace_time(spark):
-    assert one(spark, t=times.ns_to_iso_millis(lit(1752586409959206033))).t == (
-        "2025-07-15T13:33:29.959Z")
+    assert one(spark, t=times.ns_to_iso_millis(lit(1920143327412007009))).t == (
+        "2030-11-05T21:08:47.412Z")
 
 
 def test_flatten_nested_arguments(spark):
@@ -112,7 +112,7 @@ def test_flatten_nested_arguments(spark):
     got = df.select(text.flatten_trace_args(F.col("args"))).first()[0]
     assert got == {
         "0_name": "flags", "0_type": "list", "0_value[0]": "a", "0_value[1]": "b",
-        "1_name": "addr", "1_type": "object", "1_value_ip": "1.2.3.4", "1_value_p": '{"q":1}',
+        "1_name": "addr", "1_type": "object", "1_value_ip": "1.2.3.4", "1_value_p_q": "1",
         "2_name": "plain", "2_type": "string", "2_value": "x",
     }
 
@@ -157,3 +157,23 @@ def test_json_or_self(spark):
     df = spark.createDataFrame([("null",), ("{\"b\": 1, \"a\": 2}",), ("word",), (None,)], "c string")
     got = [r[0] for r in df.select(text.json_or_text(F.col("c"))).collect()]
     assert got == [None, '{"a":2,"b":1}', "word", None]
+
+
+def test_flatten_to_the_leaves(spark):
+    values = ['{"a":{"b":[1,{"c":2}],"e":{}},"a2":[[1,[2]],null,"x{y"],"d":"{\\"k\\":1}","t":true}', "{not json", "[]", None]
+    df = spark.createDataFrame([([("n", "t", v) for v in values],)],
+                               "args array<struct<name:string,type:string,value:string>>")
+    got = df.select(text.flatten_trace_args(F.col("args"))).first()[0]
+    assert {k: v for k, v in got.items() if "value" in k} == {
+        "0_value_a_b[0]": "1", "0_value_a_b[1]_c": "2", "0_value_a2[0]_0": "1", "0_value_a2[0]_1_0": "2",
+        "0_value_a2[1]": None, "0_value_a2[2]": "x{y", "0_value_d": '{"k":1}', "0_value_t": "true",
+        "1_value": "{not json", "3_value": None,
+    }
+
+
+def test_flatten_equal_keys(spark):
+    deep = '{"a":1,"a":2}'
+    df = spark.createDataFrame([([("n", "t", deep), ("n", "t", "[" * 40 + "7" + "]" * 40)],)],
+                               "args array<struct<name:string,type:string,value:string>>")
+    got = df.select(text.flatten_trace_args(F.col("args"))).first()[0]
+    assert got["0_value_a"] == "2" and got["1_value[0]" + "_0" * 39] == "7"

@@ -57,7 +57,7 @@ def test_rule_alert_reader(spark, tmp_path):
 
 def test_syscall_trace_reader(spark, tmp_path):
     path = write(tmp_path, "t", [{
-        "timestamp": 1752586409959206033, "processId": 7, "processName": "sh", "hostName": "node",
+        "timestamp": 1920143327412007009, "processId": 7, "processName": "sh", "hostName": "node",
         "syscall": "openat", "container": {"id": "abcdef0123456789", "image": "i"},
         "kubernetes": {"podName": "p", "podNamespace": "n"},
         "metadata": {"Properties": {"signatureName": "s", "Category": "c", "Technique": "t",
@@ -65,7 +65,7 @@ def test_syscall_trace_reader(spark, tmp_path):
         "args": [{"name": "flags", "type": "string", "value": "O_RDONLY"}], "matchedPolicies": "m"}])
     row = normalize.normalize_trace(logs.read_syscall_trace(spark, path)).select(
         "*", normalize.observed_object().alias("o")).first()
-    assert row["created_time"] == "2025-07-15T13:33:29.959Z"
+    assert row["created_time"] == "2030-11-05T21:08:47.412Z"
     assert row["trace_args"] == {"0_name": "flags", "0_type": "string", "0_value": "O_RDONLY"}
     observed = json.loads(row["o"])
     assert observed["object_refs"] == [row["process_id"], "attack-pattern--x"]

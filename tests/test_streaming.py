@@ -108,9 +108,9 @@ def test_repeats_and_observation_streams_need_closed_windows(spark, folder):
 
 def kernel_lines(n, start):
     return [json.dumps({
-        "time": f"2025-04-23T10:{i // 60:02d}:{i % 60:02d}.000000001Z", "node_name": "n",
+        "time": f"2031-02-11T07:{i // 60:02d}:{i % 60:02d}.000000001Z", "node_name": "n",
         "type": "process_kprobe", "payload": {
-            "process": {"pid": i, "binary": "/bin/x", "start_time": "2025-04-23T10:00:00.5Z",
+            "process": {"pid": i, "binary": "/bin/x", "start_time": "2031-02-11T07:00:00.5Z",
                         "pod": {"name": "p", "namespace": "web",
                                 "container": {"id": "containerd://abc"}}},
             "function_name": "__x64_sys_setns" if i % 2 else "other", "parent": {}}})
@@ -150,7 +150,7 @@ def test_a_retried_batch_replaces_itself(spark, tmp_path):
 def test_tail_drops_the_init_record_and_old_rows(spark, tmp_path):
     source = tmp_path / "log"
     source.mkdir()
-    init = json.dumps({"time": "2025-04-23T10:00:16Z", "node_name": "init", "type": "process_exec",
+    init = json.dumps({"time": "2031-02-11T07:00:16Z", "node_name": "init", "type": "process_exec",
                        "payload": {"init": True}})
     (source / "1.json").write_text("\n".join([init] + kernel_lines(5, 0)))
     s = tail.tail_files(spark, str(source), schemas.KERNEL_LONG)

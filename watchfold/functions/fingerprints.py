@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import last_of_each
+
 MISSING = "1"
 
 
@@ -93,17 +95,15 @@ IGNORED_OBJECT_FIELDS = ["id", "created", "modified", "spec_version"]
 
 def object_json_fingerprint(json_text: Column) -> Column:
     """Equal for two object texts that differ only in the ignored fields, in the
-    order of keys at any depth, or in how numbers and spaces are written.
+    order of keys at any depth, or in how numbers and spaces are written. Values
+    of different type differ: ``1``, ``"1"`` and ``true`` are three values.
 
-    A variant prints keys sorted and numbers one way, but costs twice a plain
-    parse, so flat objects without fractions skip it: their own keys are sorted
-    below anyway, and their values are plain words.
+    A variant prints keys sorted, numbers one way and text in quotes. Of fields
+    given twice the last counts.
     """
-    inside = F.substring(json_text, 2, 1 << 30)
-    nested = (F.instr(inside, "{") > 0) | (F.instr(inside, "[") > 0)
-    fraction = json_text.rlike(r"[:,\[]\s*-?[0-9]+[.eE]")
-    canonical = F.when(nested | fraction, F.try_parse_json(json_text).cast("string")).otherwise(
-        json_text)
-    fields = F.from_json(canonical, "map<string,string>")
-    kept = F.map_filter(fields, lambda k, v: ~k.isin(IGNORED_OBJECT_FIELDS) & v.isNotNull())
-    return F.md5(F.to_json(F.array_sort(F.map_entries(kept))))
+    fields = F.map_entries(F.from_json(json_text, "map<string,variant>"))
+    printed = F.transform(fields, lambda e: F.struct(
+        e["key"].alias("key"), F.to_json(e["value"]).alias("value")))
+    kept = F.filter(last_of_each(printed), lambda e: ~e["key"].isin(IGNORED_OBJECT_FIELDS)
+                    & e["value"].isNotNull() & (e["value"] != "null"))
+    return F.md5(F.to_json(F.array_sort(kept)))

@@ -81,40 +81,66 @@ def swap_port(p: Column) -> Column:
     return F.shiftright(p, 8).bitwiseOR(F.shiftleft(p, 8).bitwiseAND(F.lit(0xFF00)))
 
 
+def last_of_each(entries: Column) -> Column:
+    """Entries (key, value) without those whose key comes again later."""
+    keys = F.transform(entries, lambda e: e["key"])
+    later = F.filter(entries, lambda e, i: ~F.exists(
+        F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(entries), later).otherwise(entries)
+
+
+def json_depth(c: Column) -> Column:
+    """How deep objects and lists of a JSON text are nested."""
+    signs = F.regexp_replace(F.regexp_replace(c, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state, sign):
+        now = state["now"] + F.when(sign.isin("{", "["), 1).when(sign.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(F.split(signs, ""), start, step)["most"]
+
+
 def flatten_trace_args(args: Column) -> Column:
     """``[{name,type,value}, ...]`` -> flat map with keys ``0_name``, ``0_type`` ...
 
-    A value that is itself an object or list is flattened one step further:
-    ``0_value_key`` for objects and ``0_value[i]`` for lists; deeper levels
-    stay JSON text under their key.
+    A value that is an object or list is flattened to its leaves, however deep:
+    ``0_value_key`` for an object's fields, ``0_value[i]`` for the items of its
+    list, ``0_value[i]_j`` for those of a list in a list. Empty objects and lists
+    leave nothing; of equal keys the last stays. One level is unfolded per round,
+    as many rounds as the deepest value has levels.
     """
-    def entry(key, value):
-        return F.struct(key.alias("key"), value.alias("value"))
-
-    def per_arg(arg, i):
-        at = i.cast("string")
-        obj = F.from_json(arg["value"], "map<string,string>")
-        lst = F.from_json(arg["value"], "array<string>")
-        is_obj = arg["value"].startswith("{") & obj.isNotNull()
-        is_lst = arg["value"].startswith("[") & lst.isNotNull()
-        nested = (
-            F.when(is_obj, F.transform(
-                F.map_entries(obj),
-                lambda e: entry(F.concat(at, F.lit("_value_"), e["key"]), e["value"])))
-            .when(is_lst, F.transform(
-                lst, lambda v, j: entry(
-                    F.concat(at, F.lit("_value["), j.cast("string"), F.lit("]")), v)))
-            .otherwise(F.array(entry(F.concat(at, F.lit("_value")), arg["value"])))
-        )
-        return F.concat(
-            F.array(
-                entry(F.concat(at, F.lit("_name")), arg["name"]),
-                entry(F.concat(at, F.lit("_type")), arg["type"]),
-            ),
-            nested,
-        )
-
-    return F.map_from_entries(F.flatten(F.transform(args, per_arg)))
+    def entry(key, value, json, in_list):
+        return F.struct(key.alias("key"), value.alias("value"), json.alias("json"), in_list.alias("in_list"))
+
+    yes, no = F.lit(True), F.lit(False)
+
+    def unfold(e):
+        obj = F.map_entries(F.from_json(e["value"], "map<string,variant>"))
+        items = F.from_json(e["value"], "array<variant>")
+        fields = F.transform(obj, lambda x: entry(
+            F.concat(e["key"], F.lit("_"), x["key"]), F.to_json(x["value"]), yes, no))
+        values = F.transform(items, lambda v, j: entry(
+            F.when(e["in_list"], F.concat(e["key"], F.lit("_"), j.cast("string"))).otherwise(
+                F.concat(e["key"], F.lit("["), j.cast("string"), F.lit("]"))), F.to_json(v), yes, yes))
+        whole = F.array(e)
+        return (F.when(e["value"].startswith("{"), F.coalesce(fields, whole))
+                .when(e["value"].startswith("["), F.coalesce(values, whole)).otherwise(whole))
+
+    def leaf(e):
+        text_ = F.when(e["value"].startswith('"'), F.try_parse_json(e["value"]).cast("string")).otherwise(
+            F.nullif(e["value"], F.lit("null")))
+        return F.struct(e["key"].alias("key"), F.when(e["json"], text_).otherwise(e["value"]).alias("value"))
+
+    first = F.flatten(F.transform(args, lambda arg, i: F.array(
+        entry(F.concat(i.cast("string"), F.lit("_name")), arg["name"], no, no),
+        entry(F.concat(i.cast("string"), F.lit("_type")), arg["type"], no, no),
+        entry(F.concat(i.cast("string"), F.lit("_value")), arg["value"], no, no))))
+    depths = F.transform(args, lambda arg: F.coalesce(json_depth(arg["value"]), F.lit(0)))
+    depth = F.coalesce(F.array_max(depths), F.lit(0))
+    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    leaves = F.aggregate(rounds, first, lambda now, _: F.flatten(F.transform(now, unfold)))
+    return F.map_from_entries(last_of_each(F.transform(leaves, leaf)))
 
 
 def first_of_type(objects: Column, kind: str) -> Column:

@@ -33,59 +33,67 @@ def edges(objects: DataFrame) -> DataFrame:
 
 
 def lineage_of(kernel: DataFrame) -> DataFrame:
-    """One row per process: id, parent, binary, from kernel long-form rows."""
+    """One row per process: id, parent, binary and pid of its newest log, from
+    kernel long-form rows."""
     proc = F.col("payload.process")
-    return kernel.select(
-        proc["exec_id"].alias("id"), proc["parent_exec_id"].alias("parent_id"),
-        proc["binary"].alias("binary"),
-    ).where("id IS NOT NULL").groupBy("id").agg(
-        F.max("parent_id").alias("parent_id"), F.max("binary").alias("binary"))
+    rows = kernel.select(
+        proc["exec_id"].alias("id"), F.struct(
+            F.col("time"), proc["parent_exec_id"].alias("parent_id"), proc["binary"].alias("binary"),
+            proc["pid"].alias("pid")).alias("log"))
+    newest = rows.where("id IS NOT NULL").groupBy("id").agg(F.max("log").alias("log"))
+    return newest.select("id", "log.parent_id", "log.binary", "log.pid")
 
 
-def ancestry(lineage: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(id, ancestor_id, depth) up to ``max_depth``.
+def ancestry(lineage: DataFrame) -> DataFrame:
+    """(id, ancestor_id, depth) for all ancestors of every process.
 
-    One equi-join per level on a frontier that shrinks; each level is written to
-    the checkpoint folder, so plans stay short and a lost executor costs one
-    level. Stops when no row has a further parent. A popular ancestor is a hot
-    key on the frontier side only, which the adaptive skew join splits.
+    Doubling: what is known up to depth d, joined with itself at depth exactly d,
+    gives all up to 2 d, so the deepest process takes log2 of its depth joins.
+    Each round is a written table, so plans stay short and a lost executor costs
+    one round. A popular ancestor is a hot key on one side only, which the
+    adaptive skew join splits. A process that is its own ancestor is an error.
     """
-    parents = lineage.where("parent_id IS NOT NULL").select(
-        F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
-    frontier = parents.select(F.col("_id").alias("id"), F.col("_up").alias("ancestor_id"),
-                              F.lit(1).alias("depth"))
-    frontier = cut_lineage(frontier)
-    levels = [frontier]
-    for depth in range(2, max_depth + 1):
-        step = frontier.join(parents, frontier["ancestor_id"] == parents["_id"]).select(
-            "id", F.col("_up").alias("ancestor_id"), F.lit(depth).alias("depth"))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    known = cut_lineage(lineage.where("parent_id IS NOT NULL").select(
+        "id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")))
+    levels, reach = [known], 1
+    while True:
+        if not known.where("id = ancestor_id").isEmpty():
+            raise ValueError("the lineage has a cycle")
+        so_far = levels[0]
+        for level in levels[1:]:
+            so_far = so_far.unionByName(level)
+        further = so_far.select(F.col("id").alias("_id"), F.col("ancestor_id").alias("_up"),
+                                F.col("depth").alias("_depth"))
+        edge = so_far.where(F.col("depth") == reach)
+        known = cut_lineage(edge.join(further, edge["ancestor_id"] == further["_id"]).select(
+            "id", F.col("_up").alias("ancestor_id"), (F.col("depth") + F.col("_depth")).alias("depth")))
+        if known.isEmpty():
+            return so_far
+        levels.append(known)
+        reach *= 2
 
 
-def descendants_of(lineage: DataFrame, is_root: Column, max_rounds: int = 32) -> DataFrame:
+def descendants_of(lineage: DataFrame, is_root: Column) -> DataFrame:
     """Processes that satisfy ``is_root`` or have an ancestor that does.
 
     Pointer doubling: after round k every process knows about its nearest 2^k
     ancestors, so depth d takes log2(d) joins. Settled rows (a hit, or no
-    further ancestor) are not joined again.
+    further ancestor) are not joined again. Rows still open when 2^k exceeds the
+    number of processes can only be on a cycle, which is an error.
     """
     state = cut_lineage(lineage.select(
         "id", F.col("parent_id").alias("up"),
         F.coalesce(is_root, F.lit(False)).alias("hit")))
-    for _ in range(max_rounds):
+    rounds = state.count().bit_length() + 1
+    while True:
         open_rows = state.where("NOT hit AND up IS NOT NULL")
         if open_rows.isEmpty():
-            break
+            return state.where("hit").select("id")
+        if not rounds:
+            raise ValueError("the lineage has a cycle")
+        rounds -= 1
         table = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"),
                              F.col("hit").alias("_hit"))
         moved = open_rows.join(table, open_rows["up"] == table["_id"], "left").select(
             "id", F.col("_up").alias("up"), F.coalesce("_hit", F.lit(False)).alias("hit"))
         state = cut_lineage(state.where("hit OR up IS NULL").unionByName(moved))
-    return state.where("hit").select("id")

@@ -14,13 +14,11 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import times
 from ..operators.barrier import null_of, once
-from ..session import spread, tune
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table by name; plain timestamps are taken as UTC."""
-    tune(spark)
-    return spread(utc(spark.read.parquet(f"{folder}/{name}.parquet")))
+    return utc(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def utc(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every plan in this package is written for. On a cluster
-# they belong in spark-defaults; ``tune`` applies those the session lets us set.
+# they belong in spark-defaults; nothing here changes a session it was given.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,7 +17,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # "First n per key" is limited on the map side up to this n.
+    # "First n per key" is limited on the map side up to this n; a larger n is
+    # still right, but all rows of a key are shuffled.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Stream state off the heap.
     "spark.sql.streaming.stateStore.providerClass":
@@ -43,20 +44,17 @@ def local_session(cores: int | str = "*", app: str = "watchfold") -> SparkSessio
     return spark
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings to a session somebody else made."""
-    for key, value in SQL_SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
-
-
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder in that setting. Only when it is unset
-    (tests, one machine) a local folder is made.
+    Driver and executors must share that folder, so a cluster has to name one.
+    Only a session on one machine may leave the setting out.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch_base()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_scratch_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -79,14 +77,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession, "lineage")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use several cores on a frame that is one or two small files. A frame with
-    partitions enough is left as it is, so nothing is shuffled at size, and so is one
-    too small for the shuffle to pay."""
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, 32)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 64 * 1024 or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

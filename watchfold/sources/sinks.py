@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import times
 
-DATE = "dt"
+DATE, BATCH = "dt", "batch"
 
 
 def event_date(df: DataFrame, time_column: str) -> Column:
@@ -32,25 +32,33 @@ def date_of(value) -> str:
 
 def append_table(df: DataFrame, root: str, table: str, cluster: bool = True) -> None:
     """Append rows to a result table: its columns only, partitioned by event
-    date, sorted by time inside each file so row groups prune.
+    date, sorted by time inside each file so row groups prune. Below its date a
+    table is partitioned by batch; rows appended this way are batch ``load``.
 
     ``cluster`` cuts the rows into even time ranges first: each task then writes
     one or two dates, files do not overlap in time, and a date that holds most
     of the rows is still written by many tasks. Small batches can skip it.
     """
-    schema, time_column = schemas.RESULT_TABLES[table]
-    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    rows = rows.withColumn(DATE, event_date(rows, time_column))
+    rows, time_column = _dated(df, table, "load")
     if cluster:
         rows = rows.repartitionByRange(DATE, time_column)
     (rows.sortWithinPartitions(DATE, time_column)
-     .write.mode("append").partitionBy(DATE).parquet(f"{root}/{table}"))
+     .write.mode("append").partitionBy(DATE, BATCH).parquet(f"{root}/{table}"))
+
+
+def _dated(df: DataFrame, table: str, batch: str) -> tuple[DataFrame, str]:
+    schema, time_column = schemas.RESULT_TABLES[table]
+    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    rows = rows.withColumn(DATE, event_date(rows, time_column)).withColumn(BATCH, F.lit(batch))
+    return rows, time_column
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A result table with its date; all batches of batch loads and streams."""
     schema, _ = schemas.RESULT_TABLES[table]
-    with_date = T.StructType(schema.fields + [T.StructField(DATE, T.StringType())])
-    return spark.read.schema(with_date).parquet(f"{root}/{table}")
+    parts = [T.StructField(DATE, T.StringType()), T.StructField(BATCH, T.StringType())]
+    with_date = T.StructType(schema.fields + parts)
+    return spark.read.schema(with_date).parquet(f"{root}/{table}").drop(BATCH)
 
 
 def table_dates(spark: SparkSession, root: str, table: str) -> list[str]:
@@ -64,12 +72,12 @@ def table_dates(spark: SparkSession, root: str, table: str) -> list[str]:
 
 
 def append_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
-    """Idempotent form for ``foreachBatch``: a retried batch overwrites its own
-    folder instead of adding rows twice."""
-    schema, time_column = schemas.RESULT_TABLES[table]
-    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    (rows.sortWithinPartitions(time_column)
-     .write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}"))
+    """Idempotent form for ``foreachBatch``, in the same layout: a retried batch
+    overwrites its own folders, one for each date, instead of adding rows twice."""
+    rows, time_column = _dated(df, table, f"s{batch_id}")
+    (rows.sortWithinPartitions(DATE, time_column)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(DATE, BATCH).parquet(f"{root}/{table}"))
 
 
 def append_json_lines(df: DataFrame, path: str) -> None:

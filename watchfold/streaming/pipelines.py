@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.exact import floor_div
 from ..operators import bundles, normalize, rules as rule_ops
-from ..session import scratch_dir, spread
+from ..session import scratch_dir
 from ..sources import sinks
 from ..sources.rules import Rule
 
@@ -31,28 +32,32 @@ def start(writer, interval: str | None) -> StreamingQuery:
 
 
 def drain_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available into Parquet and read that back.
-
-    Every state partition opens stores of its own, so this one-off run takes no
-    more of them than twice the cores. A query that stays up keeps the session's
-    number, which its checkpoint then fixes.
-    """
+    """Run a stream over what is available into Parquet and read that back."""
     spark = stream.sparkSession
     out, checkpoint = scratch_dir(spark, purpose), scratch_dir(spark, purpose + "-checkpoint")
-    key = "spark.sql.shuffle.partitions"
-    configured = spark.conf.get(key)
-    cores = spark.sparkContext.defaultParallelism
-    spark.conf.set(key, str(min(int(configured), 2 * cores)))
-    try:
-        query = (stream.writeStream.format("parquet").outputMode(mode)
-                 .option("path", out).option("checkpointLocation", checkpoint)
-                 .trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(key, configured)
+    query = (stream.writeStream.format("parquet").outputMode(mode)
+             .option("path", out).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_updates(stream: DataFrame, keys: list[str], purpose: str) -> DataFrame:
+    """Run a stream with state in update mode and read back the last state of
+    every key, windows that the watermark has not closed yet included."""
+    spark = stream.sparkSession
+    out, checkpoint = scratch_dir(spark, purpose), scratch_dir(spark, purpose + "-checkpoint")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/_update={batch_id}")
+
+    (stream.writeStream.foreachBatch(write).outputMode("update")
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()).awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("_update", T.LongType())])
+    updates = spark.read.schema(schema).option("basePath", out).parquet(out)
+    return sinks.latest_per_key(updates, keys, ["_update"]).drop("_update")
+
+
 def incremental(stream: DataFrame, process: Callable[[DataFrame], DataFrame], root: str,
                 table: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Periodic ETL: ``process`` is a DataFrame -> DataFrame function plugged in
@@ -67,15 +72,12 @@ def incremental(stream: DataFrame, process: Callable[[DataFrame], DataFrame], ro
 def span_etl(stream: DataFrame, to_traffic: Callable[[DataFrame], DataFrame], root: str,
              raw_table: str, object_table: str, checkpoint: str,
              interval: str | None = None) -> StreamingQuery:
-    """Dual write of one batch: raw rows and their objects, same batch id."""
+    """Dual write of one batch: raw rows and their objects, same batch id. Each
+    write reads the batch's files again; nothing is held on executors."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            sinks.append_batch(batch, root, raw_table, batch_id)
-            sinks.append_batch(
-                normalize.span_object_rows(to_traffic(batch)), root, object_table, batch_id)
-        finally:
-            batch.unpersist()
+        sinks.append_batch(batch, root, raw_table, batch_id)
+        sinks.append_batch(
+            normalize.span_object_rows(to_traffic(batch)), root, object_table, batch_id)
 
     return start(stream.writeStream.foreachBatch(write).option(
         "checkpointLocation", checkpoint), interval)
@@ -85,22 +87,18 @@ def match_etl(stream: DataFrame, to_norm: Callable[[DataFrame], DataFrame],
               rules: Callable[[], list[Rule]], root: str, checkpoint: str,
               object_table: str = "kernel_objects", layout: str = "flat",
               interval: str | None = None) -> StreamingQuery:
-    """Normalise, write objects, match, write matches: one pass per batch.
+    """Normalise, write objects, match, write matches: two narrow writes per batch.
 
     ``rules`` is called once per batch, so rules added while the stream runs
     apply from the next batch on.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        catalogue = rules()
-        norm = to_norm(spread(batch)).persist()
-        try:
-            sinks.append_batch(normalize.object_rows(norm), root, object_table, batch_id)
-            matched = rule_ops.match_rules(norm, catalogue, layout)
-            sinks.append_batch(
-                bundles.matched_rule_rows(matched, catalogue, layout == "flat"),
-                root, "matched_rules", batch_id)
-        finally:
-            norm.unpersist()
+        catalogue, norm = rules(), to_norm(batch)
+        sinks.append_batch(normalize.object_rows(norm), root, object_table, batch_id)
+        matched = rule_ops.match_rules(norm, catalogue, layout)
+        sinks.append_batch(
+            bundles.matched_rule_rows(matched, catalogue, layout == "flat"),
+            root, "matched_rules", batch_id)
 
     return start(stream.writeStream.foreachBatch(write).option(
         "checkpointLocation", checkpoint), interval)
@@ -113,6 +111,24 @@ def dedupe_stream(stream: DataFrame, key: str = "dedup_key", ts: str = "event_ts
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
 
 
+def dedupe_periods(stream: DataFrame, key: str = "dedup_key", ts: str = "event_ts",
+                   period: str = "10 minutes", lateness: str = LATENESS) -> DataFrame:
+    """One row per fingerprint and period of event time, however the stream is cut
+    into batches. State is dropped once the watermark has passed the period."""
+    rows = stream.withWatermark(ts, lateness).withColumn("period", F.window(ts, period)["start"])
+    return rows.dropDuplicates([key, "period"])
+
+
+def cooldown_stream(stream: DataFrame, key: list[str], ts: str, period: str, most: int,
+                    lateness: str = LATENESS) -> DataFrame:
+    """Per key and period of event time: how many alerts came, and how many of them
+    a cooldown of ``most`` lets through."""
+    counted = stream.withWatermark(ts, lateness).groupBy(*key, F.window(ts, period).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return counted.select(*key, F.col("w.start").alias("period"), "n",
+                          F.least("n", F.lit(most).cast("bigint")).alias("passed"))
+
+
 def rate_stream(stream: DataFrame, ts: str = "event_ts", by: list[str] | None = None,
                 every: str = "1 minute", lateness: str = LATENESS) -> DataFrame:
     """Append rate; rows later than ``lateness`` are left out, and the query's
@@ -133,27 +149,31 @@ def late_rows(query: StreamingQuery) -> int:
 
 def context_stream(alerts: DataFrame, spans: DataFrame, alert_ts: str, span_ts: str,
                    seconds: int = 15, by: list[tuple[str, str]] | None = None,
-                   lateness: str = LATENESS) -> DataFrame:
+                   lateness: str = LATENESS, salts: int = 8) -> DataFrame:
     """Stream–stream join of alerts and spans closer than ``seconds``.
 
     Both sides carry a watermark and the condition bounds both times, so each
     side's state is dropped once the other cannot reach it any more. The time
-    bucket is an equality, which keys the state; neighbours are reached by
-    repeating the alert for three buckets.
+    bucket and a salt are equalities, which key the state: a busy bucket's spans
+    lie in ``salts`` state partitions, and the alert, the smaller side, is
+    repeated for each of them and for three buckets.
     """
     epoch = floor_div(F.unix_micros(F.col(alert_ts)), seconds * 1_000_000)
     left = alerts.withWatermark(alert_ts, lateness).withColumn(
-        "_b", F.explode(F.array(epoch - 1, epoch, epoch + 1)))
+        "_b", F.explode(F.array(epoch - 1, epoch, epoch + 1))).withColumn(
+        "_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    content = [c for c, t in spans.dtypes if "map" not in t and "variant" not in t]
     right = spans.withWatermark(span_ts, lateness).withColumn(
-        "_sb", floor_div(F.unix_micros(F.col(span_ts)), seconds * 1_000_000))
+        "_sb", floor_div(F.unix_micros(F.col(span_ts)), seconds * 1_000_000)).withColumn(
+        "_own", F.pmod(F.xxhash64(*content), F.lit(salts)).cast("int"))
     gap = F.expr(f"INTERVAL {seconds} SECONDS")
     condition = (
-        (F.col("_b") == F.col("_sb"))
+        (F.col("_b") == F.col("_sb")) & (F.col("_salt") == F.col("_own"))
         & (F.col(span_ts) > F.col(alert_ts) - gap) & (F.col(span_ts) < F.col(alert_ts) + gap)
     )
     for a, b in by or []:
         condition = condition & (F.col(a) == F.col(b))
-    return left.join(right, condition, "inner").drop("_b", "_sb")
+    return left.join(right, condition, "inner").drop("_b", "_sb", "_salt", "_own")
 
 
 def repeats_stream(stream: DataFrame, key: list[str], ts: str, condition: Column, times: int,
