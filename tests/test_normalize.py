@@ -280,6 +280,26 @@ def test_rules_survive_tables(spark):
                                 catalogue.predicates_frame(spark, CORE_RULES))
     want = {r.key: sorted(map(repr, r.predicates)) for r in CORE_RULES}
     assert {r.key: sorted(map(repr, r.predicates)) for r in back} == want
+    rest = {r.key: (r.references, r.target_ref, catalogue.pattern_text(r)) for r in back}
+    assert rest == {r.key: (r.references, r.target_ref, catalogue.pattern_text(r)) for r in CORE_RULES}
+
+
+def test_rules_over_several_logs(spark, kernel):
+    two = Rule("two", "1", "n", "a", "a", "a", "i", "i", "i", "r", (
+        Predicate(0, CMD, "MATCHES", "nsenter"), Predicate(0, CMD, "MATCHES", "bash", observation=1)),
+        combine="FOLLOWEDBY", within=60.0)
+    assert catalogue.pattern_text(two) == (
+        "([process:command_line MATCHES 'nsenter'] FOLLOWEDBY [process:command_line MATCHES 'bash']) "
+        "WITHIN 60 SECONDS")
+    with pytest.raises(ValueError):
+        rule_ops.match_rules(kernel, [two])
+    rows = [("p", 0, "nsenter"), ("p", 50, "bash"), ("p", 61, "bash"), ("q", 5, "bash"), ("q", 6, "nsenter")]
+    logs_ = spark.createDataFrame([(k, t * 10**9, c) for k, t, c in rows], "pod string, ns bigint, command_line string")
+    got = rule_ops.match_sequences(logs_, [two], ["pod"], "ns").collect()
+    assert [(r.rule, r.pod, r.ns) for r in got] == [("two", "p", 50 * 10**9)]
+    three = Rule("three", "1", "n", "a", "a", "a", "i", "i", "i", "r", (
+        *two.predicates, Predicate(0, CMD, "MATCHES", "nsenter", observation=2)), combine="FOLLOWEDBY")
+    assert rule_ops.match_sequences(logs_, [three], ["pod"], "ns").count() == 0
 
 
 def test_rule_store(spark, tmp_path):

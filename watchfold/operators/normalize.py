@@ -151,7 +151,8 @@ def _alert_columns(c: Callable[[str], Column], v1_ids: bool = False) -> dict[str
 
 def normalize_trace(df: DataFrame) -> DataFrame:
     """Syscall traces; nested arguments become one flat map."""
-    return _norm(df, **_trace_columns(F.col))
+    # Qualified, since a row has an ``args`` of its own that is built beside these.
+    return _norm(df.alias("_trace"), **_trace_columns(lambda name: F.col("_trace." + name)))
 
 
 def _trace_columns(c: Callable[[str], Column]) -> dict[str, Column]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
+from .barrier import once
 from .filters import all_of, any_of
 from .rules import SEPARATOR
 from .skew import salted_join
@@ -28,6 +29,8 @@ class Part:
 
 @dataclass(frozen=True)
 class Policy:
+    """One call of a policy. A policy of several calls is several rows of its name."""
+
     name: str
     function: str
     selectors: tuple[tuple[Part, ...], ...] = ((),)
@@ -46,10 +49,14 @@ POLICIES = [
     ),)),
     Policy("ssh-close", "tcp_close", ((
         Part("binary", "In", ("/usr/sbin/sshd", "/usr/sbin/tcpserver")),),)),
+    Policy("ssh-close", "tcp_create_openreq_child", ((
+        Part("binary", "In", ("/usr/sbin/sshd", "/usr/sbin/tcpserver")),),)),
     Policy("ssh-spawn-bash", "sys_execve", ((
         Part("binary", "In", ("/usr/sbin/sshd",)), Part("arg0", "Equal", ("/bin/sh",))),)),
     Policy("successful-ssh-connections", "inet_csk_accept", ((
         Part("binary", "In", ("/usr/sbin/sshd",)),),)),
+    Policy("successful-ssh-connections", "sys_execve", ((
+        Part("binary", "In", ("/usr/sbin/sshd",)), Part("arg0", "Equal", ("/usr/sbin/sshd",))),)),
     Policy("k8s-api-calls", "tcp_connect", ((
         Part("arg0", "DAddr", ("10.43.0.1", "10.1.0.0/20")),
         Part("binary", "NotIn", ("/usr/bin/rancher", "/usr/bin/dumb-init"))),)),
@@ -82,8 +89,54 @@ POLICIES = [
     )),
     Policy("monitor-network-activity-outside-cluster-cidr-range", "tcp_connect", ((
         Part("arg0", "NotDAddr", ("127.0.0.1", "172.16.0.0/28", "192.168.64.0/24")),),)),
-    Policy("detect-ce-sys-ptrace-exec", "sys_execve", ((
-        Part("arg0", "Postfix", ("gdb", "strace")),),)),
+    Policy("detect-ce-sys-ptrace", "sys_ptrace", ((Part("pid_ns", "NotIn", ("host_ns",)),),)),
+    Policy("detect-ce-sys-ptrace", "sys_execve", ((
+        Part("arg0", "Postfix", ("gdb", "strace", "ltrace", "lldb")),),)),
+    Policy("detect-ce-module-load", "sys_init_module"),
+    Policy("detect-ce-nsenter", "sys_setns"),
+    Policy("detect-ce-priv-mount", "sys_mount"),
+    Policy("detect-iptables-mitm", "fd_install", ((
+        Part("arg1", "Prefix", ("/sbin/iptables", "/usr/sbin/iptables", "/usr/bin/mitmdump")),),)),
+    Policy("detect-ce-umh-core-pattern", "security_file_permission", ((
+        Part("arg0", "Prefix", ("/proc/sys/kernel", "/sysproc")),
+        Part("arg1", "Equal", ("2", "4", "6")), Part("pid_ns", "NotIn", ("host_ns",))),)),
+    Policy("detect-container-attach", "sys_execve", ((Part("arg0", "Equal", ("/pause",)),),)),
+    Policy("detect-pod-exec", "sys_execve", ((Part("arg0", "Equal", ("/pause",)),),)),
+    Policy("detect-POD_ATTACH", "sys_execve", ((Part("arg0", "Equal", ("/pause",)),),)),
+    Policy("detect-pod-create-using-kubectl", "sys_openat", ((
+        Part("arg1", "Prefix", ("/root/.kube/cache", "/root/.kube/config")),),)),
+    Policy("detect-pod-create-using-kubectl", "sys_read", ((
+        Part("pid", "NotIn", ("0", "1")), Part("arg0", "Equal", ("0",)),
+        Part("binary", "NotIn", ("/usr/bin/jq",))),)),
+    Policy("detect-identity-assume", "security_file_permission", ((
+        Part("arg0", "Prefix", ("/run/secrets/kubernetes.io/serviceaccount",)),
+        Part("arg1", "Equal", ("4",)),
+        Part("binary", "NotIn", ("/usr/bin/rancher", "/nginx-ingress-controller",
+                                 "/usr/bin/dumb-init", "/main"))),)),
+    Policy("detect-exploit-host-read", "sys_openat", ((
+        Part("arg1", "Equal", ("/proc/1/status", "/proc/1/mem")),
+        Part("pid_ns", "NotIn", ("host_ns",))),)),
+    Policy("detect-exploit-host-write", "sys_write", ((
+        Part("binary", "In", ("/bin/sh", "/bin/bash")), Part("pid_ns", "NotIn", ("host_ns",)),
+        Part("arg0", "Postfix", ("breakout",))),)),
+    Policy("detect-exploit-host-write", "sys_fsync", ((
+        Part("binary", "In", ("/bin/sh", "/bin/bash")), Part("pid_ns", "NotIn", ("host_ns",))),)),
+    Policy("detect-exploit-host-write", "sys_openat", ((
+        Part("arg1", "Equal", ("/host/etc/cron.d/breakout",)),),)),
+    Policy("detect-containerd-sock-exploit-dup2", "sys_dup2", ((
+        Part("arg1", "Equal", ("0", "1", "2")), Part("pid_ns", "NotIn", ("host_ns",))),)),
+    Policy("capture-stdin-stdout", "sys_write", ((
+        Part("binary", "In", (
+            "/usr/bin/sh", "/bin/sh", "/usr/bin/bash", "/bin/bash", "/usr/bin/zsh", "/bin/zsh",
+            "/usr/bin/dash", "/bin/dash")),
+        Part("arg0", "Equal", ("1", "2", "3"))),)),
+    *[Policy("list-syscalls", call) for call in (
+        "sys_dup", "sys_dup2", "sys_open", "sys_openat", "sys_read", "sys_write", "sys_close",
+        "sys_fork", "sys_clone", "sys_socket", "sys_connect", "sys_bind", "sys_listen",
+        "sys_accept", "sys_sendto", "sys_recvfrom", "sys_access", "sys_chmod", "sys_chown",
+        "sys_mkdir", "sys_rmdir", "sys_link", "sys_unlink", "sys_rename", "sys_chdir",
+        "sys_getcwd", "sys_mount", "sys_chroot", "sys_ptrace", "sys_symlink", "sys_readlink",
+        "sys_lstat", "sys_stat", "sys_fstat", "sys_fsync", "sys_fdatasync")],
     Policy("detect-exploit-containerd-sock", "sys_connect", ((
         Part("binary", "Postfix", ("crictl",)),),)),
     Policy("detect-kubelet-pods-access", "sys_openat", ((
@@ -127,12 +180,9 @@ def part_column(part: Part, fields: dict[str, Column]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def policy_column(policy: Policy, function: Column, fields: dict[str, Column]) -> Column:
-    """Functions are named with or without their architecture prefix."""
-    bare = F.regexp_replace(function, "^__x64_", "")
-    return F.coalesce(bare == policy.function, F.lit(False)) & any_of([
-        all_of([part_column(p, fields) for p in parts]) for parts in policy.selectors
-    ])
+def selected(policy: Policy, fields: dict[str, Column]) -> Column:
+    """An event of the policy's function that one of its selectors takes."""
+    return any_of([all_of([part_column(p, fields) for p in parts]) for parts in policy.selectors])
 
 
 def kernel_fields(payload: Column) -> dict[str, Column]:
@@ -155,12 +205,25 @@ def kernel_fields(payload: Column) -> dict[str, Column]:
 
 def tag_policies(events: DataFrame, policies: list[Policy], function: Column,
                  fields: dict[str, Column]) -> DataFrame:
-    """Events selected by at least one policy, with the array ``policies``."""
-    names = F.concat_ws(SEPARATOR, *[
-        F.when(policy_column(p, function, fields), F.lit(p.name)) for p in policies
-    ])
-    hit = events.withColumn("_names", names).where("_names != ''")
-    return hit.withColumn("policies", F.split("_names", SEPARATOR)).drop("_names")
+    """Events selected by at least one policy, with the array ``policies``.
+
+    Function and fields are computed once per event; only the policies of its
+    function are tested. Functions are named with or without their architecture
+    prefix.
+    """
+    bare = F.regexp_replace(function, "^__x64_", "").alias("function")
+    row = once(events, "_event", F.struct(bare, *[c.alias(n) for n, c in fields.items()]))
+    own = {n: F.col("_event")[n] for n in fields}
+    by_function: dict[str, list[Policy]] = {}
+    for p in policies:
+        by_function.setdefault(p.function, []).append(p)
+    names = F.lit("")
+    for name, those in by_function.items():
+        names = F.when(F.col("_event.function") == name, F.concat_ws(SEPARATOR, *[
+            F.when(selected(p, own), F.lit(p.name)) for p in those])).otherwise(names)
+    hit = once(row, "_names", names).where("_names != ''")
+    return hit.withColumn("policies", F.array_distinct(F.split("_names", SEPARATOR))).drop(
+        "_names", "_event")
 
 
 def in_block_table(rows: DataFrame, ip: str, blocks: DataFrame, block: str) -> DataFrame:

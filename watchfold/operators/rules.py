@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..sources.rules import Predicate, Rule
 from .filters import all_of, any_of
+from .skew import salted_join
 
 CHUNK = 100
 META = set(r"\.^$*+?{}[]()|")
@@ -150,6 +151,8 @@ def _typed(c: Column, kind: str) -> Column:
         return c.cast("string").try_cast("boolean")
     if kind == "timestamp":
         return F.try_to_timestamp(c.cast("string"))
+    if kind in ("hex", "binary"):  # compared byte by byte
+        return c.cast("string").cast("binary")
     return c.cast("string")
 
 
@@ -163,10 +166,9 @@ def _literal(value, kind: str) -> Column:
     if kind == "timestamp":
         return F.to_timestamp(F.lit(value))
     if kind == "hex":
-        return F.lit(bytes.fromhex(value).decode("utf-8"))
+        return F.unhex(F.lit(value))
     if kind == "binary":
-        import base64
-        return F.lit(base64.b64decode(value).decode("utf-8"))
+        return F.unbase64(F.lit(value))
     return F.lit(value)
 
 
@@ -247,7 +249,11 @@ def matched_keys(rules: list[Rule], layout: str = "flat") -> Column:
 
 
 def match_rules(logs: DataFrame, rules: list[Rule], layout: str = "flat") -> DataFrame:
-    """Rows that satisfy at least one rule, with the array ``matches``."""
+    """Rows that satisfy at least one rule, with the array ``matches``. Rules over
+    several logs are for ``match_sequences``."""
+    several = [r.key for r in rules if not r.one_log]
+    if several:
+        raise ValueError(f"rules over several logs: {several}")
     hit = logs.withColumn("_matched", matched_text(rules, layout)).where("_matched != ''")
     return hit.withColumn("matches", F.split("_matched", SEPARATOR)).drop("_matched")
 
@@ -269,18 +275,75 @@ def match_rows(logs: DataFrame, rules: list[Rule], layout: str = "flat") -> Data
     })
 
 
+def match_sequences(logs: DataFrame, rules: list[Rule], key: list[str], ns: str = "event_ts_ns",
+                    row_id: list[str] | None = None, layout: str = "flat") -> DataFrame:
+    """Rules over several logs of one ``key``: rows (rule, *key, ns) at which each
+    rule is satisfied, one pass per rule over the logs that it observes.
+
+    ``A FOLLOWEDBY B``: the logs of B with an earlier A, within the rule's span.
+    ``A AND B`` / ``A OR B``: the start of each span of that length in which both
+    (or either) occur; without a span the whole log is one. ``REPEATS n WITHIN``:
+    the times at which the last n fell into the span. Longer sequences take the
+    earliest end of each step, so they may not have a span.
+    """
+    out = None
+    for rule in rules:
+        found = _sequence(logs, rule, key, ns, row_id or [], layout)
+        found = found.select(F.lit(rule.key).alias("rule"), *key, F.col(ns).alias(ns))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _sequence(logs: DataFrame, rule: Rule, key: list[str], ns: str, row_id: list[str],
+              layout: str) -> DataFrame:
+    from . import sequences
+
+    seen = [rule_column(rule, layout, n) for n in rule.observations]
+    if rule.repeats > 1:
+        if len(seen) > 1 or rule.within is None:
+            raise ValueError(f"{rule.key}: REPEATS needs one observation and a span")
+        return sequences.repeats(logs, key, ns, seen[0], rule.repeats, rule.within)
+    if len(seen) == 1:
+        return logs.where(seen[0])
+    if rule.combine == "FOLLOWEDBY":
+        if rule.within is not None:
+            if len(seen) > 2:
+                raise ValueError(f"{rule.key}: a span over more than two steps")
+            return sequences.followed_within(logs, key, ns, seen[0], seen[1], rule.within, row_id)
+        for n, then in enumerate(seen[1:], 1):
+            # The earliest end of the steps so far is the next one's start.
+            if n == 1:
+                found = sequences.followed_by(logs, key, ns, seen[0], then, row_id)
+            else:
+                ends = found.groupBy(*key).agg(F.min(ns).alias("first_ns"))
+                found = salted_join(logs.where(then), ends, key, "inner", [ns, *row_id]).where(
+                    F.col("first_ns") < F.col(ns))
+        return found
+    if len(seen) > 2:
+        raise ValueError(f"{rule.key}: AND and OR of more than two observations")
+    width = None if rule.within is None else int(rule.within * sequences.NS)
+    span = F.lit(0).cast("bigint") if width is None else F.col(ns) - F.pmod(F.col(ns), F.lit(width))
+    rows = logs.where(seen[0] | seen[1]).withColumn("_span", span)
+    both = rows.groupBy(*key, "_span").agg(F.bool_or(seen[0]).alias("a"), F.bool_or(seen[1]).alias("b"))
+    wanted = "a OR b" if rule.combine == "OR" else "a AND b"
+    return both.where(wanted).withColumnRenamed("_span", ns)
+
+
 def gate_by_function(logs: DataFrame, predicates: DataFrame, function: str = "function_name",
                      ) -> DataFrame:
     """For rule tables too long for one projection: rules as rows.
 
-    ``predicates(key, function_name, path_column, regex)``: rules that fix the
-    function name meet only the logs of that function (hash join); the regex is
-    the residual. AQE broadcasts the rule side by its measured size and splits
-    hot functions when it cannot.
+    ``predicates(key, function_name, token, regex)``: ``token`` is a word (letters
+    and digits) that every match of ``regex`` holds. A log meets the rules of its
+    function that have one of its words, an equi-join on (function, word), and the
+    regex is tested on those pairs only.
     """
-    rules = predicates.select("key", F.col("function_name").alias("_fn"), "regex")
-    return logs.join(rules, (F.col(function) == F.col("_fn")) &
-                     F.rlike(F.col("command_line"), F.col("regex")), "inner").drop("_fn", "regex")
+    rules = predicates.select("key", F.col("function_name").alias(function),
+                              F.col("token").alias("_word"), "regex")
+    words = F.array_distinct(F.split("command_line", "[^A-Za-z0-9]+"))
+    probes = logs.withColumn("_word", F.explode(words))
+    return probes.join(rules, [function, "_word"]).where(
+        F.rlike(F.col("command_line"), F.col("regex"))).drop("_word", "regex")
 
 
 def match_counts(matched: DataFrame) -> DataFrame:

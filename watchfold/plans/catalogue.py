@@ -23,7 +23,8 @@ from ..session import cut_lineage, scratch_dir
 from ..sources import bundles as bundle_io
 from ..sources import logs, sinks, spans, tail
 from ..sources.rules import (
-    CALIBRATION_RULES, CORE_RULES, Predicate, Rule, edges_frame, rules_frame,
+    CALIBRATION_RULES, CORE_RULES, Predicate, Rule, edges_frame, load_rules, predicates_frame,
+    rules_frame,
 )
 from ..streaming import pipelines
 from . import api
@@ -189,6 +190,10 @@ def object_fingerprint(spark, d):
         F.lit("process").alias("type"), si.text("process--", F.col("o_orderkey")).alias("id"),
         F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
         F.struct(F.lit("x").alias("z"), (F.col("o_custkey") % 5).alias("a")).alias("ext")))
+    # One of a number, the same as text, and a truth value.
+    kind = F.col("o_orderkey") % 3
+    n = F.when(kind == 0, F.lit("1")).when(kind == 1, F.lit('"1"')).otherwise(F.lit("true"))
+    document = F.concat(F.lit('{"n":'), n, F.lit(","), F.substring(document, 2, 1 << 30))
     fp = fingerprints.object_json_fingerprint(document)
     return o.select(fp.alias("fingerprint"), "o_orderkey").groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_order"))
@@ -478,7 +483,7 @@ def follow_children(spark, d):
 
 @query
 def ancestry(spark, d):
-    return graph.ancestry(_order_lineage(spark, d), max_depth=16)
+    return graph.ancestry(_order_lineage(spark, d))
 
 
 # --- rules ------------------------------------------------------------------------------------
@@ -552,13 +557,13 @@ def strict_vs_intended_paths(spark, d):
 
 @query
 def gated_rules(spark, d):
-    """Rules as rows, gated by function name, with the regex as residual."""
+    """Rules as rows, gated by function name and a word, with the regex as residual."""
     p = si.table(spark, d, "part").select(
         si.text("part-", F.col("p_partkey")).alias("key"),
         F.get(F.array(*[F.lit(v) for v in si.FUNCTIONS.values()]),
               (F.col("p_partkey") % 3).cast("int")).alias("function_name"),
-        si.text('"k": ', F.col("p_partkey") % 100, "}").alias("regex"),
-    ).where(F.col("p_size") == 3).withColumn("regex", F.regexp_replace("regex", "[}]", "[}]"))
+        (F.col("p_partkey") % 100).cast("string").alias("token"),
+        si.text('"k": ', F.col("p_partkey") % 100, "[}]").alias("regex"))
     hits = rule_ops.gate_by_function(_kernel_norm(spark, d), p)
     return hits.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
@@ -754,8 +759,7 @@ def cooldown(spark, d):
 
 @query
 def profile_portability(spark, d):
-    nations = si.table(spark, d, "customer").where("c_custkey % 3 = 0").select(
-        F.col("c_nationkey").alias("entry"))
+    nations = si.table(spark, d, "customer").select(F.col("c_nationkey").alias("entry"))
     suppliers = si.table(spark, d, "supplier").select(F.col("s_nationkey").alias("entry"))
     a = nations.withColumn("environment", F.lit("customer"))
     b = suppliers.withColumn("environment", F.lit("supplier"))
@@ -806,14 +810,13 @@ def http_context(spark, d):
 
 @query
 def context_arrays(spark, d):
-    """Alerts with their lookups as bounded arrays: totals per alert."""
+    """Alerts with their lookups as arrays, in pages of four."""
     a, rest = _alerts_and_spans(spark, d)
     pairs = context.dns_context(a, si.dns_spans(rest).drop("event_id"), width_ns=300 * times.NS)
     paged = context.context_arrays(a, pairs, "event_id", context.DNS_KEPT, "dns_logs", 4)
-    return paged.groupBy("event_id").agg(
-        F.sum(F.size("dns_logs")).alias("lookups"),
-        (F.max(F.size("dns_logs")) <= 4).alias("bounded"),
-        F.min(F.array_min(F.transform("dns_logs", lambda s: s["time_"]))).alias("first_ns"))
+    entries = F.transform("dns_logs", lambda s: F.concat(
+        s["time_"].cast("string"), F.lit(" "), s["req_body"]))
+    return paged.select("event_id", "page", F.array_join(entries, "|").alias("dns_logs"))
 
 
 @query
@@ -863,7 +866,7 @@ def cross_source(spark, d):
     ev = si.events(spark, d)
     kernel = normalize.normalize_kernel(
         si.kernel_long(ev.where("k % 3 != 0")), v1_ids=True)
-    trace = normalize.normalize_trace(si.traces(ev.where("k % 2 = 0")))
+    trace = normalize.normalize_trace(si.traces(ev.where("k % 2 = 0 OR k % 3 = 0")))
     norm = normalize.union_sources(kernel, trace)
     both = context.correlate(norm)
     return both.groupBy("n_kernel", "n_trace").agg(F.count(F.lit(1)).alias("ids"))
@@ -874,12 +877,30 @@ def seen_by_both(spark, d):
     ev = si.events(spark, d)
     norm = normalize.union_sources(
         normalize.normalize_kernel(si.kernel_long(ev.where("k % 3 != 0")), v1_ids=True),
-        normalize.normalize_trace(si.traces(ev.where("k % 2 = 0"))))
+        normalize.normalize_trace(si.traces(ev.where("k % 2 = 0 OR k % 3 = 0"))))
     return context.seen_by_both(norm, "kernel", "trace").select("source", "process_id", "pid")
 
 
 # --- sorting ----------------------------------------------------------------------------------------
 
+@query
+def kernel_descendants(spark, d):
+    """Lineage from kernel logs themselves; events under the launchers of node-1."""
+    long = si.kernel_long(si.events(spark, d))
+    lineage = graph.lineage_of(long)
+    roots = F.col("parent_id").isin("p1", "p6") | (F.col("pid") == 3)
+    hits = graph.descendants_of(lineage, roots).select(F.col("id").alias("exec_id"))
+    exec_id = F.col("payload.process.exec_id").alias("exec_id")
+    return long.select("event_id", exec_id).join(hits, "exec_id", "left_semi").select("event_id")
+
+
+@query
+def preview_rows(spark, d):
+    """A preview of chosen columns has as many rows as asked for."""
+    rows = api.preview(si.http_spans(si.events(spark, d)), 7, ["time_", "pod_name"])
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count("time_").alias("with_time"))
+
+
 @query
 def newest_n(spark, d):
     rows = si.events(spark, d)
@@ -981,6 +1002,61 @@ def dialogue_followed_by(spark, d):
     return out.select("conv_id", "turn")
 
 
+# Rules over two logs, as the rows of a rule table.
+SEQUENCE_RULES = [
+    Rule("setns-then-mount", "s1", "n", "a", "a", "a", "i", "i", "i", "r", (
+        Predicate(0, "process:extensions.function_name", "MATCHES", "sys_setns"),
+        Predicate(0, "process:extensions.function_name", "MATCHES", "sys_mount", observation=1)),
+        combine="FOLLOWEDBY", within=7200.0),
+    Rule("setns-repeats", "s2", "n", "a", "a", "a", "i", "i", "i", "r", (
+        Predicate(0, "process:extensions.function_name", "MATCHES", "sys_setns"),),
+        within=86400.0, repeats=2),
+    Rule("setns-and-mount", "s3", "n", "a", "a", "a", "i", "i", "i", "r", (
+        Predicate(0, "process:extensions.function_name", "MATCHES", "sys_setns"),
+        Predicate(0, "process:extensions.function_name", "MATCHES", "sys_mount", observation=1)),
+        combine="AND", within=3600.0),
+]
+
+
+@query
+def rule_sequences(spark, d):
+    """Rules with order, repetition and conjunction, loaded from their tables."""
+    rules = load_rules(rules_frame(spark, SEQUENCE_RULES), predicates_frame(spark, SEQUENCE_RULES))
+    norm = _kernel_norm(spark, d)
+    return rule_ops.match_sequences(norm, rules, ["pod"], "event_ts_ns", ["pid"])
+
+
+LITERAL_RULES = [
+    Rule(key, "l", "n", "a", "a", "a", "i", "i", "i", "r", (p,)) for key, p in {
+        "hex": Predicate(0, "process:cwd", "=", "2f", "hex"),
+        "binary": Predicate(0, "process:extensions.namespace", "=", "d2ViYXBw", "binary"),
+        "timestamp": Predicate(0, "process:created_time", "<", "2024-01-10T00:00:00Z", "timestamp"),
+        "bool": Predicate(0, "process:extensions.kprobe0", "=", True, "bool", negated=True),
+        "not-utf8": Predicate(0, "process:cwd", "=", "ff", "hex"),
+    }.items()]
+
+
+@query
+def rule_literals(spark, d):
+    matched = rule_ops.match_rules(_kernel_norm(spark, d), LITERAL_RULES)
+    return rule_ops.match_counts(matched)
+
+
+@query
+def rule_store(spark, d):
+    """Rules added and deleted at run time, then matched; references stay."""
+    from ..sources.rules import RuleStore
+
+    store = RuleStore(spark, scratch_dir(spark, "rule-store"))
+    for rule in CORE_RULES:
+        store.add(rule)
+    store.delete(next(i for i, r in store.list().items() if r.key == "tree"))
+    rules = store.rules()
+    counts = rule_ops.match_counts(rule_ops.match_rules(_kernel_norm(spark, d), rules, "intended"))
+    linked = spark.createDataFrame([(r.key, len(r.references)) for r in rules], "key string, refs bigint")
+    return counts.join(linked, "key")
+
+
 # --- files, tables, stores ------------------------------------------------------------------------------
 
 def _write_lines(df: DataFrame, spark, purpose: str) -> str:
@@ -1081,6 +1157,52 @@ def table_api(spark, d):
     return rows.select("time_", "pod_name", "pid")
 
 
+@query
+def span_files(spark, d):
+    """Span tables written and read back from a high-water mark on."""
+    path = scratch_dir(spark, "spans")
+    ev = si.events(spark, d)
+    si.dns_spans(ev).drop("event_id").write.parquet(f"{path}/dns")
+    si.http_spans(ev).drop("event_id").write.parquet(f"{path}/http")
+    mark = 1704672000 * times.NS
+    dns = spans.read_dns_spans(spark, f"{path}/dns", last_seen_ns=mark, inclusive=False, namespace="webapp")
+    http = spans.read_http_spans(spark, f"{path}/http", start_ns=mark, pod="pod-1")
+    return dns.select(F.lit("dns").alias("kind"), "time_", "pid").unionByName(
+        http.select(F.lit("http").alias("kind"), "time_", "pid"))
+
+
+@query
+def profile_files(spark, d):
+    """Profiles written as JSON lines, read back and split by kind."""
+    pages = si.page_spans(si.table(spark, d, "pages"))
+    kind = F.get(F.array(*[F.lit(k) for k in bundle_io.PROFILE_KINDS]), (F.col("page_id") % 5).cast("int"))
+    rows = pages.select(F.col("pod").alias("workload"), kind.alias("kind"), F.when(
+        F.col("page_id") % 2 == 0, F.lit("/a/" + bundle_io.WILDCARD)).otherwise(F.col("req_path")).alias("entry"))
+    path = scratch_dir(spark, "profiles")
+    rows.write.json(path)
+    parts = bundle_io.split_profile(bundle_io.read_profiles(spark, path))
+    out = None
+    for name, part in parts.items():
+        part = part.groupBy("is_wildcard").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("part"), "is_wildcard", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def tail_retention(spark, d):
+    """A tail of kernel logs: init rows dropped, rows older than the retention dropped."""
+    long = si.kernel_long(si.events(spark, d)).drop("event_id")
+    init = long.where("time < '2024-01-02'").select(F.lit(
+        '{"time":"2024-01-20T10:00:16Z","node_name":"init","type":"process_exec",'
+        '"payload":{"init":true}}').alias("value"))
+    path = _write_lines(long.select(F.to_json(F.struct("*")).alias("value")).unionByName(init), spark, "tail")
+    rows = tail.tail_files(spark, path, schemas.KERNEL_LONG)
+    rows = rows.select("event_ts", F.col("payload.process.pid").alias("pid"), "node_name")
+    kept = tail.within_retention(pipelines.drain_to_table(rows, "tail"), retention_hours=96)
+    return kept.select("pid", "node_name")
+
+
 @query
 def keyed_store(spark, d):
     """Two rounds of upserts into the keyed store; the last write stays."""
@@ -1106,11 +1228,21 @@ def queue_to_merged(spark, d):
 
 # --- streams ----------------------------------------------------------------------------------------------
 
-def _event_stream(spark, d):
-    si.tune(spark)
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    raw = pipelines.file_stream(spark, d, schema, "events.parquet")
-    return si.event_fields(si.utc(raw))
+FILES = 4
+
+
+def _event_stream(spark, d, late=False):
+    """Events in four files, one per batch, in the order of their time. With
+    ``late`` the last file also holds the rows of the first again."""
+    raw = si.utc(spark.read.parquet(f"{d}/events.parquet"))
+    first, last = raw.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    width = (last - first) // FILES + 1
+    place = F.floor((F.unix_micros("ts") - F.lit(first)) / width)
+    folder = scratch_dir(spark, "stream-events")
+    for i in range(FILES):
+        rows = raw.where((place == i) | (place == 0) if late and i == FILES - 1 else place == i)
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    return si.event_fields(pipelines.file_stream(spark, folder, raw.schema, "*.parquet", files_per_trigger=1))
 
 
 def _norm_stream(spark, d):
@@ -1119,8 +1251,10 @@ def _norm_stream(spark, d):
 
 @query
 def stream_dedupe(spark, d):
-    return pipelines.drain_to_table(
-        pipelines.dedupe_stream(_norm_stream(spark, d)).select("dedup_key"), "stream-dedupe")
+    """One row per fingerprint and ten minutes of event time."""
+    once = pipelines.dedupe_periods(_norm_stream(spark, d)).select(
+        "dedup_key", F.unix_seconds("period").alias("period"))
+    return pipelines.drain_to_table(once, "stream-dedupe")
 
 
 @query
@@ -1130,7 +1264,7 @@ def stream_match(spark, d):
     pipelines.match_etl(
         si.kernel_long(_event_stream(spark, d)), normalize.normalize_kernel,
         lambda: CORE_RULES, root, checkpoint).awaitTermination()
-    rows = spark.read.parquet(f"{root}/matched_rules")
+    rows = sinks.read_table(spark, root, "matched_rules")
     ids_of = F.from_json("matches", "array<struct<pattern_id:string>>")["pattern_id"]
     return rows.select(F.explode(ids_of).alias("pattern_id")).groupBy("pattern_id").agg(
         F.count(F.lit(1)).alias("n"))
@@ -1143,8 +1277,8 @@ def stream_spans(spark, d):
     pipelines.span_etl(
         si.dns_spans(_event_stream(spark, d)).drop("event_id"), normalize.normalize_dns, root,
         "dns_events", "dns_objects", checkpoint).awaitTermination()
-    raw = spark.read.parquet(f"{root}/dns_events").select("time_", "pid")
-    objects = spark.read.parquet(f"{root}/dns_objects").select(
+    raw = sinks.read_table(spark, root, "dns_events").select("time_", "pid")
+    objects = sinks.read_table(spark, root, "dns_objects").select(
         F.col("timestamp").alias("time_"),
         F.get_json_object("data", f"$.objects[0].extensions.{normalize.DNS_EXTENSION}.pid")
         .cast("bigint").alias("pid"))
@@ -1160,18 +1294,58 @@ def stream_incremental(spark, d):
         si.alerts(_event_stream(spark, d)),
         lambda batch: normalize.object_rows(normalize.normalize_alert(batch)),
         root, "alert_objects", checkpoint).awaitTermination()
-    return spark.read.parquet(f"{root}/alert_objects").groupBy("pod_name", "namespace").agg(
+    return sinks.read_table(spark, root, "alert_objects").groupBy("pod_name", "namespace").agg(
         F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last"))
 
 
 @query
 def stream_rate(spark, d):
-    rate = pipelines.rate_stream(_event_stream(spark, d), "ts", ["event_type"], "1 hour")
-    out = pipelines.drain_to_table(rate.withColumn("hour", F.unix_seconds("minute")).drop("minute"),
-                                   "stream-rate")
-    # The newest window stays open until the watermark passes it.
-    last = F.lit(1706572800)
-    return out.where(F.col("hour") < last)
+    return _rate(_event_stream(spark, d))
+
+
+def _rate(events):
+    rate = pipelines.rate_stream(events, "ts", ["event_type"], "1 hour")
+    rate = rate.withColumn("hour", F.unix_seconds("minute")).drop("minute")
+    return pipelines.drain_updates(rate, ["event_type", "hour"], "stream-rate")
+
+
+@query
+def stream_late(spark, d):
+    """Rows far behind the watermark change nothing."""
+    return _rate(_event_stream(spark, d, late=True))
+
+
+@query
+def stream_cooldown(spark, d):
+    alerts = _event_stream(spark, d).where("event_type = 'error'")
+    out = pipelines.cooldown_stream(alerts, ["namespace"], "ts", "6 hours", 3)
+    out = out.withColumn("period", F.unix_seconds("period"))
+    return pipelines.drain_updates(out, ["namespace", "period"], "stream-cooldown")
+
+
+@query
+def stream_observation_and(spark, d):
+    first, then = _kinds()
+    both = pipelines.observation_and_stream(_event_stream(spark, d), ["user_id"], "ts", first, then, "1 hour")
+    both = both.withColumn("window_start", F.unix_seconds("window_start"))
+    return pipelines.drain_updates(both, ["user_id", "window_start"], "stream-observation-and")
+
+
+@query
+def stream_then_next_batch(spark, d):
+    """A stream's table read by the read API: two batches after a mark, then the newest rows."""
+    root, checkpoint = scratch_dir(spark, "stream-next"), scratch_dir(spark, "stream-next-cp")
+    pipelines.span_etl(
+        si.dns_spans(_event_stream(spark, d)).drop("event_id"), normalize.normalize_dns, root,
+        "dns_events", "dns_objects", checkpoint).awaitTermination()
+    tie = ["pid"]
+    one = api.next_batch(spark, root, "dns_events", limit=10, tie=tie)
+    last = one.orderBy(F.col("time_").desc(), F.col("pid").desc()).select("time_", "pid").first()
+    two = api.next_batch(spark, root, "dns_events", tuple(last), 10, tie)
+    new = api.query_table(spark, root, "dns_events", {"namespace": "webapp"}, 10)
+    parts = [df.select(F.lit(name).alias("part"), "time_", "pid")
+             for name, df in (("first", one), ("second", two), ("newest", new))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query
@@ -1190,9 +1364,8 @@ def stream_repeats(spark, d):
     first, _ = _kinds()
     out = pipelines.repeats_stream(_event_stream(spark, d), ["user_id"], "ts", first, 2,
                                    "2 hours", "1 hour")
-    table = pipelines.drain_to_table(
-        out.withColumn("window_start", F.unix_seconds("window_start")), "stream-repeats")
-    return table.where(F.col("window_start") < F.lit(1706572800))
+    return pipelines.drain_updates(out.withColumn("window_start", F.unix_seconds("window_start")),
+                                   ["user_id", "window_start"], "stream-repeats")
 
 
 @query

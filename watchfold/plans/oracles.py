@@ -6,8 +6,42 @@ repeated here as common table expressions.
 
 from __future__ import annotations
 
-from ..operators.context import REASONS
-from ..sources.rules import CORE_RULES
+# Written out again, so that a mistake in the implementation shows.
+REASONS = {
+    "unexpected": "⚠️ Suspicious command execution detected: Marked as 'unexpected' execution.",
+    "root_outside": "⚠️ Root-level command executed outside the normal init process tree. "
+                    "Possible direct shell access.",
+    "root": "⚠️ Command executed with root privileges.",
+    "package": "⚠️ Detected package manager command (e.g., apt update). Could indicate "
+               "installation attempt.",
+    "dns": "⚠️ DNS query to security.ubuntu.com detected. Indicates interactive package "
+           "installation.",
+    "http": "⚠️ HTTP request to Ubuntu archive/security servers for InRelease files. Indicates "
+            "package list update.",
+}
+# Key, rule id, and what follows "indicator--" and "attack-pattern--", and the attack's name.
+RULES = [
+    ("nsenter", "1", "kh-ce-nsenter", "kh-ce-nsenter", "CE_NSENTER"),
+    ("sys-ptrace", "2", "kh-ce-sys-ptrace", "kh-ce-sys-ptrace", "CE_SYS_PTRACE"),
+    ("priv-mount", "3", "kh-ce-priv-mount", "kh-ce-priv-mount", "CE_PRIV_MOUNT"),
+    ("module-load", "5", "kh-ce-module-load", "kh-ce-module-load", "CE_MODULE_LOAD"),
+    ("net-mitm", "4", "kh-ce-net-mitm", "kh-ce-net-mitm", "CE_NET_MITM"),
+    ("var-log-symlink", "6", "kh-ce-var-log-symlink", "kh-ce-var-log-symlink", "CE_VAR_LOG_SYMLINK"),
+    ("var-log-route", "2", "kh-ce-var-log-route", "kh-ce-var-log-route", "CE_VAR_LOG_ROUTE"),
+    ("var-log-token", "3", "kh-ce-var-log-token", "kh-ce-var-log-TOKEN", "CE_VAR_LOG_TOKEN"),
+    ("var-log-rm-symlink", "4", "kh-ce-var-log-rm-symlink", "kh-ce-var-log-rm-symlink",
+     "CE_VAR_LOG_SYMLINK"),
+    ("umh-core-pattern", "7", "kh-ce-umh-core-pattern", "kh-ce-umh-core-pattern", "CE_UMH_CORE_PATTERN"),
+    ("containerd-sock", "8", "kh-exploit-containerd-sock", "kh-exploit-containerd-sock",
+     "EXPLOIT_CONTAINERD_SOCK"),
+    ("host-read", "9", "kh-exploit-host-read", "kh-exploit-host-read", "EXPLOIT_HOST_READ"),
+    ("host-write", "11", "kh-exploit-host-write", "kh-exploit-host-write", "EXPLOIT_HOST_WRITE"),
+    ("tree", "12", "containerescapeplusmount", "containerescapeplusmount", "TREE"),
+    ("escapemount", "13", "containerescapemount", "containerescapemount", "ESCAPEMOUNT"),
+    ("alert-flags", "14", "kubescapetest", "kubescapetest", "kubescapetest"),
+    ("trace-value", "15", "tracee", "tracee", "tracee"),
+    ("ping-mounts", "16", "kh-ce-var-log-symlink", "kh-ce-var-log-symlink", "CE_VAR_LOG_SYMLINK"),
+]
 
 ORACLES: dict[str, str] = {}
 
@@ -161,8 +195,11 @@ ev("flatten_args", """, t AS (SELECT * FROM ev WHERE k <> 7),
     UNION ALL SELECT event_id, '1_value_k', CAST(k AS VARCHAR) FROM t)
   SELECT event_id, key, value FROM e""")
 add("object_fingerprint", """SELECT md5('[{"key":"ext","value":"{\\"a\\":' || (o_custkey % 5)
-    || ',\\"z\\":\\"x\\"}"},{"key":"priority","value":"' || o_orderpriority
-    || '"},{"key":"status","value":"' || o_orderstatus || '"},{"key":"type","value":"process"}]')
+    || ',\\"z\\":\\"x\\"}"},{"key":"n","value":"' || CASE o_orderkey % 3 WHEN 0 THEN '1'
+      WHEN 1 THEN '\\"1\\"' ELSE 'true' END
+    || '"},{"key":"priority","value":"\\"' || o_orderpriority
+    || '\\""},{"key":"status","value":"\\"' || o_orderstatus
+    || '\\""},{"key":"type","value":"\\"process\\""}]')
     AS fingerprint, count(*) AS n, min(o_orderkey) AS first_order
   FROM orders GROUP BY 1""")
 
@@ -319,7 +356,13 @@ ker("kernel_policies", f"""SELECT event_id, 'enumerate-service-account' AS polic
     WHERE event_type = 'view' AND k < 50 AND k % 25 BETWEEN 1 AND 20
   UNION ALL SELECT event_id, 'k8s-api-calls' FROM ker WHERE fn = 'tcp_connect' AND k % 32 < 16
   UNION ALL SELECT event_id, 'monitor-network-activity-outside-cluster-cidr-range' FROM ker
-    WHERE fn = 'tcp_connect'""")
+    WHERE fn = 'tcp_connect'
+  UNION ALL SELECT event_id, 'detect-identity-assume' FROM ker
+    WHERE event_type = 'click' AND k < 20 AND k % 2 = 0
+  UNION ALL SELECT event_id, 'detect-ce-nsenter' FROM ker WHERE event_type = 'error'
+  UNION ALL SELECT event_id, 'detect-ce-priv-mount' FROM ker WHERE event_type = 'purchase'
+  UNION ALL SELECT event_id, 'list-syscalls' FROM ker
+    WHERE event_type = 'purchase' OR (event_type = 'view' AND k < 50)""")
 ADDR = """a AS (SELECT c_custkey, c_custkey % 4 AS o2, (c_custkey // 4) % 256 AS o3,
     c_custkey % 256 AS o4 FROM customer),
   ip AS (SELECT *, 167772160 + o2 * 65536 + o3 * 256 + o4 AS ip FROM a)"""
@@ -344,7 +387,7 @@ add("follow_children", f"""WITH RECURSIVE {LIN}, hit(id) AS (
 add("ancestry", f"""WITH RECURSIVE {LIN}, up(id, ancestor_id, depth) AS (
     SELECT id, parent_id, 1 FROM lin WHERE parent_id IS NOT NULL
     UNION ALL SELECT up.id, lin.parent_id, depth + 1 FROM up JOIN lin ON up.ancestor_id = lin.id
-      WHERE lin.parent_id IS NOT NULL AND depth < 16)
+      WHERE lin.parent_id IS NOT NULL)
   SELECT id, ancestor_id, CAST(depth AS INTEGER) AS depth FROM up""")
 
 # --- rules ------------------------------------------------------------------------------------
@@ -391,7 +434,7 @@ def hits(rules: dict[str, str], columns: str = "*") -> str:
         f"SELECT {columns}, '{k}' AS key FROM ker WHERE {p}" for k, p in rules.items())
 
 
-ORDER = {r.key: i for i, r in enumerate(CORE_RULES)}
+ORDER = {r[0]: i for i, r in enumerate(RULES)}
 RANK = "CASE key " + " ".join(f"WHEN '{k}' THEN {i}" for k, i in ORDER.items()) + " END"
 ker("kernel_rule_match", f"""SELECT pid, string_agg(key, ',' ORDER BY {RANK}) AS matches
   FROM ({hits(INTENDED, 'pid')}) GROUP BY pid""")
@@ -402,12 +445,13 @@ ker("strict_vs_intended_paths", f"""SELECT layout, key, count(*) AS n FROM (
 ker("gated_rules", """SELECT 'part-' || p_partkey AS key, count(*) AS n FROM part JOIN ker
     ON fn = CASE p_partkey % 3 WHEN 0 THEN '__x64_sys_setns' WHEN 1 THEN '__x64_sys_mount'
       ELSE 'security_file_permission' END AND contains(cmd, '"k": ' || (p_partkey % 100) || '}')
-  WHERE p_size = 3 GROUP BY 1""")
+  GROUP BY 1""")
 RULE_ROWS = "rules(key, rule_id, indicator_id, attack_id, attack_name) AS (VALUES " + ", ".join(
-    f"('{r.key}', '{r.rule_id}', '{r.indicator_id}', '{r.attack_id}', '{r.attack_name}')"
-    for r in CORE_RULES) + ")"
+    f"('{key}', '{rule}', 'indicator--{ind}', 'attack-pattern--{att}', '{name}')"
+    for key, rule, ind, att, name in RULES) + ")"
 ker("indicator_resolution", f"""SELECT indicator_id, attack_id AS target_ref, attack_name,
-    count(*) AS n FROM ({hits(INTENDED, 'pid')}) JOIN rules USING (key) GROUP BY 1, 2, 3""",
+    count(*) AS n FROM ({hits(INTENDED, 'pid')}) JOIN rules USING (key)
+    WHERE key <> 'var-log-token' GROUP BY 1, 2, 3""",  # its relationship points to no attack
     f", {RULE_ROWS}")
 
 # --- bundles ----------------------------------------------------------------------------------
@@ -523,7 +567,7 @@ ev("cooldown", """, c AS (SELECT event_id, namespace,
     ORDER BY ts, event_id) AS INTEGER) AS rank_in_key FROM c
   QUALIFY rank_in_key <= 3""")
 add("profile_portability", """WITH p AS (SELECT c_nationkey AS entry, 'customer' AS env FROM customer
-    WHERE c_custkey % 3 = 0 UNION SELECT s_nationkey, 'supplier' FROM supplier)
+    UNION SELECT s_nationkey, 'supplier' FROM supplier)
   SELECT entry, count(*) AS environments, min(env) AS first_environment, max(env) AS last_environment
   FROM p GROUP BY entry""")
 add("profile_sets", """WITH a AS (SELECT c_nationkey % 20 AS entry FROM customer),
@@ -543,9 +587,14 @@ add("dns_context", f"""WITH {CTX} SELECT al.event_id, sp.event_id AS span_id, sp
   JOIN sp ON abs(al.ns - sp.ns) < 15000000000 AND sp.k % 2 <> 0""")
 add("http_context", f"""WITH {CTX} SELECT al.event_id, sp.event_id AS span_id, al.pod AS source,
   sp.req_path FROM al JOIN sp ON al.pod = sp.pod AND abs(al.ns - sp.ns) < 3600000000000""")
-add("context_arrays", f"""WITH {CTX} SELECT al.event_id, CAST(count(sp.event_id) AS BIGINT) AS lookups,
-  true AS bounded, min(sp.ns) AS first_ns FROM al LEFT JOIN sp
-  ON abs(al.ns - sp.ns) < 300000000000 AND sp.k % 2 <> 0 GROUP BY 1""")
+add("context_arrays", f"""WITH {CTX}, p AS (SELECT al.event_id, sp.ns,
+    '{{"queries":[{{"name":"' || sp.query_name || '","type":"A"}}]}}' AS body, sp.k
+    FROM al JOIN sp ON abs(al.ns - sp.ns) < 300000000000 AND sp.k % 2 <> 0),
+  n AS (SELECT *, CAST((row_number() OVER (PARTITION BY event_id ORDER BY ns, k) - 1) // 4 AS INTEGER) AS page
+    FROM p),
+  g AS (SELECT event_id, page, string_agg(ns || ' ' || body, '|' ORDER BY ns, k) AS dns_logs FROM n GROUP BY 1, 2)
+  SELECT al.event_id, coalesce(page, 0) AS page, coalesce(dns_logs, '') AS dns_logs
+  FROM al LEFT JOIN g USING (event_id)""")
 add("context_counts", f"""WITH {CTX} SELECT al.event_id, count(sp.event_id) AS http_count,
   min(sp.ns) AS http_first, max(sp.ns) AS http_last FROM al LEFT JOIN sp
   ON al.pod = sp.pod AND abs(al.ns - sp.ns) < 3600000000000 GROUP BY 1""")
@@ -576,7 +625,7 @@ VT = corr_v1("ms_text", "container", "event_id", "node")
 BOTH = EV + f""",
 n AS (SELECT 'kernel' AS source, event_id AS pid, {proc(VK)} AS process_id FROM ev WHERE k % 3 <> 0
   UNION ALL SELECT 'trace', event_id, {proc(VT)} FROM (SELECT *, {MS} AS ms_text FROM ev)
-    WHERE k % 2 = 0)"""
+    WHERE k % 2 = 0 OR k % 3 = 0)"""
 add("cross_source", f"""WITH {BOTH}, c AS (SELECT process_id,
     count(*) FILTER (WHERE source = 'kernel') AS n_kernel,
     count(*) FILTER (WHERE source = 'trace') AS n_trace FROM n GROUP BY 1)
@@ -621,6 +670,30 @@ add("dialogue_followed_by", """SELECT conv_id, turn FROM conversations b WHERE r
   AND EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = b.conv_id AND a.role = 'system'
     AND a.turn < b.turn)""")
 
+ker("rule_sequences", """SELECT 'setns-then-mount' AS rule, pod, ns AS event_ts_ns FROM ker b
+    WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM ker a WHERE a.pod = b.pod
+      AND a.event_type = 'error' AND a.ns < b.ns AND b.ns - a.ns <= 7200000000000)
+  UNION ALL SELECT 'setns-repeats', pod, ns FROM (SELECT DISTINCT pod, ns, count(*) OVER (PARTITION BY pod
+      ORDER BY ns RANGE BETWEEN 86400000000000 PRECEDING AND CURRENT ROW) AS n FROM ker
+      WHERE event_type = 'error') WHERE n >= 2
+  UNION ALL SELECT 'setns-and-mount', pod, ns - ns % 3600000000000 FROM ker GROUP BY 2, 3
+    HAVING bool_or(event_type = 'error') AND bool_or(event_type = 'purchase')""")
+ker("rule_literals", """SELECT key, count(*) AS n FROM (
+    SELECT 'hex' AS key FROM ker UNION ALL SELECT 'binary' FROM ker WHERE namespace = 'webapp'
+    UNION ALL SELECT 'timestamp' FROM ker WHERE ts < TIMESTAMP '2024-01-10') GROUP BY 1""")
+ker("rule_store", f"""SELECT key, count(*) AS n, CAST(CASE WHEN key = 'nsenter' THEN 1 ELSE 0 END AS BIGINT)
+    AS refs FROM ({hits({k: v for k, v in INTENDED.items() if k != 'tree'}, 'pid')}) GROUP BY 1""")
+ev("span_files", """SELECT 'dns' AS kind, ns AS time_, event_id AS pid FROM ev
+    WHERE ns > 1704672000000000000 AND namespace = 'webapp'
+  UNION ALL SELECT 'http', ns, event_id FROM ev WHERE ns >= 1704672000000000000 AND pod = 'pod-1'""")
+add("profile_files", """SELECT CASE page_id % 5 WHEN 0 THEN 'exec' WHEN 1 THEN 'open' WHEN 2 THEN 'syscall'
+    WHEN 3 THEN 'capability' ELSE 'endpoint' END AS part, page_id % 2 = 0 AS is_wildcard, count(*) AS n
+  FROM pages GROUP BY 1, 2""")
+ev("tail_retention", """SELECT event_id AS pid, node AS node_name FROM ev
+  WHERE ts > (SELECT max(ts) FROM ev) - INTERVAL 96 HOURS""")
+ev("kernel_descendants", "SELECT event_id FROM ev WHERE user_id IN (1, 6) OR event_id = 3")
+ev("preview_rows", "SELECT CAST(7 AS BIGINT) AS n, CAST(7 AS BIGINT) AS with_time")
+
 # --- files, tables, stores ------------------------------------------------------------------------------
 
 ker("file_kernel_wide", f"""SELECT pid, corr_id, {K0} AS k0, {K1} AS k1, dedup_key FROM ker""")
@@ -653,7 +726,8 @@ ker("queue_to_merged", """, s AS (SELECT *, last_rule || ':' || dedup_key AS sto
 
 # --- streams ----------------------------------------------------------------------------------------------
 
-ker("stream_dedupe", "SELECT DISTINCT dedup_key FROM ker")
+ker("stream_dedupe", """SELECT DISTINCT dedup_key, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS period
+  FROM ker""")
 ker("stream_match", f"""SELECT rule_id AS pattern_id, count(*) AS n FROM ({hits(FLAT, 'pid')})
   JOIN rules USING (key) GROUP BY 1""", f", {RULE_ROWS}")
 ev("stream_spans", """SELECT ns AS time_, event_id AS pid, 'raw' AS written FROM ev
@@ -661,11 +735,21 @@ ev("stream_spans", """SELECT ns AS time_, event_id AS pid, 'raw' AS written FROM
 ev("stream_incremental", """SELECT pod AS pod_name, namespace, count(*) AS n, max(sec_text) AS last
   FROM ev GROUP BY 1, 2""")
 ev("stream_rate", """SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour,
-  count(*) AS n FROM ev WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1, 2""")
+  count(*) AS n FROM ev GROUP BY 1, 2""")
+ORACLES["stream_late"] = ORACLES["stream_rate"]
+ev("stream_cooldown", """SELECT namespace, CAST(epoch(time_bucket(INTERVAL 6 HOURS, ts,
+    TIMESTAMP '1970-01-01')) AS BIGINT) AS period, count(*) AS n, least(count(*), 3) AS passed
+  FROM ev WHERE event_type = 'error' GROUP BY 1, 2""")
+ORACLES["stream_observation_and"] = ORACLES["observation_and"]
+ev("stream_then_next_batch", """, o AS (SELECT ns AS time_, event_id AS pid, namespace,
+    row_number() OVER (ORDER BY ns, event_id) AS n FROM ev),
+  w AS (SELECT time_, pid FROM o WHERE namespace = 'webapp' ORDER BY time_ DESC LIMIT 10)
+  SELECT CASE WHEN n <= 10 THEN 'first' ELSE 'second' END AS part, time_, pid FROM o WHERE n <= 20
+  UNION ALL SELECT 'newest', time_, pid FROM w""")
 ev("stream_context", """SELECT a.event_id AS alert_id, b.event_id AS span_id FROM ev a JOIN ev b
   ON a.event_type = 'error' AND b.event_type <> 'error' AND abs(a.ns - b.ns) < 15000000000""")
 ev("stream_repeats", """, w AS (SELECT user_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT)
       - 3600 * d AS window_start FROM ev, (VALUES (0), (1)) t(d) WHERE event_type = 'error')
-  SELECT user_id, window_start, count(*) AS repeats FROM w WHERE window_start < 1706572800
+  SELECT user_id, window_start, count(*) AS repeats FROM w
   GROUP BY 1, 2 HAVING count(*) >= 2""")
 ev("stream_followed_by", WITHIN)

@@ -39,6 +39,28 @@ class Rule:
     relationship_id: str
     predicates: tuple[Predicate, ...] = field(default_factory=tuple)
     references: tuple[tuple[str, str, str], ...] = ()
+    # What the relationship points to and how the pattern was written, where
+    # that is not what follows from the rest.
+    target: str = ""
+    written: str = ""
+    # How several observations combine: AND, OR or FOLLOWEDBY; a time span for
+    # all of them in seconds; how often one must be seen.
+    combine: str = ""
+    within: float | None = None
+    repeats: int = 1
+
+    @property
+    def target_ref(self) -> str:
+        return self.target or self.attack_id
+
+    @property
+    def observations(self) -> list[int]:
+        return sorted({p.observation for p in self.predicates}) or [0]
+
+    @property
+    def one_log(self) -> bool:
+        """Whether a single log decides."""
+        return self.observations == [0] and self.repeats == 1
 
     def groups(self, observation: int = 0) -> list[list[Predicate]]:
         out: dict[int, list[Predicate]] = {}
@@ -104,7 +126,11 @@ CORE_RULES = [
          "relationship--kh-ce-var-log-symlink",
          (_m(0, CMD, "ln -s"), _m(0, FN, "__x64_sys_symlinkat"),
           _m(1, "process:extensions.kprobe2.string_arg", "var/log"),
-          _m(2, CMD, "/proc/net/route"), _m(3, CMD, "ip"))),
+          _m(2, CMD, "/proc/net/route"), _m(3, CMD, "ip")),
+         written="[(process:command_line MATCHES 'ln -s' AND process:extensions.function_name "
+                 "MATCHES '__x64_sys_symlinkat' OR process:extensions.kprobe2.string_arg MATCHES "
+                 "'var/log') OR (process:command_line MATCHES '/proc/net/route' OR "
+                 "process:command_line MATCHES 'ip')]"),
     Rule("var-log-route", "2", "CE_VAR_LOG_ROUTE", "attack-pattern--kh-ce-var-log-route",
          "CE_VAR_LOG_ROUTE",
          "Arbitrary file reads on the host from a node via an exposed /var/log mount by calling "
@@ -118,7 +144,8 @@ CORE_RULES = [
          "relationship--kh-ce-var-log-token",
          (_m(0, FN, "security_file_permission"),
           _m(0, "process:extensions.kprobe0.file_arg.path",
-             "/run/secrets/kubernetes.io/serviceaccount/"))),
+             "/run/secrets/kubernetes.io/serviceaccount/")),
+         target="attack-pattern--kh-ce-var-log-token"),
     Rule("var-log-rm-symlink", "4", "CE_VAR_LOG_RM_SYMLINK",
          "attack-pattern--kh-ce-var-log-rm-symlink", "CE_VAR_LOG_SYMLINK", VAR_LOG_NOTE,
          "indicator--kh-ce-var-log-rm-symlink", "Remove Symlink to log dir",
@@ -171,7 +198,7 @@ CORE_RULES = [
 def _calibration(base_key, description, predicates, **changes):
     base = next(r for r in CORE_RULES if r.key == base_key)
     return replace(base, key="calibration-" + base_key, attack_description=description,
-                   predicates=predicates, **changes)
+                   predicates=predicates, written="", **changes)
 
 
 CALIBRATION_RULES = [
@@ -222,10 +249,22 @@ def pattern_text(rule: Rule) -> str:
             return f"{p.path} {neg}IN ({items})"
         return f"{p.path} {neg}{p.op} {_literal(p)}"
 
-    groups = [" AND ".join(one(p) for p in g) for g in rule.groups()]
-    if len(groups) > 1:
-        groups = [f"({g})" if " AND " in g else g for g in groups]
-    return "[" + " OR ".join(groups) + "]"
+    def observation(n):
+        groups = [" AND ".join(one(p) for p in g) for g in rule.groups(n)]
+        if len(groups) > 1:
+            groups = [f"({g})" if " AND " in g else g for g in groups]
+        return "[" + " OR ".join(groups) + "]"
+
+    if rule.written:
+        return rule.written
+    text = f" {rule.combine or 'AND'} ".join(observation(n) for n in rule.observations)
+    if len(rule.observations) > 1 and (rule.within is not None or rule.repeats > 1):
+        text = f"({text})"
+    if rule.repeats > 1:
+        text += f" REPEATS {rule.repeats} TIMES"
+    if rule.within is not None:
+        text += f" WITHIN {rule.within:g} SECONDS"
+    return text
 
 
 def rule_objects(rule: Rule) -> list[dict]:
@@ -245,7 +284,7 @@ def rule_objects(rule: Rule) -> list[dict]:
     }
     relationship = {
         "type": "relationship", "id": rule.relationship_id, "relationship_type": "indicates",
-        "source_ref": rule.indicator_id, "target_ref": rule.attack_id,
+        "source_ref": rule.indicator_id, "target_ref": rule.target_ref,
     }
     return [attack, indicator, relationship]
 
@@ -258,7 +297,10 @@ def rule_objects_json(rule: Rule) -> list[str]:
 
 _TEXT = ["key", "rule_id", "name", "attack_id", "attack_name", "attack_description",
          "indicator_id", "indicator_name", "indicator_description", "relationship_id"]
-RULE_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in _TEXT])
+_MORE = ["target", "written", "combine"]
+RULE_SCHEMA = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in [*_TEXT, *_MORE, "references"]],
+    T.StructField("within", T.DoubleType()), T.StructField("repeats", T.IntegerType())])
 PREDICATE_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("observation", T.IntegerType()),
     T.StructField("or_group", T.IntegerType()), T.StructField("path", T.StringType()),
@@ -268,7 +310,9 @@ PREDICATE_SCHEMA = T.StructType([
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    return spark.createDataFrame([tuple(getattr(r, n) for n in _TEXT) for r in rules], RULE_SCHEMA)
+    rows = [(*[getattr(r, n) for n in [*_TEXT, *_MORE]], json.dumps(r.references),
+             None if r.within is None else float(r.within), r.repeats) for r in rules]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
 def predicates_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
@@ -283,7 +327,7 @@ def predicates_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 def edges_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """The relationship objects as rows: indicator -> attack pattern."""
     return spark.createDataFrame(
-        [(r.key, r.relationship_id, r.indicator_id, r.attack_id) for r in rules],
+        [(r.key, r.relationship_id, r.indicator_id, r.target_ref) for r in rules],
         "key string, relationship_id string, source_ref string, target_ref string")
 
 
@@ -296,7 +340,9 @@ def load_rules(rules: DataFrame, predicates: DataFrame) -> list[Rule]:
             p["or_group"], p["path"], p["op"], json.loads(p["value"]), p["value_type"],
             p["negated"], p["observation"]))
     return [
-        Rule(**{n: r[n] for n in _TEXT}, predicates=tuple(by_key.get(r["key"], ())))
+        Rule(**{n: r[n] for n in [*_TEXT, *_MORE, "within", "repeats"]},
+             predicates=tuple(by_key.get(r["key"], ())),
+             references=tuple(tuple(x) for x in json.loads(r["references"])))
         for r in rules.toLocalIterator()
     ]
 
@@ -352,7 +398,7 @@ class RuleStore:
 
 def _rule_dict(rule: Rule) -> dict:
     return {
-        **{n: getattr(rule, n) for n in _TEXT},
+        **{n: getattr(rule, n) for n in [*_TEXT, *_MORE, "within", "repeats"]},
         "predicates": [vars(p) for p in rule.predicates],
         "references": [list(r) for r in rule.references],
     }
