@@ -33,6 +33,7 @@ MOST_LANGUAGES = 1_000
 PAD = "\0" * ORDER          # context of a text's first bytes
 STEP = 1 << 20              # positions scored at a time
 UNKNOWN = "und"
+MOST_BITS_A_BYTE = 12       # of a text in a learned language; a byte never seen costs over 20
 
 
 def padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -260,14 +261,14 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", into: str = "
 def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` whose text is in one of the languages that its labelled rows teach.
 
-    Rejected are texts without a letter and texts that no language's statistics compress below
-    eight bits a byte, which is what bytes without any statistics cost.
+    Rejected are texts without a letter and texts that cost ``MOST_BITS_A_BYTE`` under every
+    language: such as in a script that none of them has. A short text of rare letters stays.
     """
     model = learn(docs.where(~held_out("doc_id")), "doc_id", text_col)
     into, = unused(docs, "language")
     found = identify(docs, model, text_col, into)
     found = found.where((F.col(f"{into}.lang_pred") != UNKNOWN)
-                        & (F.col(f"{into}.bits") < 8 * F.col(f"{into}.bytes")))
+                        & (F.col(f"{into}.bits") < MOST_BITS_A_BYTE * F.col(f"{into}.bytes")))
     return found.drop(into)
 
 
