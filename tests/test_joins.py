@@ -406,3 +406,28 @@ def test_few_pairs_are_one_array(spark):
     pages = context.context_arrays(ldf, pairs, "lid", ["rt", "rid"], "spans").collect()
     assert len(pages) == len(left) and {p["page"] for p in pages} == {0}
     assert all([tuple(x) for x in p["spans"]] == sorted(tuple(x) for x in p["spans"]) for p in pages)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_split_join_of_a_hot_key(spark, how):
+    left = spark.createDataFrame([(i, 7 if i % 10 else i) for i in range(400)], "id int, k int")
+    right = spark.createDataFrame([(7, "a"), (7, "b"), (20, "c"), (999, "d")], "k int, v string")
+    got = skew.split_join(left, right, ["k"], how, ["id"], rows_per_task=50)
+    want = left.join(right, "k", how)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_one_parent_of_nearly_all(spark):
+    df = spark.createDataFrame([(i, (1 if i % 10 else 2) if i > 2 else (0 if i else None)) for i in range(300)],
+                               "id bigint, parent_id bigint")
+    assert graph.descendants_of(df, F.col("id") == 0, rows_per_task=20).count() == 300
+    assert sorted(map(tuple, graph.ancestry(df, rows_per_task=20).collect())) == sorted(
+        map(tuple, graph.ancestry(df).collect()))
+
+
+def test_one_block_of_nearly_all(spark):
+    rows = spark.createDataFrame([(i, f"10.{i % 3 == 0 and 9 or 1}.0.{i % 200}") for i in range(300)], "i int, ip string")
+    blocks = spark.createDataFrame([("a", "10.1.0.0/16"), ("b", "10.0.0.0/8")], "name string, block string")
+    got = policies.in_block_table(rows, "ip", blocks, "block", rows_per_task=25)
+    assert got.groupBy("name").count().sort("name").collect() == [("a", 200), ("b", 300)]
+    assert set(got.columns) == {"i", "ip", "name", "block"}

@@ -138,8 +138,20 @@ def test_upsert_keeps_the_last_write(spark, tmp_path):
     df = lambda rows: spark.createDataFrame(rows, "k string, t int, v string")
     sinks.upsert(spark, path, df([("a", 1, "x"), ("a", 3, "y"), ("b", 1, "z")]), ["k"], ["t"], 4)
     sinks.upsert(spark, path, df([("a", 2, "late"), ("c", 1, "new"), ("b", 9, "w")]), ["k"], ["t"], 4)
-    got = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+    got = {r["k"]: r["v"] for r in sinks.read_store(spark, path).collect()}
     assert got == {"a": "y", "b": "w", "c": "new"}
+    # The number of slots stays the one that the store was made with.
+    sinks.upsert(spark, path, df([("d", 1, "q")]), ["k"], ["t"], 9)
+    assert {r["k"] for r in sinks.read_store(spark, path).collect()} == set("abcd")
+    assert [r[0] for r in spark.read.parquet(path).select("buckets").distinct().collect()] == [4]
+
+
+def test_a_slot_with_two_rounds_reads_its_newest(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = lambda rows: spark.createDataFrame(rows, "k string, t int")
+    for t in range(3):
+        sinks.upsert(spark, path, df([("a", t), (f"n{t}", t)]), ["k"], ["t"], 1)
+    assert sorted(map(tuple, sinks.read_store(spark, path).collect())) == [("a", 2), ("n0", 0), ("n1", 1), ("n2", 2)]
 
 
 def test_null_fields_are_left_out(spark, tmp_path):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.bundles import WILDCARD
-from .skew import first_n_per_key, first_per_key, salted_join
+from .skew import ROWS_PER_TASK, first_n_per_key, first_per_key, salted_join, split_join
 
 
 def dedupe(df: DataFrame, key: str = "dedup_key", order: list[str] | None = None) -> DataFrame:
@@ -68,8 +68,8 @@ def _segments(path: Column) -> Column:
     return F.split(path, "/")
 
 
-def deviations_wildcard(df: DataFrame, profile: DataFrame,
-                        salt_by: list[str] | None = None) -> DataFrame:
+def deviations_wildcard(df: DataFrame, profile: DataFrame, salt_by: list[str] | None = None,
+                        rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """As ``deviations``, with entries in which one mark stands for one path
     segment.
 
@@ -93,7 +93,9 @@ def deviations_wildcard(df: DataFrame, profile: DataFrame,
         "_seg", lambda s, i: F.when(F.array_contains("_mask", i), F.lit(WILDCARD)).otherwise(s)),
         "/"))
     known = entries.select("workload", "kind", F.col("entry").alias("_masked"))
-    hits = probes.join(known, ["workload", "kind", "_masked"], "left_semi").select(*BEHAVIOUR)
+    # All ``/proc/<n>/…`` paths of a workload mask to one key: hot keys are split.
+    hits = split_join(probes, known, ["workload", "kind", "_masked"], "left_semi", ["entry"],
+                      rows_per_task).select(*BEHAVIOUR)
     return salted_join(df, hits.distinct(), BEHAVIOUR, "left_anti", salt_by or ["event_ts"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .skew import ROWS_PER_TASK, split_join
 
 
 def nodes(objects: DataFrame) -> DataFrame:
@@ -44,14 +45,14 @@ def lineage_of(kernel: DataFrame) -> DataFrame:
     return newest.select("id", "log.parent_id", "log.binary", "log.pid")
 
 
-def ancestry(lineage: DataFrame) -> DataFrame:
+def ancestry(lineage: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(id, ancestor_id, depth) for all ancestors of every process.
 
     Doubling: what is known up to depth d, joined with itself at depth exactly d,
     gives all up to 2 d, so the deepest process takes log2 of its depth joins.
     Each round is a written table, so plans stay short and a lost executor costs
-    one round. A popular ancestor is a hot key on one side only, which the
-    adaptive skew join splits. A process that is its own ancestor is an error.
+    one round. A popular ancestor is a hot key on one side only, which is split.
+    A process that is its own ancestor is an error.
     """
     known = cut_lineage(lineage.where("parent_id IS NOT NULL").select(
         "id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")))
@@ -62,10 +63,10 @@ def ancestry(lineage: DataFrame) -> DataFrame:
         so_far = levels[0]
         for level in levels[1:]:
             so_far = so_far.unionByName(level)
-        further = so_far.select(F.col("id").alias("_id"), F.col("ancestor_id").alias("_up"),
+        further = so_far.select(F.col("id").alias("_via"), F.col("ancestor_id").alias("_up"),
                                 F.col("depth").alias("_depth"))
-        edge = so_far.where(F.col("depth") == reach)
-        known = cut_lineage(edge.join(further, edge["ancestor_id"] == further["_id"]).select(
+        edge = so_far.where(F.col("depth") == reach).select("id", F.col("ancestor_id").alias("_via"), "depth")
+        known = cut_lineage(split_join(edge, further, ["_via"], "inner", ["id"], rows_per_task).select(
             "id", F.col("_up").alias("ancestor_id"), (F.col("depth") + F.col("_depth")).alias("depth")))
         if known.isEmpty():
             return so_far
@@ -73,12 +74,14 @@ def ancestry(lineage: DataFrame) -> DataFrame:
         reach *= 2
 
 
-def descendants_of(lineage: DataFrame, is_root: Column) -> DataFrame:
+def descendants_of(lineage: DataFrame, is_root: Column,
+                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Processes that satisfy ``is_root`` or have an ancestor that does.
 
     Pointer doubling: after round k every process knows about its nearest 2^k
     ancestors, so depth d takes log2(d) joins. Settled rows (a hit, or no
-    further ancestor) are not joined again. Rows still open when 2^k exceeds the
+    further ancestor) are not joined again; the one ancestor that most open rows
+    soon point to is a hot key, which is split. Rows still open when 2^k exceeds the
     number of processes can only be on a cycle, which is an error.
     """
     state = cut_lineage(lineage.select(
@@ -92,8 +95,9 @@ def descendants_of(lineage: DataFrame, is_root: Column) -> DataFrame:
         if not rounds:
             raise ValueError("the lineage has a cycle")
         rounds -= 1
-        table = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"),
+        table = state.select(F.col("id").alias("_via"), F.col("up").alias("_up"),
                              F.col("hit").alias("_hit"))
-        moved = open_rows.join(table, open_rows["up"] == table["_id"], "left").select(
+        via = open_rows.select("id", F.col("up").alias("_via"))
+        moved = split_join(via, table, ["_via"], "left", ["id"], rows_per_task).select(
             "id", F.col("_up").alias("up"), F.coalesce("_hit", F.lit(False)).alias("hit"))
         state = cut_lineage(state.where("hit OR up IS NULL").unionByName(moved))

@@ -15,7 +15,7 @@ from ..functions import net
 from .barrier import once
 from .filters import all_of, any_of
 from .rules import SEPARATOR
-from .skew import salted_join
+from .skew import ROWS_PER_TASK, salted_join, split_join
 
 
 @dataclass(frozen=True)
@@ -226,12 +226,14 @@ def tag_policies(events: DataFrame, policies: list[Policy], function: Column,
         "_names", "_event")
 
 
-def in_block_table(rows: DataFrame, ip: str, blocks: DataFrame, block: str) -> DataFrame:
+def in_block_table(rows: DataFrame, ip: str, blocks: DataFrame, block: str,
+                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Addresses against a table of blocks, as an equi-join.
 
     An address is inside a /p block when its top p bits are the block's, so each
     address is shifted by every prefix length in use (at most 33 values) and
-    joined on (length, shifted address). No range comparison, no nested loop.
+    joined on (length, shifted address). No range comparison, no nested loop; a
+    wide block that holds most addresses is a hot key, which is split.
     """
     key, bits = net.block_key(F.col(block))
     keyed = blocks.select("*", key.alias("_net"), bits.alias("_bits")).where("_net IS NOT NULL")
@@ -240,7 +242,9 @@ def in_block_table(rows: DataFrame, ip: str, blocks: DataFrame, block: str) -> D
     probes = rows.withColumn("_ip", net.ipv4(F.col(ip))).where("_ip IS NOT NULL").select(
         "*", F.explode(lengths).alias("_bits")
     ).withColumn("_net", F.expr("shiftright(_ip, 32 - _bits)"))
-    return probes.join(keyed, ["_bits", "_net"]).drop("_bits", "_net", "_ip")
+    joined = split_join(probes.withColumnRenamed(ip, "_addr"), keyed, ["_bits", "_net"], "inner", [
+        "_ip", *[c for c, t in rows.dtypes if c != ip and "map" not in t and "variant" not in t]], rows_per_task)
+    return joined.withColumnRenamed("_addr", ip).drop("_bits", "_net", "_ip")
 
 
 def followed(events: DataFrame, lineage: DataFrame, binaries: tuple[str, ...] = (),

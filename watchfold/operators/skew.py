@@ -25,6 +25,29 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+ROWS_PER_TASK = 4_000_000
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salt_by: list[str],
+               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Equi-join (inner, left, left_semi, left_anti) that splits the left side's hot keys.
+
+    Keys are counted first (partial counts per task). One with more than
+    ``rows_per_task`` rows is dealt to as many salts as it needs, and only such
+    keys' right rows are repeated. There are at most rows / ``rows_per_task`` of
+    them, which bounds the table of salts that is broadcast. ``left`` is read
+    twice, so it should be a table or a cheap scan.
+    """
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_task)
+    sizes = F.broadcast(sizes.select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(sizes, on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int")).drop("_salts")
+    copied = right.join(sizes, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row per key in ``order``.
 

@@ -1212,7 +1212,7 @@ def keyed_store(spark, d):
     for part in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1"):
         sinks.upsert(spark, path, o.where(part), ["o_custkey"], ["o_orderdate", "o_orderkey"],
                      buckets=8)
-    return spark.read.parquet(path).select("o_custkey", "o_orderkey", "o_orderstatus")
+    return sinks.read_store(spark, path).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
 @query

@@ -105,20 +105,49 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str],
            order: list[str], buckets: int = 64) -> None:
     """Keyed last-write-wins store in hash-partitioned Parquet.
 
-    Only the hash partitions that received an update are read and rewritten
-    (dynamic partition overwrite); the merged rows go through a written table
-    first, since a plan must not overwrite what it reads.
+    Only the hash partitions (slots) that received an update are read, and their
+    new content is written beside the old one under the next version: what is
+    there is never overwritten, so a run that dies leaves the store as it was.
+    Each slot is written by one task. ``buckets`` counts when the store is made;
+    the number is kept in its folders.
     """
-    from ..session import cut_lineage
-
+    versions = _versions(spark, path)
+    buckets = next(iter(versions))[0] if versions else buckets
     slot = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    fresh = cut_lineage(latest_per_key(updates, keys, order).withColumn("slot", slot))
-    if _exists(spark, path):
-        touched = [r[0] for r in fresh.select("slot").distinct().collect()]  # <= buckets values
-        old = spark.read.parquet(path).where(F.col("slot").isin(touched))
-        fresh = cut_lineage(latest_per_key(old.unionByName(fresh), keys, order))
-    (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("slot").parquet(path))
+    fresh = latest_per_key(updates, keys, order).withColumn("slot", slot)
+    if versions:
+        from ..session import cut_lineage
+
+        fresh = cut_lineage(fresh)
+        touched = {r[0] for r in fresh.select("slot").distinct().collect()}  # <= buckets values
+        old = _current(spark, path, {k: v for k, v in versions.items() if k[1] in touched})
+        fresh = latest_per_key(old.select(fresh.columns).unionByName(fresh), keys, order)
+    version = max(versions.values(), default=0) + 1
+    (fresh.withColumns({"buckets": F.lit(buckets), "version": F.lit(version)})
+     .repartition("slot").write.mode("append").partitionBy("buckets", "slot", "version").parquet(path))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The store's rows: the newest version of every slot."""
+    return _current(spark, path, _versions(spark, path)).drop("buckets", "slot", "version")
+
+
+def _versions(spark: SparkSession, path: str) -> dict[tuple[int, int], int]:
+    """(buckets, slot) -> newest version, from the folders' names."""
+    if not _exists(spark, path):
+        return {}
+    rows = spark.read.parquet(path).groupBy("buckets", "slot").agg(F.max("version")).collect()
+    return {(r[0], r[1]): r[2] for r in rows}  # one for each slot
+
+
+def _current(spark: SparkSession, path: str, versions: dict[tuple[int, int], int]) -> DataFrame:
+    wanted: dict[int, list[int]] = {}
+    for (_, slot), version in versions.items():
+        wanted.setdefault(version, []).append(slot)
+    newest = F.lit(False)
+    for version, slots in wanted.items():
+        newest = newest | ((F.col("version") == version) & F.col("slot").isin(slots))
+    return spark.read.parquet(path).where(newest)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
