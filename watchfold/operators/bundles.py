@@ -33,6 +33,10 @@ def relationship(source_ref: Column, target_ref: Column, kind: str, at: Column,
         target_ref.alias("target_ref")))
 
 
+def bundle_id() -> Column:
+    return ids.object_id("bundle", F.col("corr_id"), F.col("time_text"), F.col("dedup_key"))
+
+
 def assemble(matched: DataFrame, rules: list[Rule], flat: bool = False,
              with_rule_objects: bool = True) -> DataFrame:
     """Matched logs (with ``matches``) to bundles, row by row.
@@ -41,8 +45,7 @@ def assemble(matched: DataFrame, rules: list[Rule], flat: bool = False,
     process, observed-data (its refs extended by the indicators), one
     relationship per match, then the rules' own objects.
     """
-    bundle_id = ids.object_id("bundle", F.col("corr_id"), F.col("time_text"), F.col("dedup_key"))
-    df = matched.withColumn("bundle_id", bundle_id)
+    df = matched.withColumn("bundle_id", bundle_id())
     indicators = F.transform(
         "matches", lambda k: F.element_at(rule_lookup(rules, "indicator_id"), k))
     df = df.withColumn("indicator_ids", indicators)
@@ -85,8 +88,7 @@ def matched_rule_rows(matched: DataFrame, rules: list[Rule], flat: bool = False)
     """Rows of the matched-rules table: the two log objects plus the matches as
     an extension, no relationships."""
     df = matched.withColumns({
-        "bundle_id": ids.object_id(
-            "bundle", F.col("corr_id"), F.col("time_text"), F.col("dedup_key")),
+        "bundle_id": bundle_id(),
         "objects": F.array(normalize.process_object(flat), normalize.observed_object(flat=flat)),
         "_m": matches_text(rules),
     })
@@ -133,17 +135,18 @@ def consolidate(bundles: DataFrame, group: Column, order: list[str],
     objects = explode_for_merge(grouped, order)
     position = [F.col(c).asc() for c in [*order, "bundle_id", "pos"]]
     kept = first_per_key(objects, ["group_key", "type", "fingerprint"], position)
-    heads = grouped.groupBy("group_key").agg(
+    # The first object of a group's first bundle is always kept, so the kept rows,
+    # whose exchange is read a second time, know the group's head.
+    heads = kept.groupBy("group_key").agg(
         F.min(F.struct(*order, "bundle_id")).alias("_head")
     ).select("group_key", F.col("_head.bundle_id").alias("merged_id"))
     if keep_first_whole:
         first_rows = salted_join(grouped, heads, ["group_key"], "inner", ["bundle_id"]).where(
             F.col("bundle_id") == F.col("merged_id"))
         firsts = explode_for_merge(first_rows, [*order, "merged_id"])
-        later = salted_join(kept, heads, ["group_key"], "inner", ["fingerprint"]).where(
-            F.col("bundle_id") != F.col("merged_id"))
+        later = kept.join(heads, "group_key").where(F.col("bundle_id") != F.col("merged_id"))
         return firsts.unionByName(later)
-    return salted_join(kept, heads, ["group_key"], "inner", ["fingerprint"])
+    return kept.join(heads, "group_key")
 
 
 def consolidate_by_rule(bundles: DataFrame, order: list[str], rule: str = "rule_id",

@@ -81,10 +81,18 @@ def preview(df: DataFrame, n: int = 10, columns: list[str] | None = None) -> Dat
 
 
 def run_script(tables: dict[str, DataFrame],
-               script: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
-               ) -> dict[str, DataFrame]:
-    """Several named outputs from one function over the tables."""
-    return script(tables)
+               script: Callable[[dict[str, DataFrame]], dict[str, DataFrame]],
+               root: str | None = None) -> dict[str, DataFrame]:
+    """Several named outputs of one function over the tables. With ``root`` each
+    output is written to a folder of its name and read back, so that all of them
+    come from one run of the script."""
+    outputs = script(tables)
+    if root is None:
+        return outputs
+    for name, df in outputs.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    return {name: df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+            for name, df in outputs.items()}
 
 
 def transform(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -112,13 +120,13 @@ def alert_bundles(alerts: DataFrame, rules: list[Rule] | None = None,
 def convert_queue(lines: DataFrame, rules: list[Rule] | None = None, layout: str = "flat",
                   column: str = "value") -> DataFrame:
     """A mixed queue of raw lines to stored bundles: dispatch, normalise, match,
-    assemble, and keep the last bundle per ``rule:fingerprint`` key."""
+    keep the last match per ``rule:fingerprint`` key, and assemble only those."""
     rules = CORE_RULES if rules is None else rules
     norm = normalize.normalize_mixed(lines, column)
-    built = bundles.assemble(rule_ops.match_rules(norm, rules, layout), rules, flat=True)
-    keyed = built.withColumns({
-        "store_key": bundles.store_key(rules), "bundle": bundles.bundle_text()})
-    return sinks.latest_per_key(keyed, ["store_key"], ["event_ts_ns", "bundle_id"])
+    keyed = rule_ops.match_rules(norm, rules, layout).withColumns({
+        "store_key": bundles.store_key(rules), "bundle_id": bundles.bundle_id()})
+    last = sinks.latest_per_key(keyed, ["store_key"], ["event_ts_ns", "bundle_id"])
+    return bundles.assemble(last, rules, flat=True).withColumn("bundle", bundles.bundle_text())
 
 
 def merge_by_rule(stored: DataFrame, **kw) -> DataFrame:

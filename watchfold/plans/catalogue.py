@@ -936,7 +936,7 @@ def script_outputs(spark, d):
                 F.col("req_path").alias("name"), "n"),
         }
 
-    outs = api.run_script({"http": si.http_spans(si.events(spark, d))}, script)
+    outs = api.run_script({"http": si.http_spans(si.events(spark, d))}, script, scratch_dir(spark, "script"))
     return outs["status"].withColumn("output", F.lit("status")).unionByName(
         outs["paths"].withColumn("output", F.lit("paths")))
 
