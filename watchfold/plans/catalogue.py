@@ -860,6 +860,19 @@ def severity_bands(spark, d):
     return context.severity_bands(_scored(spark, d))
 
 
+@query
+def scored_bundle(spark, d):
+    """Alerts scored end to end: with the exec of their process and the lookups and
+    requests of the fifteen seconds around them."""
+    ev = si.events(spark, d)
+    execs = si.kernel_long(ev.withColumn("event_type", F.lit("signup")))
+    pods = si.table(spark, d, "nation").select(
+        si.text("10.0.0.", F.col("n_nationkey")).alias("ip"), si.text("ns/", F.col("n_name")).alias("pod_of_ip"))
+    out = api.scored_bundle(si.alerts(ev), execs, si.dns_spans(ev), si.http_spans(ev), pods)
+    return out.select("pod", "pid", "timestamp", "severity", F.array_join("reasons", "|").alias("reasons"),
+                      F.col("score").cast("string").alias("score"))
+
+
 @query
 def cross_source(spark, d):
     """Coverage of process ids by the kernel and trace sources."""

@@ -620,6 +620,19 @@ add("severity_score", f"""WITH {SCORED} SELECT event_id, CAST(s AS VARCHAR) AS s
   coalesce(array_to_string(list_sort([{REASON_LIST}]), '|'), '') AS reasons
   FROM bd""")
 add("severity_bands", f"WITH {SCORED} SELECT severity, count(*) AS n FROM bd GROUP BY 1")
+add("scored_bundle", f"""WITH {EV}, al AS (SELECT *, epoch_us(date_trunc('second', ts)) * 1000 AS at FROM ev
+    WHERE event_type = 'error'),
+  fl AS (SELECT *, user_id % 6 = 0 AND k % 2 <> 0 AS f2, user_id % 6 = 0 AND k % 2 = 0 AS f3,
+    EXISTS (SELECT 1 FROM ev s WHERE s.k = 9 AND abs(s.ns - al.at) < 15000000000) AS f5,
+    EXISTS (SELECT 1 FROM ev s WHERE s.user_id = al.user_id AND s.k < 30 AND s.k % 6 = 0
+      AND abs(s.ns - al.at) < 15000000000) AS f6 FROM al),
+  sc AS (SELECT *, CAST(CASE WHEN f2 THEN 2.0 ELSE 0 END + CASE WHEN f3 THEN 1.0 ELSE 0 END
+    + CASE WHEN f5 THEN 1.5 ELSE 0 END + CASE WHEN f6 THEN 1.0 ELSE 0 END AS DECIMAL(4, 1)) AS s FROM fl)
+  SELECT pod, event_id AS pid, sec_text AS "timestamp", CASE WHEN s <= 2 THEN 'Low' WHEN s <= 5 THEN 'Medium'
+      WHEN s <= 7 THEN 'High' ELSE 'Critical' END AS severity,
+    coalesce(array_to_string(list_sort([{", ".join(f"CASE WHEN {f} THEN '" + REASONS[k].replace("'", "''") + "' END"
+      for f, k in (("f2", "root_outside"), ("f3", "root"), ("f5", "dns"), ("f6", "http")))}]), '|'), '') AS reasons,
+    CAST(s AS VARCHAR) AS score FROM sc""")
 VK = corr_v1("time_text", "container", "event_id", "node")
 VT = corr_v1("ms_text", "container", "event_id", "node")
 BOTH = EV + f""",
