@@ -259,7 +259,3 @@ def alert_to_kernel(df: DataFrame) -> DataFrame:
         base["alertName"].alias("type"),
         F.struct(process.alias("process"), base["arguments"].alias("arguments")).alias("payload"),
     )
-
-
-def pod_of_context(c: Column) -> Column:
-    return text.second_part(c)

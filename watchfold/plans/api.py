@@ -57,7 +57,10 @@ def query_table(spark: SparkSession, root: str, table: str,
             kept = recent
             break
         n *= 4
-    return newest(kept.drop(sinks.DATE), schemas.RESULT_TABLES[table][1], limit)
+    schema, time_column = schemas.RESULT_TABLES[table]
+    # Rows of one time are cut by their other columns, so the answer is always the same.
+    tie = [f.name for f in schema.fields if f.name != time_column and f.dataType.typeName() not in ("map", "variant")]
+    return newest(kept.drop(sinks.DATE), time_column, limit, tie=tie)
 
 
 def oldest_after(df: DataFrame, time_column: str, mark, limit: int,

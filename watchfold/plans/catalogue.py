@@ -1089,6 +1089,14 @@ def file_kernel_wide(spark, d):
     return norm.select("pid", "corr_id", "k0", "k1", "dedup_key")
 
 
+@query
+def kernel_table_form(spark, d):
+    """The log as it lies in its table, the payload as JSON text, and back."""
+    long = si.kernel_long(si.events(spark, d)).drop("event_id")
+    table = long.withColumn("payload", logs.payload_text(F.col("payload")))
+    return normalize.normalize_kernel(logs.kernel_long_from_text(table)).select("pid", "corr_id", "dedup_key")
+
+
 @query
 def file_kernel_long(spark, d):
     long = si.kernel_long(si.events(spark, d)).drop("event_id")
@@ -1149,6 +1157,29 @@ def bundle_files(spark, d):
     return back.groupBy("type", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def appended_objects(spark, d):
+    """One more object at the end of every bundle."""
+    note = F.array(F.concat(F.lit('{"type":"note","id":"note--'), F.col("pid").cast("string"), F.lit('"}')))
+    b = bundles.append_objects(_kernel_bundles(spark, d), note)
+    return b.select("pid", F.size("objects").alias("n_objects"),
+                    text.first_of_type(F.col("objects"), "note").alias("note"))
+
+
+@query
+def json_without_nulls(spark, d):
+    ev = si.events(spark, d)
+    kind = F.when(F.col("event_type") != "error", F.col("event_type"))
+    return ev.select("event_id", sinks.strip_nulls(F.struct("event_id", kind.alias("kind"), "pod")).alias("row"))
+
+
+@query
+def span_pod_columns(spark, d):
+    rows = si.http_spans(si.events(spark, d))
+    rows = rows.select("time_", F.concat_ws("/", "namespace", "pod_name").alias("context_pod"))
+    return spans.with_pod_columns(rows)
+
+
 @query
 def json_lines_sink(spark, d):
     """JSON lines without null fields."""

@@ -723,6 +723,12 @@ ker("bundle_files", """SELECT type, CAST(pos AS INTEGER) AS pos, count(*) AS n F
     UNION ALL SELECT 'indicator', 3 + n_matches + 3 * unnest(range(n_matches)) FROM kb
     UNION ALL SELECT 'relationship', 4 + n_matches + 3 * unnest(range(n_matches)) FROM kb)
   GROUP BY 1, 2""", MATCHED)
+ker("kernel_table_form", "SELECT pid, corr_id, dedup_key FROM ker")
+ker("appended_objects", """SELECT pid, CAST(3 + 4 * n_matches AS INTEGER) AS n_objects,
+  'note--' || pid AS note FROM kb""", MATCHED)
+ev("json_without_nulls", """SELECT event_id, '{"event_id":' || event_id || CASE WHEN event_type <> 'error'
+  THEN ',"kind":"' || event_type || '"' ELSE '' END || ',"pod":"' || pod || '"}' AS "row" FROM ev""")
+ev("span_pod_columns", "SELECT ns AS time_, pod AS pod_name, namespace FROM ev")
 ker("json_lines_sink", """SELECT pid, CASE WHEN event_type = 'signup' THEN 'command_line,pid'
   ELSE 'alert_name,command_line,pid,rule_id' END AS keys FROM ker""")
 ev("table_api", """SELECT ns AS time_, pod AS pod_name, event_id AS pid FROM ev
