@@ -34,7 +34,7 @@ from watchfold.llm.tokens import Seen, strings, vocabulary
 
 SAMPLES = 2
 ALPHA = 1.0
-MOST_KEPT = 400_000  # stretches in a worker's table, about 400 bytes each
+MOST_KEPT = 300_000  # stretches in a worker's table, about 400 bytes each
 CHUNK = 1 << 20      # bytes of text in work at a time
 PARTS = 1 << 20      # of a log-probability
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
