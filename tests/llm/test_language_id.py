@@ -71,11 +71,14 @@ def test_without_labels(make):
 
 
 def test_accepted_keeps_languages_and_columns(make):
-    texts = EN * 40 + DE * 40 + ["12 34", None, "中文" * 30]
+    texts = [f"{t} " * 60 for t in EN * 40 + DE * 40] + ["12 34", None, "中文" * 30]
     langs = {i: "en" if i < 80 else "de" for i in range(160)}
     docs = make(texts, "language", langs)
     kept = L.accepted(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(160))
+    small = make(["the cat", "12", None, "中文"], langs={0: "en", 1: "en", 2: "en"})
+    assert {r.doc_id for r in L.accepted(small).collect()} <= {0, 3}
+    assert L.accepted(make(["a", "1", None])).count() == 3 and L.accepted(make([])).count() == 0
 
 
 def test_held_out_accuracy(spark, testdata):

@@ -24,3 +24,13 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7), (200, 201), (201, 200)]
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in got} == {i: 0 for i in range(1, 41)} | {103: 100, 105: 100, 201: 200}
+
+
+def test_any_documents(spark, make):
+    docs = make(["a b c d e f", "a b c d e f", None, "", "12", "x " * 30_000, (7, "twice"), (7, "twice"), (None, "none")])
+    for table in (docs, make([])):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, kept, "")
+        assert {r.doc_id for r in kept.collect()} <= {r.doc_id for r in table.collect()}
+    assert kept.count() == 0

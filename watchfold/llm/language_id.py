@@ -33,6 +33,7 @@ MOST_LANGUAGES = 1_000
 PAD = "\0" * ORDER          # context of a text's first bytes
 STEP = 1 << 20              # positions scored at a time
 UNKNOWN = "und"
+LEAST_LEARNED = 1 << 17     # bytes of sample that it takes to call a text foreign
 MOST_BITS_A_BYTE = 12       # of a text in a learned language; a byte never seen costs over 20
 
 
@@ -262,13 +263,17 @@ def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` whose text is in one of the languages that its labelled rows teach.
 
     Rejected are texts without a letter and texts that cost ``MOST_BITS_A_BYTE`` under every
-    language: such as in a script that none of them has. A short text of rare letters stays.
+    language: such as in a script that none of them has. A short text of rare letters stays. With
+    less than ``LEAST_LEARNED`` bytes to learn from only the former go, without any label none.
     """
     model = learn(docs.where(~held_out("doc_id")), "doc_id", text_col)
+    if not model["names"]:
+        return docs
+    known = F.lit(int(model["n"].sum()) < LEAST_LEARNED)
     into, = unused(docs, "language")
     found = identify(docs, model, text_col, into)
     found = found.where((F.col(f"{into}.lang_pred") != UNKNOWN)
-                        & (F.col(f"{into}.bits") < MOST_BITS_A_BYTE * F.col(f"{into}.bytes")))
+                        & (known | (F.col(f"{into}.bits") < MOST_BITS_A_BYTE * F.col(f"{into}.bytes"))))
     return found.drop(into)
 
 
