@@ -71,7 +71,7 @@ def test_without_labels(make):
 
 
 def test_accepted_keeps_languages_and_columns(make):
-    texts = [f"{t} " * 60 for t in EN * 40 + DE * 40] + ["12 34", None, "中文" * 30]
+    texts = [f"{t} " * 200 for t in EN * 40 + DE * 40] + ["12 34", None, "中文" * 30]
     langs = {i: "en" if i < 80 else "de" for i in range(160)}
     docs = make(texts, "language", langs)
     kept = L.accepted(docs)
