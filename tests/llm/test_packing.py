@@ -68,3 +68,17 @@ def test_assembled_sequences(make):
 
 def test_empty_table(make):
     assert P.packed_documents(make([])).count() == 0
+
+
+def test_clustered_sizes_are_mixed(spark, monkeypatch):
+    monkeypatch.setattr(P, "PIECES", 500, raising=False)
+    rng = random.Random(5)
+    sizes = [rng.randint(55, 75) for _ in range(2000)] + [rng.randint(1, 20) for _ in range(4000)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, length long").repartitionByRange(12, "item")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a file is a partition
+    try:
+        out = P.pack(written(items, "test"), capacity=100, fan=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.item for r in out) == list(range(len(sizes)))
+    assert check(out, 100) <= 1.02 * len(P.best_fit(np.array(sizes), 100)[2])

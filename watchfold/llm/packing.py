@@ -1,11 +1,12 @@
 """Best-fit packing of token pieces into sequences, by rounds over a tree of partitions.
 
 A document is its ids and an end id; longer ones than a sequence are cut so that the first piece
-takes the remainder. Every partition packs its pieces by best fit, largest first. Bins that no
-other open bin fits into are final; the others are items of the next round, in which ``FAN``
-neighbouring partitions pack them together, until one is left. After best fit no two bins of a
-partition fit together, so at most one of them is up to half full: what a round has to look at
-is small, whatever the tables hold.
+takes the remainder. The pieces are dealt to partitions by a hash of their place in the table, so
+each has a like mix of sizes however the table is clustered, and every partition packs its own by
+best fit, largest first. Bins that no other open bin, of any partition, fits into are final; the
+others are items of the next round, in which ``FAN`` neighbouring partitions pack them together,
+until one is left. After best fit no two bins of a partition fit together, so at most one of them
+is up to half full: what a round has to look at is small, whatever the tables hold.
 
 Null texts are empty: one piece, the end id. Null or repeated ids are carried along, every row
 is packed. An empty table gives an empty result. Columns not named are not looked at.
@@ -27,6 +28,7 @@ from watchfold.llm.tokens import byte_level
 CAPACITY = 2048
 END_ID = 0
 FAN = 16
+PIECES = 20_000  # of a partition, about
 ROUND_BIT, GROUP_BIT = 58, 32  # a bin's number: round, group, place in the group
 
 
@@ -119,7 +121,10 @@ def pack(items: DataFrame, size_col: str = "length", capacity: int = CAPACITY, f
         table = table.append_column(offset_, pa.array(offset)).append_column(fill_, pa.array(fill[bin_of]))
         yield from table.to_batches(max_chunksize=100_000)
 
-    placed = written(items.mapInArrow(local, f"{schema}, `{bin_}` long, `{offset_}` long, `{fill_}` long"), "pack-local")
+    # Places in a written table are the same each time it is read.
+    parts = -(-items.count() // PIECES) or 1
+    dealt = items.repartition(parts, F.xxhash64(F.monotonically_increasing_id()))
+    placed = written(dealt.mapInArrow(local, f"{schema}, `{bin_}` long, `{offset_}` long, `{fill_}` long"), "pack-local")
     bins = placed.where(F.col(offset_) == 0).select(F.col(bin_).alias("bin"), F.col(fill_).alias("fill"),
                                                    F.shiftright(bin_, GROUP_BIT).alias("part"))
     turn = 0
