@@ -1,6 +1,7 @@
 """Queries of this package by name, and SQL for those that SQL can express."""
 
 from watchfold.llm import (
+    conversation_trie,
     exact_dedup,
     fuzzy_lines,
     id_files,
@@ -8,7 +9,9 @@ from watchfold.llm import (
     language_id,
     near_dedup,
     packing,
+    periodic_runs,
     segment_sampling,
+    source_mixing,
     token_counts,
     topk_search,
 )
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_fuzzy_lines": fuzzy_lines.op8_fuzzy_lines,
     "op9_kd_shards": kd_shards.op9_kd_shards,
     "op10_topk_search": topk_search.op10_topk_search,
+    "op11_conversation_trie": conversation_trie.op11_conversation_trie,
+    "op12_source_mixing": source_mixing.op12_source_mixing,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
-ORACLES = {**exact_dedup.SQL, **topk_search.SQL}
+ORACLES = {**exact_dedup.SQL, **topk_search.SQL, **conversation_trie.SQL, **source_mixing.SQL}
