@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfold.llm.shared import documents, in_worker, shared_folder, ship, written
+from watchfold.llm.shared import documents, in_worker, shared_folder, ship, short_batches, written
 from watchfold.llm.tokens import lower_case
 
 END_ID = 1
@@ -133,6 +133,7 @@ class Code:
 def encode_texts(docs: DataFrame, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """(id, ids): every document's ids with the end id, little-endian unsigned 16 or 32 bits."""
     ship(docs.sparkSession)
+    short_batches(docs.sparkSession)
 
     def encode(batches):
         encoder = in_worker(("lower-case",), lower_case)

@@ -141,6 +141,17 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+BATCH_ROWS = 500
+
+
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Hold the session's Arrow batches to ``rows`` rows, if they are longer. Documents are long,
+    and a batch of them exists several times over, on both sides of the pipe to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 _SHIPPED: set[str] = set()
 _WORKER: dict = {}
 
