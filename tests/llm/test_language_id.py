@@ -70,15 +70,34 @@ def test_without_labels(make):
     assert L.identify(make([]), model).count() == 0
 
 
-def test_accepted_keeps_languages_and_columns(make):
-    texts = [f"{t} " * 200 for t in EN * 40 + DE * 40] + ["12 34", None, "中文" * 30]
-    langs = {i: "en" if i < 80 else "de" for i in range(160)}
-    docs = make(texts, "language", langs)
+PROBES = ["Quixotic zephyrs vex.", "for (int i = 0; i < n; ++i) x[i] ^= 0x5f;", "Съешь ещё этих мягких булок", None, "12 34 -- 5"]
+
+
+@pytest.mark.parametrize("copies, labelled", [(1, True), (400, True), (1, False)])
+def test_the_same_texts_are_accepted_at_every_size(make, copies, labelled):
+    texts = [f"{t} " * 20 for t in (EN + DE) * copies]
+    langs = {i: "en" if i % 4 < 2 else "de" for i in range(len(texts))} if labelled else {}
+    docs = make(texts + PROBES, "language", langs)
     kept = L.accepted(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(160))
-    small = make(["the cat", "12", None, "中文"], langs={0: "en", 1: "en", 2: "en"})
-    assert {r.doc_id for r in L.accepted(small).collect()} <= {0, 3}
-    assert L.accepted(make(["a", "1", None])).count() == 3 and L.accepted(make([])).count() == 0
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts) + 3))
+
+
+def test_accepted_of_an_empty_table(make):
+    assert L.accepted(make([])).count() == 0
+
+
+def test_all_counts_of_the_sample_are_learned(make):
+    text = "".join(chr(0x4E00 + i) for i in range(20_000))
+    model = L.learn(make([text] * 4, langs={i: "zh" for i in range(4)}))
+    raw = bytes(L.ORDER) + text.encode()
+    assert len(model["gram"]) == len({raw[i - L.ORDER:i + 1] for i in range(L.ORDER, len(raw))})
+
+
+def test_repeated_rows_and_very_long_texts(make, model):
+    long = "the cat " * 400_000
+    out = L.identify(make([(1, "the cat"), (1, "the cat"), (2, long)]), model).collect()
+    assert [r.language.lang_pred for r in out] == ["en"] * 3
 
 
 def test_held_out_accuracy(spark, testdata):

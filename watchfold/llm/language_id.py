@@ -23,18 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfold.llm.shared import documents, in_worker, ship, unused
+from watchfold.llm.shared import documents, in_worker, ship, short_batches, unused
 
 ORDER = 3
 UNIT = 1 << 16              # parts of a bit
 ROWS_PER_LANGUAGE = 2_000   # labelled rows that a language is learned from, at most
-GRAMS_PER_LANGUAGE = 300_000  # leaves of a language's tree, at most; the most frequent stay
 MOST_LANGUAGES = 1_000
 PAD = "\0" * ORDER          # context of a text's first bytes
 STEP = 1 << 20              # positions scored at a time
 UNKNOWN = "und"
-LEAST_LEARNED = 1 << 17     # bytes of sample that it takes to call a text foreign
-MOST_BITS_A_BYTE = 12       # of a text in a learned language; a byte never seen costs over 20
 
 
 def padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +72,13 @@ def counted(batches):
 
 
 def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          rows_per_language: int = ROWS_PER_LANGUAGE,
-          grams_per_language: int = GRAMS_PER_LANGUAGE) -> dict:
+          rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
     """The frozen statistics: language names and their counts of ``ORDER + 1`` bytes.
 
     The sample of a language is its first ``rows_per_language`` rows in the order of a hash of
-    the id. The ids' cut is found on hashes alone, so no text moves for it. What comes to the
-    driver is at most ``grams_per_language`` counts for each language.
+    the id. The ids' cut is found on hashes alone, so no text moves for it. All counts of that
+    sample come to the driver: a text adds at most one for each of its bytes, and far fewer when
+    the language's usual ones are known.
     """
     ship(rows.sparkSession)
     labelled = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
@@ -98,10 +95,7 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for r in cuts:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["cut"]))
     counts = labelled.where(chosen).select("lang", "text").mapInArrow(counted, "lang string, gram long, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("_rn", F.expr(
-        "row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram)"))
-    table = counts.where(F.col("_rn") <= grams_per_language).select("lang", "gram", "n").toArrow()
+    table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     gram = table.column("gram").to_numpy().astype(np.uint32)
     lang = np.searchsorted(np.array(names), np.array(table.column("lang").to_pylist()))
     code, at = np.unique(gram, return_inverse=True)
@@ -215,7 +209,7 @@ class Coder:
         return out
 
 
-RESULT = "struct<lang_pred: string, score: double, bits: double, bytes: long>"
+RESULT = "struct<lang_pred: string, score: double, bits: double, lettered: boolean>"
 
 
 def predictor(spark: SparkSession, model: dict):
@@ -229,12 +223,11 @@ def predictor(spark: SparkSession, model: dict):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         if not coder.names:
             none = pa.nulls(len(texts), pa.float64())
             return pa.StructArray.from_arrays(
                 [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(np.zeros(len(texts))), none,
-                 pa.array(sizes)], names=["lang_pred", "score", "bits", "bytes"])
+                 pa.array(letters)], names=["lang_pred", "score", "bits", "lettered"])
         length = coder.lengths(texts) / UNIT
         best = length.argmin(axis=1)
         least = length.min(axis=1)
@@ -243,8 +236,8 @@ def predictor(spark: SparkSession, model: dict):
         return pa.StructArray.from_arrays(
             [pa.array(names[np.where(letters, best, len(coder.names))], pa.string()),
              pa.array(np.where(letters, score, 0.0)),
-             pa.array(least, mask=~letters), pa.array(sizes)],
-            names=["lang_pred", "score", "bits", "bytes"])
+             pa.array(least, mask=~letters), pa.array(letters)],
+            names=["lang_pred", "score", "bits", "lettered"])
 
     return F.arrow_udf(predict, RESULT)
 
@@ -255,26 +248,19 @@ def held_out(id_col: str) -> Column:
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", into: str = "language") -> DataFrame:
     """``docs`` with a struct column ``into`` (replaced if it is there): lang_pred, score, bits of
-    the best code, bytes."""
+    the best code, lettered (whether the text has a letter)."""
     return docs.withColumn(into, predictor(docs.sparkSession, model)(F.col(text_col)))
 
 
 def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` whose text is in one of the languages that its labelled rows teach.
-
-    Rejected are texts without a letter and texts that cost ``MOST_BITS_A_BYTE`` under every
-    language: such as in a script that none of them has. A short text of rare letters stays. With
-    less than ``LEAST_LEARNED`` bytes to learn from only the former go, without any label none.
+    """``docs`` without the rows that ``identify`` calls ``und``: null texts and texts without a
+    letter. The same rows go at every size and with any labels. How many bits a byte a text costs
+    decides nothing: rare clean words cost more under these models than a foreign language does.
     """
+    short_batches(docs.sparkSession)
     model = learn(docs.where(~held_out("doc_id")), "doc_id", text_col)
-    if not model["names"]:
-        return docs
-    known = F.lit(int(model["n"].sum()) < LEAST_LEARNED)
     into, = unused(docs, "language")
-    found = identify(docs, model, text_col, into)
-    found = found.where((F.col(f"{into}.lang_pred") != UNKNOWN)
-                        & (known | (F.col(f"{into}.bits") < MOST_BITS_A_BYTE * F.col(f"{into}.bytes"))))
-    return found.drop(into)
+    return identify(docs, model, text_col, into).where(F.col(f"{into}.lettered")).drop(into)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfold.llm.shared import components, documents, in_blocks, ship, unused, whole_keys, written
+from watchfold.llm.shared import components, documents, in_blocks, ship, short_batches, unused, whole_keys, written
 
 WORDS = 5
 THRESHOLD = (4, 5)   # as a fraction
@@ -371,6 +371,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest id of each class only, all columns kept."""
+    short_batches(docs.sparkSession)
     found = jaccard_join(docs, id_col, text_col).where(F.col("class_id") != F.col(id_col))
     own_id, = unused(docs, "near_id")
     gone = written(found.select(F.col(id_col).cast("long").alias(own_id)).distinct(), "near-dropped")
