@@ -20,7 +20,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchfold.llm.shared import documents, in_worker, ship, short_batches, unused
@@ -28,7 +28,8 @@ from watchfold.llm.shared import documents, in_worker, ship, short_batches, unus
 ORDER = 3
 UNIT = 1 << 16              # parts of a bit
 ROWS_PER_LANGUAGE = 2_000   # labelled rows that a language is learned from, at most
-MOST_LANGUAGES = 1_000
+MOST_LANGUAGES = 1_000      # more end the job: each has a column of costs in every worker
+CUT_BITS = 14               # of the hash by which rows are counted first
 PAD = "\0" * ORDER          # context of a text's first bytes
 STEP = 1 << 20              # positions scored at a time
 UNKNOWN = "und"
@@ -83,11 +84,21 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ship(rows.sparkSession)
     labelled = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                            F.xxhash64(id_col).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    ranked = labelled.select("lang", "h").withColumn("_rn", F.expr(
-        "row_number() OVER (PARTITION BY lang ORDER BY h)")).where(F.col("_rn") <= rows_per_language)
-    cuts = ranked.groupBy("lang").agg(F.max("h").alias("cut")).limit(MOST_LANGUAGES + 1).collect()
-    if len(cuts) > MOST_LANGUAGES:
+    # The bucket of hashes that the cut lies in, from counts; only rows up to it are ranked.
+    upto = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bucket = F.shiftright("h", 64 - CUT_BITS)
+    buckets = labelled.groupBy("lang", bucket.alias("bucket")).count().withColumn(
+        "before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
+    last = buckets.where(F.col("before") < rows_per_language).groupBy("lang").agg(F.max("bucket").alias("bucket"))
+    last = last.limit(MOST_LANGUAGES + 1).collect()
+    if len(last) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages; is {lang_col} a language?")
+    near = F.lit(False)
+    for r in last:
+        near = near | ((F.col("lang") == r["lang"]) & (bucket <= r["bucket"]))
+    ranked = labelled.where(near).select("lang", "h").withColumn("_rn", F.expr(
+        "row_number() OVER (PARTITION BY lang ORDER BY h)")).where(F.col("_rn") <= rows_per_language)
+    cuts = ranked.groupBy("lang").agg(F.max("h").alias("cut")).collect()
     names = sorted(r["lang"] for r in cuts)
     if not names:
         return {"names": [], "gram": np.zeros(0, np.uint32), "n": np.zeros((0, 0), np.int64)}
