@@ -190,3 +190,50 @@ def test_stream_match_equals_batch(spark, tmp_path):
     norm = rule_ops.match_rules(normalize.normalize_kernel(s), CORE_RULES)
     got = pipelines.drain_to_table(norm.select("pid", "matches"), "t")
     assert sorted(r["pid"] for r in got.collect()) == list(range(1, 60, 2))
+
+
+def test_rules_over_a_stream(spark, tmp_path):
+    """Late logs in any order, restarts, a batch run again, and a rule added while it runs."""
+    import random
+
+    from watchfold.operators import rules as rule_ops
+    from watchfold.operators.observations import NS, Observed
+    from watchfold.sources.rules import Predicate, Rule
+
+    def rule(key, n, **how):
+        seen = tuple(Predicate(0, "process:command_line", "=", "abc"[i], observation=i) for i in range(n))
+        return Rule(key, "1", "n", "a", "a", "a", "i", "i", "i", "r", seen, **how)
+
+    rng = random.Random(5)
+    schema = "pod string, event_ts_ns bigint, command_line string"
+    logs = [(rng.choice("pq"), (86_400 * 20_000 - 100 + rng.randint(0, 200)) * NS, rng.choice("abc")) for _ in range(90)]
+    rules = [rule("chain", 3, combine="FOLLOWEDBY", within=9.0), rule("both", 2, combine="AND", within=2.0),
+             rule("many", 1, repeats=3, within=12.0),
+             rule("tree", 3, tree=Observed(combine="AND", within=6, of=(
+                 Observed(2), Observed(combine="FOLLOWEDBY", of=(Observed(0), Observed(1)), within=4))).text())]
+    source, root, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    later = rule("later", 2, combine="OR", within=5.0)
+
+    def run(catalogue):
+        stream = pipelines.file_stream(spark, source, spark.createDataFrame([], schema).schema, "*.parquet", files_per_trigger=1)
+        pipelines.rules_etl(stream, lambda x: x, lambda: catalogue, ["pod"], root, checkpoint, bucket_seconds=3).awaitTermination()
+
+    for i in range(4):
+        spark.createDataFrame(logs[i::4], schema).coalesce(1).write.mode("append").parquet(source)
+        run(rules if i < 2 else [*rules, later])
+    got = sorted((r.rule, r.pod, r.event_ts_ns) for r in pipelines.rule_matches(spark, root).collect())
+    want = rule_ops.match_sequences(spark.createDataFrame(logs, schema), rules, ["pod"])
+    want = [(r.rule, r.pod, r.event_ts_ns) for r in want.collect()]
+    new = rule_ops.match_sequences(spark.createDataFrame(logs[2::4] + logs[3::4], schema), [later], ["pod"])
+    want += [(r.rule, r.pod, r.event_ts_ns) for r in new.collect()]
+    assert got == sorted(want) and {r[0] for r in got} == {"chain", "both", "many", "tree", "later"}
+
+    # The last batch once more, as after a crash between its write and its commit.
+    import glob
+    import os
+
+    os.remove(sorted(glob.glob(f"{checkpoint}/commits/[0-9]*"))[-1])
+    for path in glob.glob(f"{checkpoint}/commits/.*"):
+        os.remove(path)
+    run([*rules, later])
+    assert sorted((r.rule, r.pod, r.event_ts_ns) for r in pipelines.rule_matches(spark, root).collect()) == got

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
+from ..session import cut_lineage
 from ..sources.rules import Predicate, Rule
+from . import observations
 from .filters import all_of, any_of
-from .skew import salted_join
+from .observations import Observed
 
 CHUNK = 100
 META = set(r"\.^$*+?{}[]()|")
@@ -275,58 +278,38 @@ def match_rows(logs: DataFrame, rules: list[Rule], layout: str = "flat") -> Data
     })
 
 
+def rule_tree(rule: Rule) -> Observed:
+    """The tree of the rule's observations: its own, or all combined in one bracket."""
+    if rule.tree:
+        return observations.from_text(rule.tree)
+    leaves = tuple(Observed(n) for n in rule.observations)
+    if len(leaves) == 1:
+        return replace(leaves[0], repeats=rule.repeats, within=rule.within)
+    return Observed(combine=rule.combine, of=leaves, repeats=rule.repeats, within=rule.within)
+
+
+def rule_hits(logs: DataFrame, rules: list[Rule], key: list[str], ns: str = "event_ts_ns",
+              layout: str = "flat") -> DataFrame:
+    """(rule, observation, *key, ns, n): times at which the rules' observations are made, all
+    found in one pass over the logs."""
+    names = {f"{i}.{n}": (r.key, n) for i, r in enumerate(rules) for n in r.observations}
+    conditions = {f"{i}.{n}": rule_column(r, layout, n) for i, r in enumerate(rules) for n in r.observations}
+    seen = observations.hits(logs, conditions, key, ns)
+    known = logs.sparkSession.createDataFrame([(k, *v) for k, v in names.items()], "seen string, rule string, observation int")
+    return seen.join(F.broadcast(known), "seen").select("rule", "observation", *key, "ns", "n")
+
+
 def match_sequences(logs: DataFrame, rules: list[Rule], key: list[str], ns: str = "event_ts_ns",
-                    row_id: list[str] | None = None, layout: str = "flat") -> DataFrame:
-    """Rules over several logs of one ``key``: rows (rule, *key, ns) at which each
-    rule is satisfied, one pass per rule over the logs that it observes.
-
-    ``A FOLLOWEDBY B``: the logs of B with an earlier A, within the rule's span.
-    ``A AND B`` / ``A OR B``: the start of each span of that length in which both
-    (or either) occur; without a span the whole log is one. ``REPEATS n WITHIN``:
-    the times at which the last n fell into the span. Longer sequences take the
-    earliest end of each step, so they may not have a span.
+                    layout: str = "flat", bucket_seconds: float = observations.BUCKET_SECONDS) -> DataFrame:
+    """Rules over several logs of one ``key``: rows (rule, *key, ns, first_ns), one for each time
+    at which a rule is satisfied, with the start of the shortest match that ends there.
+
+    One pass over the logs for all rules; see ``operators.observations`` for what the
+    combinations and qualifiers mean.
     """
-    out = None
-    for rule in rules:
-        found = _sequence(logs, rule, key, ns, row_id or [], layout)
-        found = found.select(F.lit(rule.key).alias("rule"), *key, F.col(ns).alias(ns))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _sequence(logs: DataFrame, rule: Rule, key: list[str], ns: str, row_id: list[str],
-              layout: str) -> DataFrame:
-    from . import sequences
-
-    seen = [rule_column(rule, layout, n) for n in rule.observations]
-    if rule.repeats > 1:
-        if len(seen) > 1 or rule.within is None:
-            raise ValueError(f"{rule.key}: REPEATS needs one observation and a span")
-        return sequences.repeats(logs, key, ns, seen[0], rule.repeats, rule.within)
-    if len(seen) == 1:
-        return logs.where(seen[0])
-    if rule.combine == "FOLLOWEDBY":
-        if rule.within is not None:
-            if len(seen) > 2:
-                raise ValueError(f"{rule.key}: a span over more than two steps")
-            return sequences.followed_within(logs, key, ns, seen[0], seen[1], rule.within, row_id)
-        for n, then in enumerate(seen[1:], 1):
-            # The earliest end of the steps so far is the next one's start.
-            if n == 1:
-                found = sequences.followed_by(logs, key, ns, seen[0], then, row_id)
-            else:
-                ends = found.groupBy(*key).agg(F.min(ns).alias("first_ns"))
-                found = salted_join(logs.where(then), ends, key, "inner", [ns, *row_id]).where(
-                    F.col("first_ns") < F.col(ns))
-        return found
-    if len(seen) > 2:
-        raise ValueError(f"{rule.key}: AND and OR of more than two observations")
-    width = None if rule.within is None else int(rule.within * sequences.NS)
-    span = F.lit(0).cast("bigint") if width is None else F.col(ns) - F.pmod(F.col(ns), F.lit(width))
-    rows = logs.where(seen[0] | seen[1]).withColumn("_span", span)
-    both = rows.groupBy(*key, "_span").agg(F.bool_or(seen[0]).alias("a"), F.bool_or(seen[1]).alias("b"))
-    wanted = "a OR b" if rule.combine == "OR" else "a AND b"
-    return both.where(wanted).withColumnRenamed("_span", ns)
+    seen = cut_lineage(rule_hits(logs, rules, key, ns, layout))
+    found = observations.matches(seen, {r.key: rule_tree(r) for r in rules}, key, bucket_seconds)
+    return found.select("rule", *key, F.col("last").alias(ns), F.col("first").alias("first_ns"))
 
 
 def gate_by_function(logs: DataFrame, predicates: DataFrame, function: str = "function_name",

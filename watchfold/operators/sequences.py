@@ -89,7 +89,8 @@ def repeats(df: DataFrame, key: list[str], ns: str, condition: Column, times: in
 
 def observation_and(df: DataFrame, key: list[str], ts: str, a: Column, b: Column,
                     window: str) -> DataFrame:
-    """(key, window) in which both observations occurred, on any rows."""
+    """(key, window) in which both observations occurred, on any rows: a count by fixed windows.
+    Within a distance of each other, for any number of observations: ``observations.together``."""
     return _observed(df, key, ts, a, b, window).where("has_a AND has_b")
 
 

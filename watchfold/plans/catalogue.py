@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import fingerprints, ids, net, text, times
 from ..operators import (
-    baseline, bundles, context, filters, graph, normalize, policies, sequences,
+    baseline, bundles, context, filters, graph, normalize, observations, policies, sequences,
 )
 from ..operators import rules as rule_ops
 from ..operators.barrier import once
+from ..operators.observations import Observed
 from ..session import cut_lineage, scratch_dir
 from ..sources import bundles as bundle_io
 from ..sources import logs, sinks, spans, tail
@@ -1015,7 +1016,14 @@ def dialogue_followed_by(spark, d):
     return out.select("conv_id", "turn")
 
 
-# Rules over two logs, as the rows of a rule table.
+# Rules over several logs, as the rows of a rule table.
+def _sequence_rule(key, kinds, **how):
+    """One observation for each kind of event, told by its binary."""
+    seen = tuple(Predicate(0, "process:command_line", "MATCHES", f"/usr/bin/{kind} ", observation=i)
+                 for i, kind in enumerate(kinds))
+    return Rule(key, "s", "n", "a", "a", "a", "i", "i", "i", "r", seen, **how)
+
+
 SEQUENCE_RULES = [
     Rule("setns-then-mount", "s1", "n", "a", "a", "a", "i", "i", "i", "r", (
         Predicate(0, "process:extensions.function_name", "MATCHES", "sys_setns"),
@@ -1029,14 +1037,56 @@ SEQUENCE_RULES = [
         Predicate(0, "process:extensions.function_name", "MATCHES", "sys_mount", observation=1)),
         combine="AND", within=3600.0),
 ]
+CHAIN_RULES = [
+    _sequence_rule("three", ["error", "purchase", "click"], combine="FOLLOWEDBY", within=3600.0),
+    _sequence_rule("four", ["error", "purchase", "click", "view"], combine="FOLLOWEDBY", within=5400.0),
+    _sequence_rule("unbounded", ["error", "purchase", "click", "signup"], combine="FOLLOWEDBY"),
+]
+_ONE, _TWO, _THREE = Observed(0), Observed(1), Observed(2)
+TREE_RULES = [
+    _sequence_rule("bracket", ["error", "purchase", "click"], tree=Observed(combine="FOLLOWEDBY", within=7200, of=(
+        Observed(combine="AND", of=(_ONE, _TWO), within=3600), _THREE)).text()),
+    _sequence_rule("period", ["error"], tree=Observed(
+        0, repeats=3, within=86400, start=1704672000000000000, stop=1705276800000000000).text()),
+    _sequence_rule("either", ["error", "click", "view", "signup"], tree=Observed(combine="FOLLOWEDBY", within=3600, of=(
+        _ONE, Observed(combine="OR", of=(
+            _TWO, Observed(combine="AND", of=(_THREE, Observed(3)), within=1800))))).text()),
+]
+
+
+def _loaded(spark, rules):
+    return load_rules(rules_frame(spark, rules), predicates_frame(spark, rules))
 
 
 @query
 def rule_sequences(spark, d):
     """Rules with order, repetition and conjunction, loaded from their tables."""
-    rules = load_rules(rules_frame(spark, SEQUENCE_RULES), predicates_frame(spark, SEQUENCE_RULES))
-    norm = _kernel_norm(spark, d)
-    return rule_ops.match_sequences(norm, rules, ["pod"], "event_ts_ns", ["pid"])
+    found = rule_ops.match_sequences(_kernel_norm(spark, d), _loaded(spark, SEQUENCE_RULES), ["pod"])
+    return found.select("rule", "pod", "event_ts_ns")
+
+
+def _busy_pod(norm):
+    """Nine tenths of the logs in one pod."""
+    return norm.withColumn("pod", F.when(F.col("pid") % 10 < 9, "pod-hot").otherwise(F.col("pod")))
+
+
+@query
+def rule_chain(spark, d):
+    """Three and four steps in order, under one span and without."""
+    return rule_ops.match_sequences(_busy_pod(_kernel_norm(spark, d)), _loaded(spark, CHAIN_RULES), ["pod"])
+
+
+@query
+def rule_tree(spark, d):
+    """Brackets with qualifiers of their own: spans, repetition, START and STOP."""
+    return rule_ops.match_sequences(_busy_pod(_kernel_norm(spark, d)), _loaded(spark, TREE_RULES), ["pod"])
+
+
+@query
+def observations_together(spark, d):
+    """Three observations of one user within an hour of each other, wherever the hour begins."""
+    kinds = [F.col("event_type") == kind for kind in ("error", "purchase", "click")]
+    return observations.together(si.events(spark, d), ["user_id"], "ns", kinds, 6 * 3600)
 
 
 LITERAL_RULES = [
@@ -1275,18 +1325,27 @@ def queue_to_merged(spark, d):
 FILES = 4
 
 
-def _event_stream(spark, d, late=False):
-    """Events in four files, one per batch, in the order of their time. With
-    ``late`` the last file also holds the rows of the first again."""
-    raw = si.utc(spark.read.parquet(f"{d}/events.parquet"))
+def _event_files(raw, folder, places, late=False):
+    """Events in files, one per batch, in the order of their time: those of ``places``."""
     first, last = raw.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
     width = (last - first) // FILES + 1
     place = F.floor((F.unix_micros("ts") - F.lit(first)) / width)
-    folder = scratch_dir(spark, "stream-events")
-    for i in range(FILES):
+    for i in places:
         rows = raw.where((place == i) | (place == 0) if late and i == FILES - 1 else place == i)
         rows.coalesce(1).write.mode("append").parquet(folder)
-    return si.event_fields(pipelines.file_stream(spark, folder, raw.schema, "*.parquet", files_per_trigger=1))
+
+
+def _files_stream(spark, folder, schema):
+    return si.event_fields(pipelines.file_stream(spark, folder, schema, "*.parquet", files_per_trigger=1))
+
+
+def _event_stream(spark, d, late=False):
+    """Events in four files, one per batch. With ``late`` the last file also holds the rows of
+    the first again."""
+    raw = si.utc(spark.read.parquet(f"{d}/events.parquet"))
+    folder = scratch_dir(spark, "stream-events")
+    _event_files(raw, folder, range(FILES), late)
+    return _files_stream(spark, folder, raw.schema)
 
 
 def _norm_stream(spark, d):
@@ -1375,6 +1434,19 @@ def stream_observation_and(spark, d):
     return pipelines.drain_updates(both, ["user_id", "window_start"], "stream-observation-and")
 
 
+@query
+def stream_rules(spark, d):
+    """The rules of ``rule_sequences`` over a stream of four batches, stopped after two of them."""
+    raw = si.utc(spark.read.parquet(f"{d}/events.parquet"))
+    folder, root, checkpoint = (scratch_dir(spark, f"stream-rules{n}") for n in ("", "-out", "-cp"))
+    for places in ((0, 1), (2, 3)):
+        _event_files(raw, folder, places)
+        pipelines.rules_etl(
+            _files_stream(spark, folder, raw.schema), lambda ev: normalize.normalize_kernel(si.kernel_long(ev)),
+            lambda: _loaded(spark, SEQUENCE_RULES), ["pod"], root, checkpoint).awaitTermination()
+    return pipelines.rule_matches(spark, root).select("rule", "pod", "event_ts_ns")
+
+
 @query
 def stream_then_next_batch(spark, d):
     """A stream's table read by the read API: two batches after a mark, then the newest rows."""

@@ -683,14 +683,65 @@ add("dialogue_followed_by", """SELECT conv_id, turn FROM conversations b WHERE r
   AND EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = b.conv_id AND a.role = 'system'
     AND a.turn < b.turn)""")
 
-ker("rule_sequences", """SELECT 'setns-then-mount' AS rule, pod, ns AS event_ts_ns FROM ker b
+
+SEQUENCES = """SELECT DISTINCT 'setns-then-mount' AS rule, pod, ns AS event_ts_ns FROM ker b
     WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM ker a WHERE a.pod = b.pod
       AND a.event_type = 'error' AND a.ns < b.ns AND b.ns - a.ns <= 7200000000000)
   UNION ALL SELECT 'setns-repeats', pod, ns FROM (SELECT DISTINCT pod, ns, count(*) OVER (PARTITION BY pod
       ORDER BY ns RANGE BETWEEN 86400000000000 PRECEDING AND CURRENT ROW) AS n FROM ker
       WHERE event_type = 'error') WHERE n >= 2
-  UNION ALL SELECT 'setns-and-mount', pod, ns - ns % 3600000000000 FROM ker GROUP BY 2, 3
-    HAVING bool_or(event_type = 'error') AND bool_or(event_type = 'purchase')""")
+  UNION ALL SELECT DISTINCT 'setns-and-mount', a.pod, greatest(a.ns, b.ns) FROM ker a JOIN ker b USING (pod)
+    WHERE a.event_type = 'error' AND b.event_type = 'purchase' AND abs(a.ns - b.ns) <= 3600000000000"""
+ker("rule_sequences", SEQUENCES)
+ker("stream_rules", SEQUENCES)
+
+
+# Every stretch (pod, a, z) from first to last log of every combination, by inequality joins.
+HOT = ", hot AS (SELECT DISTINCT CASE WHEN pid % 10 < 9 THEN 'pod-hot' ELSE pod END AS pod, ns, event_type FROM ker)"
+
+
+def _seen(kind: str) -> str:
+    return f"SELECT pod, ns AS a, ns AS z FROM hot WHERE event_type = '{kind}'"
+
+
+def _then(one: str, two: str, seconds: int | None) -> str:
+    """Of the ones that end before a two only the latest start is kept, or there would be too many."""
+    most = "" if seconds is None else f"AND r.z - l.a <= {seconds}000000000"
+    return f"SELECT r.pod, max(l.a) AS a, r.z FROM ({one}) l JOIN ({two}) r ON l.pod = r.pod AND l.z < r.a {most} GROUP BY r.pod, r.a, r.z"
+
+
+def _both(one: str, two: str, seconds: int) -> str:
+    return f"""SELECT l.pod, least(l.a, r.a) AS a, greatest(l.z, r.z) AS z FROM ({one}) l JOIN ({two}) r ON l.pod = r.pod
+      AND greatest(l.z, r.z) - least(l.a, r.a) <= {seconds}000000000"""
+
+
+def _ends(rule: str, stretches: str) -> str:
+    return f"SELECT '{rule}' AS rule, pod, z AS event_ts_ns, max(a) AS first_ns FROM ({stretches}) GROUP BY pod, z"
+
+
+def _steps(kinds: list[str], seconds: int | None) -> str:
+    out = _seen(kinds[0])
+    for kind in kinds[1:]:
+        out = _then(out, _seen(kind), seconds)
+    return out
+
+
+ker("rule_chain", " UNION ALL ".join([
+    _ends("three", _steps(["error", "purchase", "click"], 3600)),
+    _ends("four", _steps(["error", "purchase", "click", "view"], 5400)),
+    _ends("unbounded", _steps(["error", "purchase", "click", "signup"], None))]), HOT)
+ker("rule_tree", " UNION ALL ".join([
+    _ends("bracket", _then(_both(_seen("error"), _seen("purchase"), 3600), _seen("click"), 7200)),
+    _ends("period", """SELECT pod, a, z FROM (SELECT pod, ns AS z, lag(ns, 2) OVER (PARTITION BY pod ORDER BY ns) AS a
+      FROM (SELECT CASE WHEN pid % 10 < 9 THEN 'pod-hot' ELSE pod END AS pod, ns FROM ker WHERE event_type = 'error'))
+      WHERE z - a <= 86400000000000 AND a >= 1704672000000000000 AND z < 1705276800000000000"""),
+    _ends("either", _then(_seen("error"), _seen("click") + " UNION ALL " + _both(_seen("view"), _seen("signup"), 1800), 3600)),
+]), HOT)
+ev("observations_together", """, e AS (SELECT user_id, ns, event_type FROM ev), p AS (
+    SELECT a.user_id, greatest(a.ns, b.ns) AS z, least(a.ns, b.ns) AS y FROM e a JOIN e b USING (user_id)
+    WHERE a.event_type = 'error' AND b.event_type = 'purchase' AND abs(a.ns - b.ns) <= 21600000000000)
+  SELECT user_id, greatest(z, ns) AS ns, max(least(y, ns)) AS first_ns FROM p JOIN e USING (user_id)
+  WHERE event_type = 'click' AND greatest(z, ns) - least(y, ns) <= 21600000000000 GROUP BY 1, 2""")
 ker("rule_literals", """SELECT key, count(*) AS n FROM (
     SELECT 'hex' AS key FROM ker UNION ALL SELECT 'binary' FROM ker WHERE namespace = 'webapp'
     UNION ALL SELECT 'timestamp' FROM ker WHERE ts < TIMESTAMP '2024-01-10') GROUP BY 1""")

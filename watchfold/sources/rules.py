@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -48,6 +49,9 @@ class Rule:
     combine: str = ""
     within: float | None = None
     repeats: int = 1
+    # Brackets and qualifiers of their own: ``operators.observations.Observed``
+    # as JSON; it takes the place of the three above.
+    tree: str = ""
 
     @property
     def target_ref(self) -> str:
@@ -60,7 +64,7 @@ class Rule:
     @property
     def one_log(self) -> bool:
         """Whether a single log decides."""
-        return self.observations == [0] and self.repeats == 1
+        return self.observations == [0] and self.repeats == 1 and not self.tree
 
     def groups(self, observation: int = 0) -> list[list[Predicate]]:
         out: dict[int, list[Predicate]] = {}
@@ -238,6 +242,11 @@ def _literal(p: Predicate) -> str:
     return prefix + "'" + str(p.value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _time(ns: int) -> str:
+    day = datetime.fromtimestamp(ns // 1_000_000_000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+    return f"{day}.{ns % 1_000_000_000:09d}Z"
+
+
 def pattern_text(rule: Rule) -> str:
     """The rule as a pattern expression, printed from its predicates."""
     def one(p):
@@ -255,8 +264,24 @@ def pattern_text(rule: Rule) -> str:
             groups = [f"({g})" if " AND " in g else g for g in groups]
         return "[" + " OR ".join(groups) + "]"
 
+    def bracket(node: dict) -> str:
+        if node.get("of"):
+            inside = f" {node.get('combine', '')} ".join(bracket(o) for o in node["of"])
+            text = f"({inside})"
+        else:
+            text = observation(node["observation"])
+        if node.get("repeats", 1) > 1:
+            text += f" REPEATS {node['repeats']} TIMES"
+        if node.get("within") is not None:
+            text += f" WITHIN {node['within']:g} SECONDS"
+        if node.get("start") is not None:
+            text += f" START t'{_time(node['start'])}' STOP t'{_time(node['stop'])}'"
+        return text
+
     if rule.written:
         return rule.written
+    if rule.tree:
+        return bracket(json.loads(rule.tree))
     text = f" {rule.combine or 'AND'} ".join(observation(n) for n in rule.observations)
     if len(rule.observations) > 1 and (rule.within is not None or rule.repeats > 1):
         text = f"({text})"
@@ -297,7 +322,7 @@ def rule_objects_json(rule: Rule) -> list[str]:
 
 _TEXT = ["key", "rule_id", "name", "attack_id", "attack_name", "attack_description",
          "indicator_id", "indicator_name", "indicator_description", "relationship_id"]
-_MORE = ["target", "written", "combine"]
+_MORE = ["target", "written", "combine", "tree"]
 RULE_SCHEMA = T.StructType([
     *[T.StructField(n, T.StringType()) for n in [*_TEXT, *_MORE, "references"]],
     T.StructField("within", T.DoubleType()), T.StructField("repeats", T.IntegerType())])

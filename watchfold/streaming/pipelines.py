@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.exact import floor_div
-from ..operators import bundles, normalize, rules as rule_ops
+from ..operators import bundles, normalize, observations, rules as rule_ops
 from ..session import scratch_dir
 from ..sources import sinks
 from ..sources.rules import Rule
@@ -104,6 +104,69 @@ def match_etl(stream: DataFrame, to_norm: Callable[[DataFrame], DataFrame],
         "checkpointLocation", checkpoint), interval)
 
 
+HITS, MATCHED = "rule_hits", "rule_matches"
+DAY_NS = 24 * 3600 * observations.NS
+
+
+def rules_etl(stream: DataFrame, to_norm: Callable[[DataFrame], DataFrame], rules: Callable[[], list[Rule]],
+              key: list[str], root: str, checkpoint: str, ns: str = "event_ts_ns", layout: str = "flat",
+              retention: float = 24 * 3600.0, bucket_seconds: float = observations.BUCKET_SECONDS,
+              interval: str | None = None) -> StreamingQuery:
+    """Rules over several logs, on a stream: each batch adds the matches that its logs complete.
+
+    The state is a table of hits, (rule, observation, key, time) by day and batch, so it is spread
+    like any table and a busy key is no one task's. A batch writes its own hits, reads those that
+    can share a match with them (a span to both sides, so logs may come late and in any order),
+    works the rules out on these as in batch, and writes the matches that no batch before has.
+    Both tables are written under the batch's id: a batch that is run again writes the same. A rule
+    without a span takes ``retention`` seconds. ``rules`` is called once per batch: a rule added
+    while the stream runs applies to the logs of the batches that follow.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, catalogue = batch.sparkSession, rules()
+        trees = {}
+        for rule in catalogue:
+            tree = rule_ops.rule_tree(rule)
+            trees[rule.key] = tree if tree.span() is not None else observations.Observed(of=(tree,), within=retention)
+        span = round(max((t.span() for t in trees.values()), default=0) * observations.NS)
+        own = rule_ops.rule_hits(to_norm(batch), catalogue, key, ns, layout)
+        _write_batch(own, f"{root}/{HITS}", "ns", batch_id)
+        seen = _read_batches(spark, f"{root}/{HITS}", own.schema)
+        lo, hi = seen.where(F.col("batch") == batch_id).agg(F.min("ns"), F.max("ns")).first()
+        if lo is None:
+            return
+        seen = _between(seen, "ns", lo - span, hi + span).where(F.col("batch") <= batch_id)
+        seen = seen.groupBy("rule", "observation", *key, "ns").agg(F.sum("n").alias("n"))
+        found = observations.matches(seen, trees, key, bucket_seconds)
+        found = found.where(F.col("last") >= lo).select("rule", *key, F.col("last").alias(ns), F.col("first").alias("first_ns"))
+        known = _between(_read_batches(spark, f"{root}/{MATCHED}", found.schema), ns, lo, hi + span).where(F.col("batch") < batch_id)
+        same = [found[c].eqNullSafe(known[c]) for c in ["rule", *key, ns]]
+        _write_batch(found.join(known, same, "left_anti"), f"{root}/{MATCHED}", ns, batch_id)
+
+    return start(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), interval)
+
+
+def _write_batch(df: DataFrame, path: str, ns: str, batch_id: int) -> None:
+    dated = df.withColumn("day", floor_div(F.col(ns), DAY_NS)).withColumn("batch", F.lit(batch_id).cast("long"))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+
+
+def _read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    parts = [T.StructField(n, T.LongType()) for n in ("day", "batch")]
+    whole = T.StructType([*schema.fields, *parts])
+    return spark.read.schema(whole).parquet(path) if sinks._exists(spark, path) else spark.createDataFrame([], whole)
+
+
+def _between(df: DataFrame, ns: str, lo: int, hi: int) -> DataFrame:
+    """Rows of [lo, hi]; whole days outside are not listed."""
+    return df.where(F.col("day").between(lo // DAY_NS, hi // DAY_NS) & F.col(ns).between(lo, hi))
+
+
+def rule_matches(spark: SparkSession, root: str) -> DataFrame:
+    """All matches so far."""
+    return spark.read.parquet(f"{root}/{MATCHED}").drop("day", "batch")
+
+
 def dedupe_stream(stream: DataFrame, key: str = "dedup_key", ts: str = "event_ts",
                   lateness: str = LATENESS) -> DataFrame:
     """First row per fingerprint within the watermark; state older than that is
