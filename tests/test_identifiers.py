@@ -177,3 +177,33 @@ def test_flatten_equal_keys(spark):
                                "args array<struct<name:string,type:string,value:string>>")
     got = df.select(text.flatten_trace_args(F.col("args"))).first()[0]
     assert got["0_value_a"] == "2" and got["1_value[0]" + "_0" * 39] == "7"
+
+
+def test_object_fingerprints_are_equal_where_the_objects_are(spark):
+    """Both ways to the fingerprint, the cut and the one field by field, against parsed objects."""
+    import json
+
+    from watchfold.functions.fingerprints import IGNORED_OBJECT_FIELDS, with_object_fingerprint
+
+    texts = [
+        '{"type":"a","id":"1","x":1}', '{"x":1.0,"id":"2","type":"a"}', '{ "type" : "a", "x" : 1 }', '{"x":"1","type":"a"}',
+        '{"x":true,"type":"a"}', '{"type":"a","id":"1","x":1,"y":null}', '{"type":"a","in":{"id":"7"},"id":"7"}',
+        '{"type":"a","in":{"id":"7"},"id":"8"}', '{"id":"9","type":"a","in":{"id":"7"}}', '{"type":"a","in":{"id":"8"},"id":"8"}',
+        '{"id":1,"n":{"id":12},"type":"b"}', '{"id":2,"n":{"id":12},"type":"b"}', '{"id":"only"}', '{}', '{"created":"t"}',
+        '{"a":":null","id":"1"}', '{"a":":null","id":"2"}', '{"x":1,"x":2,"type":"a"}', '{"x":2,"type":"a","modified":5}',
+        '{"s":"\\u00e9 \\" ,\\"id\\":\\"1\\"","id":"1"}', '{"s":"é \\" ,\\"id\\":\\"1\\"","id":"3"}',
+        '{"x":1e5,"id":"1"}', '{"x":1e5}', '{"l":[{"id":"1"},null],"id":"1"}', '{"l":[{"id":"1"},null]}',
+        '{"id":null,"x":[]}', '{"x":[]}', '{"id":{"id":"1"},"q":0}', '{"q":0}', '{"spec_version":"2.1","id":"1","q":0,"created":"a","modified":"b"}',
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "no json", "[1]"])], "i int, t string")
+    got = {r.i: (r.f, r.k) for r in with_object_fingerprint(rows, "t", "f", "k").collect()}
+
+    def core(text):
+        fields = {k: v for k, v in json.loads(text).items() if k not in IGNORED_OBJECT_FIELDS and v is not None}
+        return json.dumps(fields, sort_keys=True).replace("1.0", "1").replace("100000.0", "100000")
+
+    for i, a in enumerate(texts):
+        assert got[i][1] == json.loads(a).get("type")
+        for j, b in enumerate(texts):
+            assert (got[i][0] == got[j][0]) == (core(a) == core(b)), (a, b)
+    assert all(got[i][0] is None for i in range(len(texts), len(texts) + 3))

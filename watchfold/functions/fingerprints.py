@@ -6,7 +6,7 @@ baselines depend on exactly these texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import last_of_each
@@ -93,17 +93,46 @@ def rule_alert_fingerprint(fields: Column) -> Column:
 IGNORED_OBJECT_FIELDS = ["id", "created", "modified", "spec_version"]
 
 
-def object_json_fingerprint(json_text: Column) -> Column:
-    """Equal for two object texts that differ only in the ignored fields, in the
-    order of keys at any depth, or in how numbers and spaces are written. Values
-    of different type differ: ``1``, ``"1"`` and ``true`` are three values.
+def with_object_fingerprint(df: DataFrame, json_text: str, into: str, kind: str | None = None) -> DataFrame:
+    """``df`` with a fingerprint of its object texts, and as ``kind`` their type.
 
-    A variant prints keys sorted, numbers one way and text in quotes. Of fields
-    given twice the last counts.
+    Equal for two texts that differ only in the ignored fields, in the order of keys at any depth,
+    or in how numbers and spaces are written. Values of different type differ: ``1``, ``"1"`` and
+    ``true`` are three values. Fields that are null do not count; of fields given twice the last does.
+
+    A variant prints keys sorted, numbers one way and text in quotes. Nearly always the ignored
+    fields can be cut out of that print, each where its name and value stand and nothing else does;
+    objects with a null, a field given twice or the same name and value further inside are put
+    together from their fields one by one, to the same text.
     """
+    parsed = df.withColumn("_v", F.try_parse_json(json_text))
+    names = [f"_f{i}" for i in range(len(IGNORED_OBJECT_FIELDS))]
+    printed = parsed.withColumns({"_t": F.to_json("_v"), **{
+        name: F.concat(F.lit(f'"{field}":'), F.to_json(F.try_variant_get("_v", f"$.{field}", "variant")))
+        for name, field in zip(names, IGNORED_OBJECT_FIELDS, strict=True)}})
+    text, plain = F.col("_t"), F.col("_t").startswith("{") & ~F.contains("_t", F.lit(":null"))
+    for name in names:
+        field = F.col(name)
+        without = F.replace(F.replace(F.replace(text, F.concat(field, F.lit(","))), F.concat(F.lit(","), field)), field)
+        text = F.when(field.isNull(), text).otherwise(without)
+        once_there = F.length(F.replace("_t", field)) == F.length("_t") - F.length(field)
+        plain = plain & (field.isNull() | once_there)
+    whole = F.when(F.coalesce(plain, F.lit(False)), text).otherwise(_from_fields(F.col(json_text)))
+    extra = {} if kind is None else {kind: F.coalesce(
+        F.try_variant_get("_v", "$.type", "string"), F.get_json_object(json_text, "$.type"))}
+    return printed.withColumns({into: F.md5(whole), **extra}).drop("_v", "_t", *names)
+
+
+def _from_fields(json_text: Column) -> Column:
+    """The sorted print of an object without its ignored and null fields."""
     fields = F.map_entries(F.from_json(json_text, "map<string,variant>"))
     printed = F.transform(fields, lambda e: F.struct(
         e["key"].alias("key"), F.to_json(e["value"]).alias("value")))
     kept = F.filter(last_of_each(printed), lambda e: ~e["key"].isin(IGNORED_OBJECT_FIELDS)
                     & e["value"].isNotNull() & (e["value"] != "null"))
-    return F.md5(F.to_json(F.array_sort(kept)))
+
+    def one(e):
+        name = F.to_json(F.array(e["key"]))
+        return F.concat(F.substr(name, F.lit(2), F.length(name) - 2), F.lit(":"), e["value"])
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(kept), one), ","), F.lit("}"))

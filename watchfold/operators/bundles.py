@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.fingerprints import object_json_fingerprint
+from ..functions.fingerprints import with_object_fingerprint
+from ..session import cut_lineage
 from ..sources.rules import Rule, rule_objects_json
 from . import normalize
-from .barrier import once
 from .rules import rule_lookup
-from .skew import chunk_number, first_per_key, salted_join
+from .skew import chunk_number, first_per_key, salted_join, split_join
 
 SPEC = "2.1"
 
@@ -114,8 +114,7 @@ def explode_for_merge(grouped: DataFrame, order: list[str]) -> DataFrame:
     """Object rows with group, bundle, order, position, type and fingerprint."""
     rows = grouped.select(
         "group_key", "bundle_id", *order, F.posexplode("objects").alias("pos", "object"))
-    return once(rows, "fingerprint", object_json_fingerprint(F.col("object"))).withColumn(
-        "type", F.get_json_object("object", "$.type"))
+    return with_object_fingerprint(rows, "object", "fingerprint", "type")
 
 
 def consolidate(bundles: DataFrame, group: Column, order: list[str],
@@ -134,9 +133,9 @@ def consolidate(bundles: DataFrame, group: Column, order: list[str],
     grouped = bundles.select(group.alias("group_key"), "bundle_id", *order, "objects")
     objects = explode_for_merge(grouped, order)
     position = [F.col(c).asc() for c in [*order, "bundle_id", "pos"]]
-    kept = first_per_key(objects, ["group_key", "type", "fingerprint"], position)
-    # The first object of a group's first bundle is always kept, so the kept rows,
-    # whose exchange is read a second time, know the group's head.
+    kept = cut_lineage(first_per_key(objects, ["group_key", "type", "fingerprint"], position))
+    # The first object of a group's first bundle is always kept, so the kept rows know the
+    # group's head. They are written, so that no object is fingerprinted twice.
     heads = kept.groupBy("group_key").agg(
         F.min(F.struct(*order, "bundle_id")).alias("_head")
     ).select("group_key", F.col("_head.bundle_id").alias("merged_id"))
@@ -144,9 +143,10 @@ def consolidate(bundles: DataFrame, group: Column, order: list[str],
         first_rows = salted_join(grouped, heads, ["group_key"], "inner", ["bundle_id"]).where(
             F.col("bundle_id") == F.col("merged_id"))
         firsts = explode_for_merge(first_rows, [*order, "merged_id"])
-        later = kept.join(heads, "group_key").where(F.col("bundle_id") != F.col("merged_id"))
+        later = split_join(kept, heads, ["group_key"], "inner", ["fingerprint"]).where(
+            F.col("bundle_id") != F.col("merged_id"))
         return firsts.unionByName(later)
-    return kept.join(heads, "group_key")
+    return split_join(kept, heads, ["group_key"], "inner", ["fingerprint"])
 
 
 def consolidate_by_rule(bundles: DataFrame, order: list[str], rule: str = "rule_id",

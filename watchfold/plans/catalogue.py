@@ -195,8 +195,8 @@ def object_fingerprint(spark, d):
     kind = F.col("o_orderkey") % 3
     n = F.when(kind == 0, F.lit("1")).when(kind == 1, F.lit('"1"')).otherwise(F.lit("true"))
     document = F.concat(F.lit('{"n":'), n, F.lit(","), F.substring(document, 2, 1 << 30))
-    fp = fingerprints.object_json_fingerprint(document)
-    return o.select(fp.alias("fingerprint"), "o_orderkey").groupBy("fingerprint").agg(
+    rows = fingerprints.with_object_fingerprint(o.select("o_orderkey", document.alias("document")), "document", "fingerprint")
+    return rows.groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_order"))
 
 

@@ -194,12 +194,9 @@ ev("flatten_args", """, t AS (SELECT * FROM ev WHERE k <> 7),
     UNION ALL SELECT event_id, '1_type', 'object' FROM t
     UNION ALL SELECT event_id, '1_value_k', CAST(k AS VARCHAR) FROM t)
   SELECT event_id, key, value FROM e""")
-add("object_fingerprint", """SELECT md5('[{"key":"ext","value":"{\\"a\\":' || (o_custkey % 5)
-    || ',\\"z\\":\\"x\\"}"},{"key":"n","value":"' || CASE o_orderkey % 3 WHEN 0 THEN '1'
-      WHEN 1 THEN '\\"1\\"' ELSE 'true' END
-    || '"},{"key":"priority","value":"\\"' || o_orderpriority
-    || '\\""},{"key":"status","value":"\\"' || o_orderstatus
-    || '\\""},{"key":"type","value":"\\"process\\""}]')
+add("object_fingerprint", """SELECT md5('{"ext":{"a":' || (o_custkey % 5) || ',"z":"x"},"n":'
+    || CASE o_orderkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '"1"' ELSE 'true' END
+    || ',"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '","type":"process"}')
     AS fingerprint, count(*) AS n, min(o_orderkey) AS first_order
   FROM orders GROUP BY 1""")
 
