@@ -431,3 +431,39 @@ def test_one_block_of_nearly_all(spark):
     got = policies.in_block_table(rows, "ip", blocks, "block", rows_per_task=25)
     assert got.groupBy("name").count().sort("name").collect() == [("a", 200), ("b", 300)]
     assert set(got.columns) == {"i", "ip", "name", "block"}
+
+
+def test_a_filter_of_keys_lets_no_key_go(spark):
+    keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id")).alias("k"), (F.col("id") % 7).alias("m"))
+    rows = keys.union(spark.range(5000, 45_000).select(F.concat(F.lit("k"), F.col("id")), F.lit(1))).union(
+        spark.sql("SELECT NULL, 1"))
+    got = baseline.maybe_in(rows, keys, ["k", "m"], 5000)
+    assert got.columns == ["k", "m", "_maybe"] and got.count() == 45_001
+    assert got.join(keys, ["k", "m"], "left_semi").where("NOT _maybe").count() == 0
+    assert got.join(keys, ["k", "m"], "left_anti").where("_maybe").count() < 40_000 / 30
+    none = baseline.maybe_in(rows, keys.limit(0), ["k", "m"], 0)
+    assert none.where("_maybe").count() == 0
+
+
+def test_benign_logs_by_filter_and_by_join(spark, monkeypatch):
+    logs = spark.createDataFrame([(f"k{i % 40}" if i % 9 else None, i) for i in range(400)], "dedup_key string, id long")
+    marks = spark.createDataFrame([(f"k{i}",) for i in range(0, 80, 2)] + [(None,)], "dedup_key string")
+    want = sorted(r.id for r in logs.collect() if r.dedup_key is None or int(r.dedup_key[1:]) % 2)
+    for most in (baseline.MOST_FILTERED, 0):
+        monkeypatch.setattr(baseline, "MOST_FILTERED", most)
+        assert sorted(r.id for r in baseline.drop_benign(logs, marks, salt_by=["id"]).collect()) == want
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 0, 2)])
+def test_increments_equal_one_merge(spark, order):
+    import json
+
+    rows = [(f"b{i}", f"r{i % 3}", i // 2, [json.dumps({"type": "t", "id": str(i), "v": i % 5}), json.dumps({"type": "u", "v": i % 2})])
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "bundle_id string, rule_id string, seen long, objects array<string>")
+    state = None
+    for part in order:
+        state = bundles.consolidate_increment(state, df.where(F.col("seen") % 3 == part), F.col("rule_id"), ["seen"])
+    columns = ["group_key", "merged_id", "bundle_id", "pos", "type", "fingerprint", "object"]
+    got = sorted(map(tuple, bundles.merged_state(state, ["seen"]).select(columns).collect()))
+    assert got == sorted(map(tuple, bundles.consolidate_by_rule(df, ["seen"]).select(columns).collect())) != []

@@ -237,3 +237,31 @@ def test_rules_over_a_stream(spark, tmp_path):
         os.remove(path)
     run([*rules, later])
     assert sorted((r.rule, r.pod, r.event_ts_ns) for r in pipelines.rule_matches(spark, root).collect()) == got
+
+
+def test_profiles_on_a_stream_equal_batch(spark, folder):
+    from watchfold.operators import baseline
+
+    def behaviour(df):
+        return df.select("row_id", F.col("pod").alias("workload"), F.col("kind"), (F.col("row_id") % 10).cast("string").alias("entry"), F.col("ts").alias("event_ts"))
+
+    df = batch(spark, folder)
+    ordered = str(folder) + "-ordered"
+    for i in range(4):
+        df.where((F.col("ts") >= T0 + datetime.timedelta(seconds=100 * i)) & (F.col("ts") < T0 + datetime.timedelta(
+            seconds=100 * i + 100))).coalesce(1).write.mode("append").parquet(f"{ordered}/f{i}")
+    root = str(folder) + "-out"
+    pipelines.profile_etl(behaviour(stream(spark, ordered, df.schema)), root, root + "-cp", minutes=1).awaitTermination()
+    got = {r.row_id for r in spark.read.parquet(f"{root}/deviations").collect()}
+    b = behaviour(df)
+    want = {r.row_id for r in baseline.deviations(b, baseline.learn_profile(b, minutes=1)).collect()}
+    assert got == want != set()
+
+
+def test_sources_fall_quiet_and_start_again(spark, tmp_path):
+    rows = [(0, "a", 0, "x"), (1, "a", 50, "x"), (2, "b", 60, "x"), (3, "a", 500, "x"), (4, "b", 70, "x"), (5, "c", 5000, "x")]
+    events(spark, tmp_path / "in", rows, "f")
+    s = stream(spark, tmp_path / "in", batch(spark, tmp_path / "in").schema)
+    out = pipelines.drain_to_table(pipelines.quiet_stream(s, "ts", ["pod"], "2 minutes", "1 minute"), "q")
+    got = {(r.pod, int((r.last - T0).total_seconds())) for r in out.collect()}
+    assert got == {("a", 50), ("a", 500), ("b", 70)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.bundles import WILDCARD
 from .skew import ROWS_PER_TASK, first_n_per_key, first_per_key, salted_join, split_join
 
@@ -24,9 +25,48 @@ def observed_counts(df: DataFrame, key: str = "dedup_key", ts: str = "event_ts")
 
 def drop_benign(df: DataFrame, benign: DataFrame, key: str = "dedup_key",
                 salt_by: list[str] | None = None) -> DataFrame:
-    """Logs whose fingerprint was not marked benign."""
-    marks = benign.select(key).where(F.col(key).isNotNull()).distinct()
-    return salted_join(df, marks, [key], "left_anti", salt_by or ["event_ts_ns", "corr_id"])
+    """Logs whose fingerprint was not marked benign.
+
+    Most logs are not, and those need no shuffle: a filter of the marks lets them pass where they
+    are read, and only the probable hits are joined.
+    """
+    marks = cut_lineage(benign.select(key).where(F.col(key).isNotNull()).distinct())
+    salt = salt_by or ["event_ts_ns", "corr_id"]
+    count = marks.count()
+    if count > MOST_FILTERED:
+        return salted_join(df, marks, [key], "left_anti", salt)
+    known = maybe_in(df, marks, [key], count)
+    passed = known.where("NOT _maybe").drop("_maybe")
+    return passed.unionByName(salted_join(known.where("_maybe").drop("_maybe"), marks, [key], "left_anti", salt))
+
+
+BITS_A_KEY = 16
+MOST_FILTERED = 64_000_000  # keys: 128 MB of bits
+MAP_BITS = 32_768           # of one row of Spark's bitmaps
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, on: list[str], count: int) -> DataFrame:
+    """``df`` with ``_maybe``: false only for rows whose ``on`` is surely not among ``keys``.
+
+    A Bloom filter with two hashes and ``BITS_A_KEY`` bits for each of the ``count`` keys, about one
+    in 70 of the others is let through. It is made of Spark's bitmaps, by partial aggregation, and
+    broadcast: two bytes a key, which ``MOST_FILTERED`` bounds. Null never is among the keys.
+    """
+    maps = max(1, -(-count * BITS_A_KEY // MAP_BITS))
+    rows, tests = df, F.lit(True)
+    for i in range(2):
+        at = F.pmod(F.xxhash64(F.lit(i), *on), F.lit(maps * MAP_BITS))
+        bits = keys.select(at.alias("_at")).groupBy(F.floor(F.col("_at") / MAP_BITS).alias(f"_map{i}")).agg(
+            F.bitmap_construct_agg(F.col("_at") % MAP_BITS).alias(f"_bits{i}"))
+        rows = rows.withColumn(f"_at{i}", at).withColumn(f"_map{i}", F.floor(F.col(f"_at{i}") / MAP_BITS))
+        rows = rows.join(F.broadcast(bits), f"_map{i}", "left")
+        place = F.col(f"_at{i}") % MAP_BITS
+        byte = F.conv(F.hex(F.substring(F.col(f"_bits{i}"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        tests = tests & (F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)), F.lit(0)) == 1)
+    some = F.lit(True)
+    for c in on:
+        some = some & F.col(c).isNotNull()
+    return rows.withColumn("_maybe", some & tests).select(*df.columns, "_maybe")
 
 
 def append_rate(df: DataFrame, ts: str = "event_ts", by: list[str] | None = None,

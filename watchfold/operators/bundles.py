@@ -131,22 +131,40 @@ def consolidate(bundles: DataFrame, group: Column, order: list[str],
     ``keep_first_whole`` also keeps repeats inside the first bundle.
     """
     grouped = bundles.select(group.alias("group_key"), "bundle_id", *order, "objects")
-    objects = explode_for_merge(grouped, order)
+    # Written, so that no object is fingerprinted twice. The first object of a group's first
+    # bundle is always kept, so the kept rows know the group's head.
+    kept = consolidate_increment(None, bundles, group, order)
+    merged = merged_state(kept, order)
+    if not keep_first_whole:
+        return merged
+    heads = merged.select("group_key", "merged_id").distinct()
+    first_rows = salted_join(grouped, heads, ["group_key"], "inner", ["bundle_id"]).where(
+        F.col("bundle_id") == F.col("merged_id"))
+    firsts = explode_for_merge(first_rows, [*order, "merged_id"])
+    return firsts.unionByName(merged.where(F.col("bundle_id") != F.col("merged_id")))
+
+
+def consolidate_increment(state: DataFrame | None, bundles: DataFrame, group: Column, order: list[str]) -> DataFrame:
+    """The rows of merged bundles after ``bundles`` were added: a new ``state``.
+
+    A state has the kept objects with their group, type, fingerprint and position, without the
+    head. First rows of first rows are first rows, so increments may come in any order; a late
+    bundle that turns out the group's first takes the head and replaces later equal objects.
+    ``merged_state`` adds the heads. Give as ``state`` the groups that the bundles touch, or all.
+    """
+    objects = explode_for_merge(bundles.select(group.alias("group_key"), "bundle_id", *order, "objects"), order)
     position = [F.col(c).asc() for c in [*order, "bundle_id", "pos"]]
-    kept = cut_lineage(first_per_key(objects, ["group_key", "type", "fingerprint"], position))
-    # The first object of a group's first bundle is always kept, so the kept rows know the
-    # group's head. They are written, so that no object is fingerprinted twice.
-    heads = kept.groupBy("group_key").agg(
-        F.min(F.struct(*order, "bundle_id")).alias("_head")
-    ).select("group_key", F.col("_head.bundle_id").alias("merged_id"))
-    if keep_first_whole:
-        first_rows = salted_join(grouped, heads, ["group_key"], "inner", ["bundle_id"]).where(
-            F.col("bundle_id") == F.col("merged_id"))
-        firsts = explode_for_merge(first_rows, [*order, "merged_id"])
-        later = split_join(kept, heads, ["group_key"], "inner", ["fingerprint"]).where(
-            F.col("bundle_id") != F.col("merged_id"))
-        return firsts.unionByName(later)
-    return split_join(kept, heads, ["group_key"], "inner", ["fingerprint"])
+    new = first_per_key(objects, ["group_key", "type", "fingerprint"], position)
+    if state is not None:
+        new = first_per_key(state.select(new.columns).unionByName(new), ["group_key", "type", "fingerprint"], position)
+    return cut_lineage(new)
+
+
+def merged_state(state: DataFrame, order: list[str]) -> DataFrame:
+    """``consolidate``'s rows from a written state."""
+    heads = state.groupBy("group_key").agg(F.min(F.struct(*order, "bundle_id")).alias("_head")).select(
+        "group_key", F.col("_head.bundle_id").alias("merged_id"))
+    return split_join(state, heads, ["group_key"], "inner", ["fingerprint"])
 
 
 def consolidate_by_rule(bundles: DataFrame, order: list[str], rule: str = "rule_id",

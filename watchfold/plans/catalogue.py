@@ -661,6 +661,16 @@ def consolidate_by_process(spark, d):
     return merged.select("group_key", "merged_id", "bundle_id", "pos", "type", "object")
 
 
+@query
+def consolidate_increments(spark, d):
+    """Bundles merged in three increments, the latest of them first."""
+    rows, state = _lineitem_bundles(spark, d), None
+    for part in (2, 0, 1):
+        state = bundles.consolidate_increment(state, rows.where(F.col("seen") % 3 == part), F.col("rule_id"), ["seen"])
+    merged = bundles.merged_state(state, ["seen"])
+    return merged.select("group_key", "merged_id", "bundle_id", "pos", "type", "object")
+
+
 @query
 def bundle_parts(spark, d):
     """Merged bundles as documents of bounded size: totals per bundle."""
@@ -716,7 +726,11 @@ def equilibrium(spark, d):
 
 
 def _behaviour(spark, d):
-    return si.events(spark, d).select(
+    return _behaviour_of(si.events(spark, d))
+
+
+def _behaviour_of(events):
+    return events.select(
         "event_id", F.col("pod").alias("workload"), F.col("event_type").alias("kind"),
         si.text("/p/", F.col("k") % 40).alias("entry"), F.col("ts").alias("event_ts"))
 
@@ -910,9 +924,13 @@ def kernel_descendants(spark, d):
 
 @query
 def preview_rows(spark, d):
-    """A preview of chosen columns has as many rows as asked for."""
-    rows = api.preview(si.http_spans(si.events(spark, d)), 7, ["time_", "pod_name"])
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count("time_").alias("with_time"))
+    """A preview has the chosen columns and as many rows as asked for, all of them the table's.
+    Which ones is not laid down."""
+    spans_ = si.http_spans(si.events(spark, d))
+    rows = cut_lineage(api.preview(spans_, 7, ["time_", "pod_name"]))
+    own = spans_.select("time_", "pod_name").distinct().withColumn("own", F.lit(True))
+    return rows.join(own, ["time_", "pod_name"], "left").agg(
+        F.count(F.lit(1)).alias("n"), F.lit(",".join(rows.columns)).alias("columns"), F.count("own").alias("own"))
 
 
 @query
@@ -1412,6 +1430,24 @@ def _rate(events):
     return pipelines.drain_updates(rate, ["event_type", "hour"], "stream-rate")
 
 
+@query
+def stream_profile(spark, d):
+    """Profiles learned and deviations reported while the events come in, in four batches."""
+    root, checkpoint = scratch_dir(spark, "stream-profile"), scratch_dir(spark, "stream-profile-cp")
+    behaviour = _behaviour_of(_event_stream(spark, d))
+    pipelines.profile_etl(behaviour, root, checkpoint, minutes=3 * 24 * 60, salt_by=["event_id"]).awaitTermination()
+    rows = spark.read.parquet(f"{root}/deviations").drop("batch", "event_ts")
+    return rows.withColumn("alert", baseline.deviation_alert(F.lit("open")))
+
+
+@query
+def stream_equilibrium(spark, d):
+    """Pods that appended nothing for a day, each time, up to the watermark."""
+    quiet = pipelines.quiet_stream(_event_stream(spark, d), "ts", ["pod"], "24 hours")
+    rows = pipelines.drain_to_table(quiet, "stream-quiet")
+    return rows.select("pod", F.unix_micros("last").alias("last_us"))
+
+
 @query
 def stream_late(spark, d):
     """Rows far behind the watermark change nothing."""

@@ -753,7 +753,7 @@ add("profile_files", """SELECT CASE page_id % 5 WHEN 0 THEN 'exec' WHEN 1 THEN '
 ev("tail_retention", """SELECT event_id AS pid, node AS node_name FROM ev
   WHERE ts > (SELECT max(ts) FROM ev) - INTERVAL 96 HOURS""")
 ev("kernel_descendants", "SELECT event_id FROM ev WHERE user_id IN (1, 6) OR event_id = 3")
-ev("preview_rows", "SELECT CAST(7 AS BIGINT) AS n, CAST(7 AS BIGINT) AS with_time")
+ev("preview_rows", """SELECT least(count(*), 7) AS n, 'time_,pod_name' AS columns, least(count(*), 7) AS own FROM ev""")
 
 # --- files, tables, stores ------------------------------------------------------------------------------
 
@@ -803,6 +803,11 @@ ev("stream_incremental", """SELECT pod AS pod_name, namespace, count(*) AS n, ma
   FROM ev GROUP BY 1, 2""")
 ev("stream_rate", """SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour,
   count(*) AS n FROM ev GROUP BY 1, 2""")
+ORACLES["consolidate_increments"] = ORACLES["consolidate_by_rule"]
+ORACLES["stream_profile"] = ORACLES["profile_deviation"]
+ev("stream_equilibrium", """SELECT pod, ns // 1000 AS last_us FROM (SELECT pod, ns, lead(ns) OVER (PARTITION BY pod ORDER BY ns) AS next_ns,
+    max(ns) OVER () AS newest FROM ev)
+  WHERE coalesce(next_ns - ns >= 86400000000000, ns + 86400000000000 <= newest - 600000000000)""")
 ORACLES["stream_late"] = ORACLES["stream_rate"]
 ev("stream_cooldown", """SELECT namespace, CAST(epoch(time_bucket(INTERVAL 6 HOURS, ts,
     TIMESTAMP '1970-01-01')) AS BIGINT) AS period, count(*) AS n, least(count(*), 3) AS passed

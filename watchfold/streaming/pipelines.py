@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.exact import floor_div
-from ..operators import bundles, normalize, observations, rules as rule_ops
-from ..session import scratch_dir
+from ..operators import baseline, bundles, normalize, observations, rules as rule_ops
+from ..operators.skew import salted_join
+from ..session import cut_lineage, scratch_dir
 from ..sources import sinks
 from ..sources.rules import Rule
 
@@ -87,13 +88,14 @@ def match_etl(stream: DataFrame, to_norm: Callable[[DataFrame], DataFrame],
               rules: Callable[[], list[Rule]], root: str, checkpoint: str,
               object_table: str = "kernel_objects", layout: str = "flat",
               interval: str | None = None) -> StreamingQuery:
-    """Normalise, write objects, match, write matches: two narrow writes per batch.
+    """Normalise, write objects, match, write matches.
 
-    ``rules`` is called once per batch, so rules added while the stream runs
+    A batch is read, parsed and normalised once, into a table of its own from which both
+    outputs come. ``rules`` is called once per batch, so rules added while the stream runs
     apply from the next batch on.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        catalogue, norm = rules(), to_norm(batch)
+        catalogue, norm = rules(), cut_lineage(to_norm(batch))
         sinks.append_batch(normalize.object_rows(norm), root, object_table, batch_id)
         matched = rule_ops.match_rules(norm, catalogue, layout)
         sinks.append_batch(
@@ -167,6 +169,47 @@ def rule_matches(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{MATCHED}").drop("day", "batch")
 
 
+def profile_etl(stream: DataFrame, root: str, checkpoint: str, ts: str = "event_ts", minutes: float = 5,
+                salt_by: list[str] | None = None, interval: str | None = None) -> StreamingQuery:
+    """Learns each workload's behaviours in its first ``minutes`` and from then on writes its
+    deviations: rows (workload, kind, entry, ``ts``, ...) whose behaviour it has not learned.
+
+    The phase of a workload follows from event time: its first row opens it, and a row later than
+    that by ``minutes`` is judged, whatever the batch. First rows, behaviours and deviations are
+    tables by batch, so a batch that is run again replaces its own rows. A row that comes so late
+    that it begins its workload's period anew does not take back what has been reported.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = batch.groupBy("workload").agg(F.min(ts).alias("start"))
+        starts = _with_batch(first, f"{root}/profile_starts", batch_id).groupBy("workload").agg(F.min("start").alias("_start"))
+        dated = salted_join(batch, starts, ["workload"], "inner", [ts, "entry"])
+        learning = F.col(ts) < F.col("_start") + F.make_interval(mins=F.lit(0), secs=F.lit(minutes * 60))
+        learned = _with_batch(dated.where(learning).select(*baseline.BEHAVIOUR).distinct(), f"{root}/profile", batch_id)
+        judged = dated.where(~learning).drop("_start")
+        _with_batch(baseline.deviations(judged, learned, salt_by or [ts]), f"{root}/deviations", batch_id)
+
+    return start(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), interval)
+
+
+def _with_batch(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Writes ``df`` as the rows of its batch; all rows up to that batch."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    whole = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+    return df.sparkSession.read.schema(whole).parquet(path).where(F.col("batch") <= batch_id).drop("batch")
+
+
+def quiet_stream(stream: DataFrame, ts: str, by: list[str], quiet: str, lateness: str = LATENESS) -> DataFrame:
+    """Sources that fell quiet: (*by, last): nothing came for ``quiet`` after ``last``.
+
+    A session of a source ends when nothing follows for that long, and the watermark closes it: the
+    report needs no row of the source itself. One that starts again opens another session and can
+    be reported again. State is one row for each source that is not quiet.
+    """
+    sessions = stream.withWatermark(ts, lateness).groupBy(*by, F.session_window(ts, quiet).alias("_w"))
+    return sessions.agg(F.max(ts).alias("last")).select(*by, "last")
+
+
 def dedupe_stream(stream: DataFrame, key: str = "dedup_key", ts: str = "event_ts",
                   lateness: str = LATENESS) -> DataFrame:
     """First row per fingerprint within the watermark; state older than that is
