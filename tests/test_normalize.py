@@ -329,3 +329,35 @@ def test_store_keys(kernel):
     assert len(three) == 1
     assert [k.split(":")[0] for k in three[0]["all"]] == ["1", "12", "13"]
     assert three[0]["last"].startswith("13:")
+
+
+def test_what_a_match_must_hold():
+    from watchfold.operators.rule_index import required_text
+
+    for regex, want in {
+        "nsenter": "nsenter", "/bin/(ba)?sh": "/bin/", r"a\.conf$": "a.conf", "abc|def": None, "(?i)abc": None,
+        "abcd?ef": "abc", "abcd*": "abc", "abcd+e": "abcd", "x{0,3}abcd{0}": "abc", "x{2}abcd": "abcd", r"\d+tok[a-z]{3}end": "tok",
+        r"\Qa.b\E": None, "a.b": None, "[abc]def[^]]": None, "abc(d(e|f)[)])ghij": "ghij", "abc(": None, "": None, "a+?bcd": "bcd",
+    }.items():
+        assert required_text(regex) == want, regex
+
+
+def test_indexed_rules_equal_each_rule_by_itself(spark):
+    from watchfold.operators.rule_index import match_indexed
+
+    texts = ["nsenter -t 1 sh", "/bin/bash -c ls", "/bin/sh", "cat /etc/a.conf", "cat aXconf", "", None, "ééé öö", "nsenter -t 1 sh"]
+    logs_ = spark.createDataFrame([(i, t, f) for i, t in enumerate(texts * 20) for f in ("f", "g", None)],
+                                  "i long, command_line string, function_name string")
+    rules = [(1, "nsenter", None), (2, "/bin/(ba)?sh", "f"), (3, r"a\.conf$", None), (4, "ls|sh", "g"), (5, "ééé ö+", None),
+             (6, "not there", None), (7, "^$", None), (8, "(?i)NSENTER", "f"), (9, "nsenter", "g")]
+    frame = spark.createDataFrame(rules, "key long, regex string, function_name string")
+    got = sorted((r.i, r.function_name or "", r.key) for r in match_indexed(logs_, frame, salt_by=["i"], rows_per_task=40).collect())
+    want = []
+    for key, regex, function in rules:
+        hit = logs_.where(F.col("command_line").rlike(regex))
+        if function:
+            hit = hit.where(F.col("function_name") == function)
+        want += [(r.i, r.function_name or "", key) for r in hit.collect()]
+    assert got == sorted(want) and len({k for *_, k in got}) == 8
+    no_function = match_indexed(logs_, frame.drop("function_name"), function=None, salt_by=["i"])
+    assert no_function.where("key = 9").count() == logs_.where("command_line LIKE '%nsenter%'").count()

@@ -20,6 +20,7 @@ from ..operators import (
 from ..operators import rules as rule_ops
 from ..operators.barrier import once
 from ..operators.observations import Observed
+from ..operators.rule_index import match_indexed
 from ..session import cut_lineage, scratch_dir
 from ..sources import bundles as bundle_io
 from ..sources import logs, sinks, spans, tail
@@ -569,6 +570,23 @@ def gated_rules(spark, d):
     return hits.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def rule_index(spark, d):
+    """Two rules from every document, each a stretch of its text, against all documents."""
+    doc = si.table(spark, d, "documents").select("doc_id", F.col("text").alias("command_line"))
+    special = r"([\\.^$*+?{}()|\[\]-])"
+
+    def rules(key, begin, size):
+        piece = F.substring(F.col("command_line"), begin, size)
+        return doc.where(piece != "").select(key.alias("key"), F.regexp_replace(piece, special, r"\\$1").alias("regex"))
+
+    i = F.col("doc_id")
+    both = rules(2 * i, (3 + i % 50).cast("int"), (6 + i % 5).cast("int")).unionByName(
+        rules(2 * i + 1, (20 + i % 90).cast("int"), (10 + i % 7).cast("int")))
+    hits = match_indexed(doc, both, function=None, salt_by=["doc_id"])
+    return hits.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def indicator_resolution(spark, d):
     m = rule_ops.match_rows(_kernel_norm(spark, d), CORE_RULES, "intended").select(

@@ -443,6 +443,10 @@ ker("gated_rules", """SELECT 'part-' || p_partkey AS key, count(*) AS n FROM par
     ON fn = CASE p_partkey % 3 WHEN 0 THEN '__x64_sys_setns' WHEN 1 THEN '__x64_sys_mount'
       ELSE 'security_file_permission' END AND contains(cmd, '"k": ' || (p_partkey % 100) || '}')
   GROUP BY 1""")
+add("rule_index", """WITH r AS (
+    SELECT 2 * doc_id AS key, substr(text, 3 + doc_id % 50, 6 + doc_id % 5) AS piece FROM documents
+    UNION ALL SELECT 2 * doc_id + 1, substr(text, 20 + doc_id % 90, 10 + doc_id % 7) FROM documents)
+  SELECT key, count(*) AS n FROM r JOIN documents ON contains(text, piece) WHERE piece <> '' GROUP BY key""")
 RULE_ROWS = "rules(key, rule_id, indicator_id, attack_id, attack_name) AS (VALUES " + ", ".join(
     f"('{key}', '{rule}', 'indicator--{ind}', 'attack-pattern--{att}', '{name}')"
     for key, rule, ind, att, name in RULES) + ")"
