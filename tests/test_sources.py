@@ -140,10 +140,69 @@ def test_upsert_keeps_the_last_write(spark, tmp_path):
     sinks.upsert(spark, path, df([("a", 2, "late"), ("c", 1, "new"), ("b", 9, "w")]), ["k"], ["t"], 4)
     got = {r["k"]: r["v"] for r in sinks.read_store(spark, path).collect()}
     assert got == {"a": "y", "b": "w", "c": "new"}
-    # The number of slots stays the one that the store was made with.
+    # The number of slots stays the one that the store was made with, until they are full.
     sinks.upsert(spark, path, df([("d", 1, "q")]), ["k"], ["t"], 9)
     assert {r["k"] for r in sinks.read_store(spark, path).collect()} == set("abcd")
-    assert [r[0] for r in spark.read.parquet(path).select("buckets").distinct().collect()] == [4]
+    assert sinks._state(spark, path)["buckets"] == 4
+
+
+def test_a_store_grows_and_keeps_its_snapshots(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda lo, hi, t: spark.range(lo, hi).select(F.col("id").alias("k"), F.lit(t).alias("t"))
+    want, readers = {}, []
+    for t, (lo, hi) in enumerate([(0, 100), (50, 300), (0, 20), (900, 901)]):
+        sinks.upsert(spark, path, rows(lo, hi, t), ["k"], ["t"], 2, rows_per_slot=40)
+        want.update({k: t for k in range(lo, hi)})
+        assert {r.k: r.t for r in sinks.read_store(spark, path).collect()} == want
+        readers.append((sinks.read_store(spark, path), dict(want)))
+    assert sinks._state(spark, path)["buckets"] >= 8
+    # Older plans and versions still read what they saw; nothing was overwritten.
+    for version, (reader, seen) in enumerate(readers, 1):
+        assert {r.k: r.t for r in reader.collect()} == seen
+        assert {r.k: r.t for r in sinks.read_store(spark, path, version).collect()} == seen
+    sinks.vacuum(spark, path, keep=2)
+    assert {r.k: r.t for r in sinks.read_store(spark, path, 3).collect()} == readers[2][1]
+    sinks.vacuum(spark, path)
+    assert {r.k: r.t for r in sinks.read_store(spark, path).collect()} == want
+    assert sinks.store_files(spark, path) == len(sinks._state(spark, path)["slots"])
+    # A write that never came to its log entry, and one that lost against another.
+    rows(0, 5, 99).write.parquet(f"{path}/data/dead/slot=0")
+    assert {r.k: r.t for r in sinks.read_store(spark, path).collect()} == want
+    with pytest.raises(Exception, match="exist"):
+        sinks._put(spark, f"{path}/log/{4:010d}.json", "{}")
+
+
+def test_compacted_dates_read_the_same(spark, tmp_path):
+    root, day = str(tmp_path), 86_400 * 10**9
+    columns = [f.name for f in schemas.RESULT_TABLES["dns_events"][0].fields]
+
+    def batch(rows):
+        return spark.createDataFrame([(d * day + n, n) for d, n in rows], "time_ long, pid long").select(
+            *[F.col(c) if c in ("time_", "pid") else F.lit(None).alias(c) for c in columns])
+
+    def read():
+        return sorted((r.time_ // day, r.pid) for r in sinks.read_table(spark, root, "dns_events").select("time_", "pid").collect())
+
+    want = []
+    for i in range(5):
+        rows = [(d, 10 * i + d) for d in (1, 2, 3)]
+        sinks.append_batch(batch(rows), root, "dns_events", i)
+        want += rows
+    sinks.append_table(batch([(1, 77)]), root, "dns_events")
+    want.append((1, 77))
+    older = sinks.read_table(spark, root, "dns_events").select("time_", "pid")
+    assert sinks.compact_table(spark, root, "dns_events", "1970-01-04") == ["1970-01-03", "1970-01-02"]
+    assert read() == sorted(want) and older.count() == len(want)
+    sinks.append_batch(batch([(1, 999)]), root, "dns_events", 2)      # a covered batch runs again
+    sinks.append_batch(batch([(1, 55), (3, 56)]), root, "dns_events", 7)  # a late one
+    want += [(1, 55), (3, 56)]
+    assert read() == sorted(want)
+    assert sinks.compact_table(spark, root, "dns_events", "1970-01-04") == ["1970-01-02"]
+    batch([(2, 1)]).write.parquet(f"{root}/dns_events/dt=1970-01-03/batch=c2")  # died before its mark
+    sinks.remove_compacted(spark, root, "dns_events")
+    assert read() == sorted(want) and sinks.compact_table(spark, root, "dns_events", "1970-01-04") == []
+    one = sinks.read_table(spark, root, "dns_events").where("dt = '1970-01-02'")
+    assert len(one.inputFiles()) >= 1 and one.select(F.input_file_name()).distinct().count() == 1
 
 
 def test_a_slot_with_two_rounds_reads_its_newest(spark, tmp_path):

@@ -1345,6 +1345,33 @@ def keyed_store(spark, d):
     return sinks.read_store(spark, path).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
+@query
+def store_growth(spark, d):
+    """Three rounds of upserts into a store that doubles its slots, cleared of what is old."""
+    path = scratch_dir(spark, "store")
+    o = si.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    for part in (0, 1, 2):
+        sinks.upsert(spark, path, o.where(F.col("o_orderkey") % 3 == part), ["o_custkey"], ["o_orderdate", "o_orderkey"],
+                     buckets=2, rows_per_slot=100)
+    sinks.vacuum(spark, path)
+    return sinks.read_store(spark, path).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query
+def table_compacted(spark, d):
+    """Rows and files of each date of a table of six batches, old dates compacted after five."""
+    root, rows = scratch_dir(spark, "compacted"), si.dns_spans(si.events(spark, d))
+    for batch in range(6):
+        if batch == 5:
+            sinks.compact_table(spark, root, "dns_events", "2024-01-20")
+            sinks.remove_compacted(spark, root, "dns_events")
+        sinks.append_batch(rows.where(F.col("event_id") % 6 == batch), root, "dns_events", batch)
+    sinks.compact_table(spark, root, "dns_events", "2024-01-20")
+    table = sinks.read_table(spark, root, "dns_events").withColumn("file", F.input_file_name())
+    return table.groupBy("dt").agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("pids"), F.countDistinct("file").alias("f")).select(
+        "dt", "n", "pids", F.when(F.col("dt") < "2024-01-20", F.col("f")).alias("files"))
+
+
 @query
 def queue_to_merged(spark, d):
     """Raw queue lines to stored bundles to bundles merged per rule."""

@@ -535,6 +535,9 @@ LATEST = """SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_
   PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
 add("upsert_latest", LATEST)
 add("keyed_store", LATEST)
+add("store_growth", LATEST)
+ev("table_compacted", """SELECT strftime(ts, '%Y-%m-%d') AS dt, count(*) AS n, sum(event_id)::BIGINT AS pids,
+    CASE WHEN dt < '2024-01-20' THEN 1::BIGINT END AS files FROM ev GROUP BY 1""")
 add("benign_filter", """SELECT doc_id, md5(text) AS dedup_key FROM documents WHERE NOT EXISTS (
   SELECT 1 FROM documents g JOIN labels USING (doc_id)
   WHERE quality = 1 AND md5(g.text) = md5(documents.text))""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,7 +60,8 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     schema, _ = schemas.RESULT_TABLES[table]
     parts = [T.StructField(DATE, T.StringType()), T.StructField(BATCH, T.StringType())]
     with_date = T.StructType(schema.fields + parts)
-    return spark.read.schema(with_date).parquet(f"{root}/{table}").drop(BATCH)
+    df = spark.read.schema(with_date).parquet(f"{root}/{table}")
+    return df.where(_uncovered(_marks(spark, root, table))).drop(BATCH)
 
 
 def table_dates(spark: SparkSession, root: str, table: str) -> list[str]:
@@ -101,53 +104,200 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+ROWS_PER_SLOT = 4_000_000
+
+
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str],
-           order: list[str], buckets: int = 64) -> None:
+           order: list[str], buckets: int = 64, rows_per_slot: int = ROWS_PER_SLOT) -> None:
     """Keyed last-write-wins store in hash-partitioned Parquet.
 
-    Only the hash partitions (slots) that received an update are read, and their
-    new content is written beside the old one under the next version: what is
-    there is never overwritten, so a run that dies leaves the store as it was.
-    Each slot is written by one task. ``buckets`` counts when the store is made;
-    the number is kept in its folders.
+    Only the hash partitions (slots) that received an update are read, and their new content is
+    written to a folder of its own. The last step puts one small file into the store's log: it
+    names the folder that each changed slot now has, and until it is there nothing has changed.
+    Files are never overwritten, so readers keep what they began with, and a run that dies or
+    loses against another writer leaves the store as it was. Each slot is written by one task;
+    when one holds over ``rows_per_slot`` rows, the next upsert deals the whole store to twice as
+    many, as often as needed. ``buckets`` counts when the store is made.
     """
-    versions = _versions(spark, path)
-    buckets = next(iter(versions))[0] if versions else buckets
-    slot = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    state = _state(spark, path)
+    old, grown = None, buckets
+    if state:
+        grown = state["buckets"]
+        while state["most"] * state["buckets"] > rows_per_slot * grown:
+            grown *= 2
+    slot = F.pmod(F.xxhash64(*keys), F.lit(grown)).cast("int")
     fresh = latest_per_key(updates, keys, order).withColumn("slot", slot)
-    if versions:
+    if state:
         from ..session import cut_lineage
 
         fresh = cut_lineage(fresh)
-        touched = {r[0] for r in fresh.select("slot").distinct().collect()}  # <= buckets values
-        old = _current(spark, path, {k: v for k, v in versions.items() if k[1] in touched})
-        fresh = latest_per_key(old.select(fresh.columns).unionByName(fresh), keys, order)
-    version = max(versions.values(), default=0) + 1
-    (fresh.withColumns({"buckets": F.lit(buckets), "version": F.lit(version)})
-     .repartition("slot").write.mode("append").partitionBy("buckets", "slot", "version").parquet(path))
+        touched = None
+        if grown == state["buckets"]:
+            touched = {r[0] for r in fresh.select("slot").distinct().collect()}  # <= buckets values
+        old = _live(spark, path, state, touched)
+    if old is not None:
+        fresh = latest_per_key(old.withColumn("slot", slot).select(fresh.columns).unionByName(fresh), keys, order)
+    folder = f"{uuid.uuid4().hex}"
+    fresh.repartition("slot").write.partitionBy("slot").parquet(f"{path}/data/{folder}")
+    sizes = spark.read.schema(fresh.schema).parquet(f"{path}/data/{folder}").groupBy("slot").count().collect()
+    slots = {} if not state or grown != state["buckets"] else dict(state["slots"])
+    slots.update({str(r["slot"]): [folder, r["count"]] for r in sizes})
+    version = state["version"] + 1 if state else 1
+    entry = {"version": version, "buckets": grown, "slots": slots, "most": max((n for _, n in slots.values()), default=0)}
+    _put(spark, f"{path}/log/{version:010d}.json", json.dumps(entry))
+
+
+def read_store(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The store's rows, as they are or as they were at a version that ``vacuum`` has kept."""
+    return _live(spark, path, _state(spark, path, version), None)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Removes the files and log entries that none of the newest ``keep`` versions needs."""
+    entries = _names(spark, f"{path}/log")
+    kept, gone = entries[-keep:], entries[:-keep]
+    needed: dict[str, set[str]] = {}
+    for name in kept:
+        for slot, (folder, _) in _state(spark, path, int(name[:-5]))["slots"].items():
+            needed.setdefault(folder, set()).add(f"slot={slot}")
+    # Entries first: what they alone name can no longer be asked for.
+    for name in gone:
+        _remove(spark, f"{path}/log/{name}")
+    newest = set() if not kept else set(needed)
+    for folder in _names(spark, f"{path}/data"):
+        if folder not in newest:
+            _remove(spark, f"{path}/data/{folder}")
+        else:
+            for slot in _names(spark, f"{path}/data/{folder}"):
+                if slot.startswith("slot=") and slot not in needed[folder]:
+                    _remove(spark, f"{path}/data/{folder}/{slot}")
+
+
+def store_files(spark: SparkSession, path: str) -> int:
+    """Folders of slots that the store takes up, live or not."""
+    return sum(len([s for s in _names(spark, f"{path}/data/{f}") if s.startswith("slot=")]) for f in _names(spark, f"{path}/data"))
+
+
+def _state(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
+    """The newest entry of the log, or that of a version; one line per slot."""
+    names = _names(spark, f"{path}/log")
+    if version is not None:
+        names = [n for n in names if n == f"{version:010d}.json"]
+    if not names:
+        return None
+    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/log/{names[-1]}").collect()))
+
+
+def _live(spark: SparkSession, path: str, state: dict, slots: set[int] | None) -> DataFrame | None:
+    """Rows of the store's slots (of these, or all): their folders are read and nothing else."""
+    paths = [f"{path}/data/{folder}/slot={slot}" for slot, (folder, _) in sorted(state["slots"].items())
+             if slots is None or int(slot) in slots]
+    if not paths and slots is not None:
+        return None
+    if not paths:
+        return spark.read.parquet(f"{path}/data").drop("slot").limit(0)
+    return spark.read.parquet(*paths)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if it is not there."""
+    fs, p = _file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; fails if it is there, so of two writers one is told."""
+    fs, p = _file_system(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The store's rows: the newest version of every slot."""
-    return _current(spark, path, _versions(spark, path)).drop("buckets", "slot", "version")
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
-def _versions(spark: SparkSession, path: str) -> dict[tuple[int, int], int]:
-    """(buckets, slot) -> newest version, from the folders' names."""
-    if not _exists(spark, path):
+# --- compaction of result tables ------------------------------------------------------------
+
+COMPACTED = "_compacted"
+ROWS_PER_FILE = 4_000_000
+
+
+def compact_table(spark: SparkSession, root: str, table: str, before: str, rows_per_file: int = ROWS_PER_FILE) -> list[str]:
+    """Rewrites every date before ``before`` that has several batches into time-sorted files; the
+    dates done.
+
+    A date's rows go to a batch of their own, ``c<n>``. Then one small file says that it stands for
+    the batches up to a number, and from then on readers take it for these; before, they do not see
+    it. The old batches stay for those who are reading them, until ``remove_compacted``. A stream
+    batch among them that is run again rewrites a folder that nobody reads; one that comes later
+    for an old date is read beside the compacted rows and joins them the next time.
+    """
+    schema, time_column = schemas.RESULT_TABLES[table]
+    done = []
+    for date in [d for d in table_dates(spark, root, table) if d < before]:
+        folder = f"{root}/{table}/{DATE}={date}"
+        marks = _marks(spark, root, table).get(date)
+        live = [n[len(BATCH) + 1:] for n in _names(spark, folder) if n.startswith(BATCH + "=")]
+        upto = max([marks["upto"] if marks else -1, *[int(n[1:]) for n in live if n.startswith("s")]])
+        new = [n for n in live if not n.startswith("c") and not (marks and _covered(n, marks))]
+        if not new or (len(new) == 1 and not marks):
+            continue
+        rows = read_table(spark, root, table).where(F.col(DATE) == date).drop(DATE)
+        files = max(1, -(-rows.count() // rows_per_file))
+        name = f"c{marks['n'] + 1 if marks else 1}"
+        (rows.repartitionByRange(files, time_column).sortWithinPartitions(time_column)
+         .write.mode("overwrite").parquet(f"{folder}/{BATCH}={name}"))
+        mark = {"date": date, "n": int(name[1:]), "upto": upto, "load": bool(marks and marks["load"]) or "load" in live}
+        _put(spark, f"{root}/{table}/{COMPACTED}/{date}-{mark['n']:06d}.json", json.dumps(mark))
+        done.append(date)
+    return done
+
+
+def remove_compacted(spark: SparkSession, root: str, table: str) -> None:
+    """Removes the batches that compacted ones stand for. Not while older readers are at work."""
+    for date, mark in _marks(spark, root, table).items():
+        folder = f"{root}/{table}/{DATE}={date}"
+        for name in _names(spark, folder):
+            batch = name[len(BATCH) + 1:]
+            if _covered(batch, mark) or (batch.startswith("c") and int(batch[1:]) < mark["n"]):
+                _remove(spark, f"{folder}/{name}")
+
+
+def _covered(batch: str, mark: dict) -> bool:
+    return (batch == "load" and mark["load"]) or (batch.startswith("s") and int(batch[1:]) <= mark["upto"])
+
+
+def _marks(spark: SparkSession, root: str, table: str) -> dict[str, dict]:
+    """Date -> its newest compaction; one small file each."""
+    path = f"{root}/{table}/{COMPACTED}"
+    names = _names(spark, path)
+    newest = {n[:10]: n for n in names}  # in order, so the last of a date stays
+    if not newest:
         return {}
-    rows = spark.read.parquet(path).groupBy("buckets", "slot").agg(F.max("version")).collect()
-    return {(r[0], r[1]): r[2] for r in rows}  # one for each slot
-
-
-def _current(spark: SparkSession, path: str, versions: dict[tuple[int, int], int]) -> DataFrame:
-    wanted: dict[int, list[int]] = {}
-    for (_, slot), version in versions.items():
-        wanted.setdefault(version, []).append(slot)
-    newest = F.lit(False)
-    for version, slots in wanted.items():
-        newest = newest | ((F.col("version") == version) & F.col("slot").isin(slots))
-    return spark.read.parquet(path).where(newest)
+    lines = spark.read.text([f"{path}/{n}" for n in newest.values()]).collect()
+    return {m["date"]: m for m in (json.loads(r[0]) for r in lines)}
+
+
+def _uncovered(marks: dict[str, dict]) -> Column:
+    """Which (date, batch) rows count: a condition on folders, so the others are not even listed."""
+    plain = ~F.col(BATCH).startswith("c")
+    if not marks:
+        return plain
+    mark = F.create_map(*[x for d, m in marks.items() for x in (
+        F.lit(d), F.struct(F.lit(m["n"]).alias("n"), F.lit(m["upto"]).alias("upto"), F.lit(m["load"]).alias("load")))])
+    own = F.try_element_at(mark, F.col(DATE))
+    number = F.substring(BATCH, 2, 20).try_cast("bigint")
+    compacted = F.col(BATCH) == F.concat(F.lit("c"), own["n"].cast("string"))
+    later = F.when(F.col(BATCH) == "load", ~own["load"]).otherwise(F.col(BATCH).startswith("s") & (number > own["upto"]))
+    return F.when(own.isNull(), plain).otherwise(compacted | later)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
