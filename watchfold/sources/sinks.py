@@ -240,25 +240,38 @@ def compact_table(spark: SparkSession, root: str, table: str, before: str, rows_
     batch among them that is run again rewrites a folder that nobody reads; one that comes later
     for an old date is read beside the compacted rows and joins them the next time.
     """
-    schema, time_column = schemas.RESULT_TABLES[table]
-    done = []
+    time_column = schemas.RESULT_TABLES[table][1]
+    marks, due = _marks(spark, root, table), {}
     for date in [d for d in table_dates(spark, root, table) if d < before]:
-        folder = f"{root}/{table}/{DATE}={date}"
-        marks = _marks(spark, root, table).get(date)
-        live = [n[len(BATCH) + 1:] for n in _names(spark, folder) if n.startswith(BATCH + "=")]
-        upto = max([marks["upto"] if marks else -1, *[int(n[1:]) for n in live if n.startswith("s")]])
-        new = [n for n in live if not n.startswith("c") and not (marks and _covered(n, marks))]
-        if not new or (len(new) == 1 and not marks):
+        mark = marks.get(date)
+        live = [n[len(BATCH) + 1:] for n in _names(spark, f"{root}/{table}/{DATE}={date}") if n.startswith(BATCH + "=")]
+        new = [n for n in live if not n.startswith("c") and not (mark and _covered(n, mark))]
+        if not new or (len(new) == 1 and not mark):
             continue
-        rows = read_table(spark, root, table).where(F.col(DATE) == date).drop(DATE)
-        files = max(1, -(-rows.count() // rows_per_file))
-        name = f"c{marks['n'] + 1 if marks else 1}"
-        (rows.repartitionByRange(files, time_column).sortWithinPartitions(time_column)
-         .write.mode("overwrite").parquet(f"{folder}/{BATCH}={name}"))
-        mark = {"date": date, "n": int(name[1:]), "upto": upto, "load": bool(marks and marks["load"]) or "load" in live}
+        upto = max([mark["upto"] if mark else -1, *[int(n[1:]) for n in live if n.startswith("s")]])
+        due[date] = {"date": date, "n": mark["n"] + 1 if mark else 1, "upto": upto,
+                     "load": bool(mark and mark["load"]) or "load" in live}
+    if not due:
+        return []
+    # All dates in one job: each (date, part of the day) is one task's file.
+    rows = read_table(spark, root, table).where(F.col(DATE).isin(list(due)))
+    counts = {r[DATE]: r["count"] for r in rows.groupBy(DATE).count().collect()}
+    of_date = {d: (f"c{m['n']}", max(1, -(-counts.get(d, 0) // rows_per_file))) for d, m in due.items()}
+    names = F.create_map(*[x for d, (name, _) in of_date.items() for x in (F.lit(d), F.lit(name))])
+    files = F.create_map(*[x for d, (_, n) in of_date.items() for x in (F.lit(d), F.lit(n))])
+    rows = rows.withColumn(BATCH, F.element_at(names, F.col(DATE))).withColumn(
+        "_part", F.floor(_share_of_day(rows, time_column) * F.element_at(files, F.col(DATE))))
+    (rows.repartition(DATE, "_part").sortWithinPartitions(DATE, time_column).drop("_part")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE, BATCH).parquet(f"{root}/{table}"))
+    for date, mark in due.items():
         _put(spark, f"{root}/{table}/{COMPACTED}/{date}-{mark['n']:06d}.json", json.dumps(mark))
-        done.append(date)
-    return done
+    return list(due)
+
+
+def _share_of_day(df: DataFrame, time_column: str) -> Column:
+    c = F.col(time_column)
+    ts = F.try_to_timestamp(c) if dict(df.dtypes)[time_column] == "string" else times.ns_to_ts(c)
+    return F.coalesce(F.pmod(F.unix_seconds(ts), F.lit(86_400)) / 86_400, F.lit(0.0))
 
 
 def remove_compacted(spark: SparkSession, root: str, table: str) -> None:
