@@ -207,3 +207,11 @@ def test_object_fingerprints_are_equal_where_the_objects_are(spark):
         for j, b in enumerate(texts):
             assert (got[i][0] == got[j][0]) == (core(a) == core(b)), (a, b)
     assert all(got[i][0] is None for i in range(len(texts), len(texts) + 3))
+
+
+def test_the_cases_show_every_policy():
+    from watchfold.operators.policies import POLICIES
+    from watchfold.plans import oracles, standins
+
+    shown = {"list-syscalls" if n == "L" else n for names in oracles.TAKEN.values() for n in names.split()}
+    assert shown == {p.name for p in POLICIES} and len(shown) == 32 and len(standins.POLICY_CASES) == 66

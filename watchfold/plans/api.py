@@ -114,10 +114,11 @@ def kernel_bundles(kernel: DataFrame, rules: list[Rule] | None = None,
 
 
 def alert_bundles(alerts: DataFrame, rules: list[Rule] | None = None,
-                  ) -> tuple[DataFrame, DataFrame]:
+                  layout: str = "flat") -> tuple[DataFrame, DataFrame]:
+    """(normalised rows, bundles of the rows that matched) of raw alerts."""
     rules = CORE_RULES if rules is None else rules
     norm = normalize.normalize_alert(alerts)
-    return norm, bundles.assemble(rule_ops.match_rules(norm, rules), rules)
+    return norm, bundles.assemble(rule_ops.match_rules(norm, rules, layout), rules)
 
 
 def convert_queue(lines: DataFrame, rules: list[Rule] | None = None, layout: str = "flat",

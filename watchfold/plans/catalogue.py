@@ -427,6 +427,14 @@ def kernel_policies(spark, d):
     return tagged.select("event_id", F.explode("policies").alias("policy"))
 
 
+@query
+def every_policy(spark, d):
+    """Every shipped policy on logs that it takes and logs that it nearly takes."""
+    log = si.policy_log(si.events(spark, d))
+    tagged = policies.tag_policies(log, policies.POLICIES, F.col("payload.function_name"), policies.kernel_fields(F.col("payload")))
+    return tagged.select("event_id", F.explode("policies").alias("policy"))
+
+
 def _addresses(spark, d):
     n = F.col("c_custkey")
     part = lambda c: F.call_function("div", n, F.lit(c).cast("bigint"))
@@ -940,6 +948,33 @@ def kernel_descendants(spark, d):
     return long.select("event_id", exec_id).join(hits, "exec_id", "left_semi").select("event_id")
 
 
+@query
+def process_tree(spark, d):
+    """Events under processes of a pid, under none of them, and under those of a binary, by
+    lineage read from the log itself; its chains are as deep as the log is long in bits."""
+    log = si.process_tree(si.events(spark, d))
+    lineage = graph.lineage_of(log)
+    own = log.select("event_id", F.col("payload.process.exec_id").alias("exec_id"))
+    parts = {"pids": {"pids": (5, 11)}, "others": {"pids": (5, 11), "negated": True}, "binary": {"binaries": ("/usr/bin/signup",)}}
+    found = [policies.followed(own, lineage, **how).select(F.lit(name).alias("part"), "event_id") for name, how in parts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def raw_alert_bundles(spark, d):
+    """Raw alerts to bundles of those that a rule matches."""
+    norm, found = api.alert_bundles(si.alerts(si.events(spark, d)), layout="intended")
+    return found.select(F.col("k4").cast("bigint").alias("event_id"), F.size("objects").alias("n_objects"), F.array_join("matches", ",").alias("keys"),
+                        F.get_json_object(F.get("objects", F.lit(0)), "$.id").alias("process_id"))
+
+
+@query
+def raw_kernel_bundles(spark, d):
+    """Kernel logs to bundles through the same call."""
+    norm, found = api.kernel_bundles(si.kernel_long(si.events(spark, d)), layout="flat")
+    return found.select("pid", "bundle_id", F.size("objects").alias("n_objects"))
+
+
 @query
 def preview_rows(spark, d):
     """A preview has the chosen columns and as many rows as asked for, all of them the table's.

@@ -439,6 +439,34 @@ ker("strict_vs_intended_paths", f"""SELECT layout, key, count(*) AS n FROM (
     SELECT 'flat' AS layout, key FROM ({hits({**FLAT, **CALIBRATION}, 'pid')})
     UNION ALL SELECT 'intended', key FROM ({hits({**INTENDED, **CALIBRATION}, 'pid')}))
   GROUP BY layout, key""")
+# Case of ``standins.policy_log`` -> the policies that take it; "L" is list-syscalls.
+TAKEN = {
+    0: "metadata-api-tracing", 3: "ssh-close", 5: "ssh-close", 6: "ssh-spawn-bash", 8: "successful-ssh-connections",
+    10: "successful-ssh-connections", 11: "k8s-api-calls monitor-network-activity-outside-cluster-cidr-range",
+    12: "monitor-network-activity-outside-cluster-cidr-range", 15: "enumerate-service-account detect-identity-assume",
+    18: "enumerate-util", 20: "detect-scp-usage", 21: "detect-k8sapi-invoke", 23: "detect-symlinkat detect-ce-var-log-symlink",
+    24: "detect-ce-var-log-symlink", 26: "detect-sensitive-file-access", 29: "detect-sensitive-file-access",
+    30: "detect-ce-sys-ptrace L", 31: "L", 32: "detect-ce-sys-ptrace", 33: "detect-ce-module-load", 35: "detect-ce-nsenter",
+    36: "detect-ce-priv-mount L", 38: "detect-iptables-mitm", 39: "detect-ce-umh-core-pattern",
+    42: "detect-container-attach detect-pod-exec detect-POD_ATTACH", 44: "detect-pod-create-using-kubectl L",
+    45: "detect-pod-create-using-kubectl L", 46: "L", 47: "L", 48: "detect-exploit-host-read L", 49: "L",
+    50: "detect-exploit-host-write L", 51: "capture-stdin-stdout L", 52: "L", 53: "detect-exploit-host-write L", 54: "L",
+    55: "detect-exploit-host-write L", 56: "detect-containerd-sock-exploit-dup2 L", 57: "L",
+    58: "detect-exploit-containerd-sock L", 59: "L", 60: "detect-kubelet-pods-access L", 61: "L",
+    62: "detect-share-ps-namespace L", 63: "L", 64: "L", 65: "L",
+}
+ev("every_policy", "SELECT event_id, policy FROM ev JOIN (VALUES " + ", ".join(
+    f"({case}, '{'list-syscalls' if name == 'L' else name}')" for case, names in TAKEN.items() for name in names.split())
+    + ") t(kase, policy) ON event_id % 66 = kase")
+ev("process_tree", """, RECURSIVE up AS (SELECT event_id, event_id AS anc FROM ev
+    UNION ALL SELECT event_id, anc // 2 FROM up WHERE anc > 1),
+  hit AS (SELECT DISTINCT event_id FROM up WHERE anc IN (5, 11))
+  SELECT 'pids' AS part, event_id FROM hit
+  UNION ALL SELECT 'others', event_id FROM ev WHERE event_id NOT IN (SELECT event_id FROM hit)
+  UNION ALL SELECT DISTINCT 'binary', up.event_id FROM up JOIN ev b ON b.event_id = up.anc WHERE b.event_type = 'signup'""")
+ORACLES["process_tree"] = ORACLES["process_tree"].replace("WITH", "WITH RECURSIVE", 1).replace(", RECURSIVE up", ", up", 1)
+add("raw_alert_bundles", f"""WITH {AL} SELECT event_id, CAST(6 AS INTEGER) AS n_objects, 'alert-flags' AS keys,
+  {proc('corr_id')} AS process_id FROM al WHERE event_type = 'click' AND k % 2 = 0""")
 ker("gated_rules", """SELECT 'part-' || p_partkey AS key, count(*) AS n FROM part JOIN ker
     ON fn = CASE p_partkey % 3 WHEN 0 THEN '__x64_sys_setns' WHEN 1 THEN '__x64_sys_mount'
       ELSE 'security_file_permission' END AND contains(cmd, '"k": ' || (p_partkey % 100) || '}')
@@ -475,6 +503,7 @@ ker("bundle_assembly", f"""SELECT pid, bundle_id, CAST(2 + 4 * n_matches AS INTE
     || '","rule_id":"policy-' || event_type || '","node_info":{{"node_name":"' || node
     || '"}},"children":""}}}}' AS observed,
   first_indicator AS first_target, observed_id FROM kb""", MATCHED)
+ker("raw_kernel_bundles", "SELECT pid, bundle_id, CAST(2 + 4 * n_matches AS INTEGER) AS n_objects FROM kb", MATCHED)
 ker("matched_rule_rows", """SELECT time_text AS "timestamp", rule_ids AS pattern_ids, bundle_id,
   process_id FROM kb""", MATCHED)
 ker("graph_nodes", """SELECT 'process' AS type, count(*) AS n, count(DISTINCT process_id) AS n_ids

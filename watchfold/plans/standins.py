@@ -140,6 +140,112 @@ def kernel_long(ev: DataFrame) -> DataFrame:
         F.when(is_exec, F.lit("process_exec")).otherwise(F.lit("process_kprobe")).alias("type")])
 
 
+# One log for each way a selection policy can go: function, first and second argument (a dotted
+# address is a destination), binary, pid, whether the process is the host's.
+POLICY_CASES = [
+    ("tcp_sendmsg", "169.254.169.254", None, "/usr/bin/curl", 7, False),
+    ("tcp_sendmsg", "169.254.169.254", None, "/usr/bin/kubelet", 7, False),
+    ("tcp_sendmsg", "169.254.169.253", None, "/usr/bin/curl", 7, False),
+    ("tcp_close", None, None, "/usr/sbin/sshd", 7, False),
+    ("tcp_close", None, None, "/bin/x", 7, False),
+    ("tcp_create_openreq_child", None, None, "/usr/sbin/tcpserver", 7, False),
+    ("__x64_sys_execve", "/bin/sh", None, "/usr/sbin/sshd", 7, False),
+    ("__x64_sys_execve", "/bin/sh", None, "/bin/x", 7, False),
+    ("inet_csk_accept", None, None, "/usr/sbin/sshd", 7, False),
+    ("inet_csk_accept", None, None, "/bin/x", 7, False),
+    ("__x64_sys_execve", "/usr/sbin/sshd", None, "/usr/sbin/sshd", 7, False),
+    ("tcp_connect", "10.43.0.1", None, "/usr/bin/curl", 7, False),
+    ("tcp_connect", "10.1.15.255", None, "/usr/bin/rancher", 7, False),
+    ("tcp_connect", "127.0.0.1", None, "/usr/bin/curl", 7, False),
+    ("tcp_connect", "172.16.0.15", None, "/usr/bin/curl", 7, False),
+    ("security_file_permission", "/run/secrets/kubernetes.io/serviceaccount/token", "4", "/bin/cat", 7, False),
+    ("security_file_permission", "/run/secrets/kubernetes.io/serviceaccount/token", "4", "/main", 7, False),
+    ("security_file_permission", "/run/secrets/kubernetes.io/serviceaccount/token", "2", "/bin/cat", 7, False),
+    ("fd_install", "3", "/usr/bin/python3.10", "/bin/x", 7, False),
+    ("fd_install", "3", "/usr/bin/vim", "/bin/x", 7, False),
+    ("__x64_sys_execve", "/usr/lib/openssh/sftp-server", None, "/bin/x", 7, False),
+    ("security_file_permission", "/usr/local/lib/python3.10/dist-packages/kubernetes/client/api.py", "4", "/bin/x", 7, False),
+    ("security_file_permission", "/usr/local/lib/python3.10/dist-packages/kubernetes/client/api.py", "6", "/bin/x", 7, False),
+    ("__x64_sys_symlinkat", "/home/ansible/.id_rsa_tmp", "l", "/bin/ln", 7, False),
+    ("__x64_sys_symlinkat", "/home/ansible/.id_rsa_tmp", "l", "/usr/bin/dumb-init", 7, False),
+    ("__x64_sys_symlinkat", "near", "l", "/bin/ln", 7, False),
+    ("security_file_permission", "/etc/kubernetes/pki/apiserver.key", "4", "/bin/cat", 7, False),
+    ("security_file_permission", "/etc/kubernetes/pki/apiserver.key", "4", "/usr/bin/nginx", 7, False),
+    ("security_file_permission", "/var/secrets/google/key.json", "4", "/main", 7, False),
+    ("security_file_permission", "/var/secrets/google/key.json", "4", "/bin/cat", 7, False),
+    ("__x64_sys_ptrace", "16", "1", "/bin/x", 7, False),
+    ("__x64_sys_ptrace", "16", "1", "/bin/x", 7, True),
+    ("__x64_sys_execve", "/usr/bin/strace", None, "/bin/x", 7, False),
+    ("__x64_sys_init_module", None, None, "/bin/x", 7, False),
+    ("__x64_sys_delete_module", None, None, "/bin/x", 7, False),
+    ("__x64_sys_setns", "3", "0", "/bin/x", 7, False),
+    ("__x64_sys_mount", "proc", "/mnt", "/bin/x", 7, False),
+    ("__x64_sys_umount", "/mnt", None, "/bin/x", 7, False),
+    ("fd_install", "3", "/usr/sbin/iptables-restore", "/bin/x", 7, False),
+    ("security_file_permission", "/proc/sys/kernel/core_pattern", "2", "/bin/x", 7, False),
+    ("security_file_permission", "/proc/sys/kernel/core_pattern", "2", "/bin/x", 7, True),
+    ("security_file_permission", "/proc/sys/kernel/core_pattern", "1", "/bin/x", 7, False),
+    ("__x64_sys_execve", "/pause", None, "/bin/x", 7, False),
+    ("__x64_sys_execve", "/pause2", None, "/bin/x", 7, False),
+    ("__x64_sys_openat", "-100", "/root/.kube/config", "/bin/x", 7, False),
+    ("__x64_sys_read", "0", None, "/bin/cat", 7, False),
+    ("__x64_sys_read", "0", None, "/bin/cat", 1, False),
+    ("__x64_sys_read", "0", None, "/usr/bin/jq", 7, False),
+    ("__x64_sys_openat", "-100", "/proc/1/mem", "/bin/cat", 7, False),
+    ("__x64_sys_openat", "-100", "/proc/1/mem", "/bin/cat", 7, True),
+    ("__x64_sys_write", "/tmp/breakout", None, "/bin/bash", 7, False),
+    ("__x64_sys_write", "1", None, "/bin/bash", 7, True),
+    ("__x64_sys_write", "9", None, "/bin/cat", 7, False),
+    ("__x64_sys_fsync", "3", None, "/bin/sh", 7, False),
+    ("__x64_sys_fsync", "3", None, "/bin/sh", 7, True),
+    ("__x64_sys_openat", "-100", "/host/etc/cron.d/breakout", "/bin/x", 7, False),
+    ("__x64_sys_dup2", "3", "2", "/bin/x", 7, False),
+    ("__x64_sys_dup2", "3", "5", "/bin/x", 7, False),
+    ("__x64_sys_connect", "3", None, "/usr/local/bin/crictl", 7, False),
+    ("__x64_sys_connect", "3", None, "/bin/nc", 7, False),
+    ("__x64_sys_openat", "-100", "/var/run/token", "/bin/cat", 7, False),
+    ("__x64_sys_openat", "-100", "/var/run/token", "/usr/bin/kubelet", 7, False),
+    ("__x64_sys_openat", "-100", "/proc/20/root/etc", "/bin/x", 7, False),
+    ("__x64_sys_openat", "-100", "/proc/20/root/etc", "/bin/x", 7, True),
+    ("__x64_sys_openat", "-100", "/proc/21/root", "/bin/x", 7, False),
+    ("__x64_sys_chown", "/x", None, "/bin/x", 7, False),
+]
+
+
+def policy_log(ev: DataFrame) -> DataFrame:
+    """Kernel logs that take the cases in turn."""
+    case = F.get(F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in zip(
+        ("function", "first", "second", "binary", "pid", "host"),
+        ("string", "string", "string", "string", "bigint", "boolean"), c, strict=True)]) for c in POLICY_CASES]),
+        (F.col("event_id") % len(POLICY_CASES)).cast("int"))
+    rows = once(ev, "case", case)
+
+    def arg(name):
+        c = F.col(f"case.{name}")
+        return F.when(c.rlike(r"^-?\d+$"), typed({"int_arg": c.try_cast("bigint")}, schemas.ARG)).when(
+            c.rlike(r"^\d+(\.\d+){3}$"), typed({"sock_arg": typed({"daddr": c}, schemas.SOCK_ARG)}, schemas.ARG)).when(
+            F.col("case.function").startswith("security"), typed({"file_arg": typed({"path": c}, schemas.FILE_ARG)}, schemas.ARG)).otherwise(
+            typed({"string_arg": c}, schemas.ARG))
+
+    pod = typed({"name": F.col("pod"), "container": typed(
+        {"id": F.when(~F.col("case.host"), text("containerd://", F.col("container")))}, schemas.CONTAINER)}, schemas.POD)
+    process = typed({"exec_id": text("e", F.col("event_id")), "pid": F.col("case.pid"), "binary": F.col("case.binary"),
+                     "pod": pod}, schemas.PROC)
+    return once(rows, "payload", typed({
+        "process": process, "function_name": F.col("case.function"), "args": F.array(arg("first"), arg("second"))},
+        schemas.KERNEL_PAYLOAD), ["event_id"])
+
+
+def process_tree(ev: DataFrame) -> DataFrame:
+    """Kernel logs whose processes descend from each other: event n from event n div 2."""
+    n = F.col("event_id")
+    proc = typed({
+        "exec_id": text("e", n), "parent_exec_id": F.when(n > 1, text("e", F.call_function("div", n, F.lit(2).cast("bigint")))),
+        "binary": text("/usr/bin/", F.col("event_type")), "pid": n}, schemas.PROC)
+    return once(ev, "payload", typed({"process": proc}, schemas.KERNEL_PAYLOAD), [
+        "event_id", F.col("time_text").alias("time")])
+
+
 def kernel_wide(ev: DataFrame) -> DataFrame:
     """The same log in wide form, arguments promoted to the root."""
     long = kernel_long(ev)
