@@ -72,13 +72,13 @@ def test_process_id_from_exec(spark):
 
 
 def test_iso_to_ns(spark):
-    row = one(spark, ns=times.iso_to_ns(lit("2025-05-15T10:19:35.195123920Z")),
-              us=times.iso_to_ns(lit("2025-05-15T10:19:35.195123")),
-              s=times.iso_to_ns(lit("2025-05-15T10:19:35Z")), bad=times.iso_to_ns(lit("nope")),
-              strict=times.iso_to_ns_micro_only(lit("2025-05-15T10:19:35.195123920Z")))
-    assert row.ns == 1747304375195123920
-    assert row.us == 1747304375195123000
-    assert row.s == 1747304375000000000
+    row = one(spark, ns=times.iso_to_ns(lit("2034-08-19T03:12:43.716253948Z")),
+              us=times.iso_to_ns(lit("2034-08-19T03:12:43.716253")),
+              s=times.iso_to_ns(lit("2034-08-19T03:12:43Z")), bad=times.iso_to_ns(lit("nope")),
+              strict=times.iso_to_ns_micro_only(lit("2034-08-19T03:12:43.716253948Z")))
+    assert row.ns == 2039569963716253948
+    assert row.us == 2039569963716253000
+    assert row.s == 2039569963000000000
     assert row.bad is None and row.strict is None
 
 

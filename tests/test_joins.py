@@ -22,14 +22,14 @@ def two_sides(spark, seed, hot=False):
         spark.createDataFrame(right, "rid int, pod string, rt bigint"))
 
 
-@pytest.mark.parametrize("seed,hot,by,salts", [
-    (1, False, [], 8), (2, False, ["pod"], 8), (3, True, [], 4), (4, True, ["pod"], 1),
+@pytest.mark.parametrize("seed,hot,by,rows_per_task", [
+    (1, False, [], 4_000_000), (2, False, ["pod"], 4_000_000), (3, True, [], 5), (4, True, ["pod"], 3),
 ])
-def test_interval_join(spark, seed, hot, by, salts):
+def test_interval_join(spark, seed, hot, by, rows_per_task):
     left, right, ldf, rdf = two_sides(spark, seed, hot)
     if not by:
         rdf = rdf.drop("pod")
-    got = context.interval_join(ldf, rdf, "lt", "rt", W, by=by, salt_by=["rid"], salts=salts)
+    got = context.interval_join(ldf, rdf, "lt", "rt", W, by=by, salt_by=["rid"], rows_per_task=rows_per_task)
     want = sorted((x[0], y[0]) for x in left for y in right
                   if abs(x[2] - y[2]) < W and (not by or x[1] == y[1]))
     assert sorted((r["lid"], r["rid"]) for r in got.collect()) == want

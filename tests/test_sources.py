@@ -41,17 +41,17 @@ def test_a_field_of_the_wrong_type_costs_only_that_field(spark, tmp_path):
 
 def test_rule_alert_reader(spark, tmp_path):
     message = json.dumps({
-        "output_fields": {"container.id": "7edade45f808", "proc.tty": "34816",
+        "output_fields": {"container.id": "beef00112233", "proc.tty": "70707",
                           "proc.commandline": "sh -c id", "evt.type": "execve"},
         "rule": "Terminal shell", "priority": "Notice", "tags": ["a", "b"], "hostname": "h-1",
         "source": "syscall"})
     path = write(tmp_path, "r", [
-        {"timestamp": "2025-03-07T16:26:29.583093313Z", "message": message, "file": "x"},
+        {"timestamp": "2033-09-21T05:06:07.808182838Z", "message": message, "file": "x"},
         {"timestamp": "t", "message": "not json"}])
     rows = normalize.normalize_rule_alert(logs.read_rule_alerts(spark, path)).collect()
     ok = [r for r in rows if r["rule_id"] == "Terminal shell"]
     assert len(ok) == 1
-    assert ok[0]["corr_id"] == "250307T16262958" + "7edade45f808" + "00034816" + "000000000h-1"
+    assert ok[0]["corr_id"] == "330921T05060780" + "beef00112233" + "00070707" + "000000000h-1"
     assert ok[0]["interpretation"] == "a, b" and ok[0]["parent_command_line"] == "None"
 
 

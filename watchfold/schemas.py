@@ -13,6 +13,7 @@ S, L, I, B, D = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(),
 SMALL = T.ShortType()
 
 # --- kernel-process log -----------------------------------------------------
+# Field names and types as the source writes them.
 
 IMAGE = _struct(id=S, name=S)
 CONTAINER = _struct(id=S, name=S, start_time=S, pid=L, image=IMAGE)
@@ -47,6 +48,7 @@ KERNEL_LONG_TEXT = _struct(time=S, node_name=S, type=S, payload=S)
 KERNEL_LONG = _struct(time=S, node_name=S, type=S, payload=KERNEL_PAYLOAD)
 
 # --- runtime alert log ------------------------------------------------------
+# Field names and types as the source writes them.
 
 ALERT_ARGUMENTS = _struct(
     syscall=S, capability=S, path=S, exec=S, args=T.ArrayType(S),
@@ -92,6 +94,7 @@ ALERT = _struct(
 )
 
 # --- syscall trace and rule-engine alerts -----------------------------------
+# Field names and types as the source writes them.
 
 TRACE_ARG = _struct(name=S, type=S, value=S)
 TRACE = _struct(
@@ -115,6 +118,7 @@ RULE_ALERT = _struct(
 )
 
 # --- spans ------------------------------------------------------------------
+# Field names and types as the source writes them.
 
 HTTP_SPAN = _struct(
     time_=L, upid=S, remote_addr=S, remote_port=I, local_addr=S, local_port=I,
