@@ -10,10 +10,7 @@ _IPV4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
 
 def ipv4(c: Column) -> Column:
     """Dotted text to a bigint, null when it is not an IPv4 address."""
-    part = F.split(c, r"\.")
-    value = sum(
-        F.get(part, F.lit(i)).try_cast("bigint") * F.lit(1 << (24 - 8 * i)) for i in range(4)
-    )
+    value = F.aggregate(F.split(c, r"\."), F.lit(0).cast("bigint"), lambda v, part: v * 256 + part.try_cast("bigint"))
     return F.when(c.rlike(_IPV4), value)
 
 
@@ -53,15 +50,24 @@ def block_key(c: Column) -> tuple[Column, Column]:
     return F.when(ok, F.call_function("shiftright", addr, (32 - bits).cast("int"))), F.when(ok, bits)
 
 
-def is_subset(c: Column, block: str) -> Column:
-    """Is the address or block in ``c`` wholly inside the constant block."""
+def _constant(block: str) -> tuple[int, int]:
+    """(lowest address, prefix length) of a constant block."""
     low, high = cidr_bounds(block)
-    a, b = block_low_high(c)
-    return F.coalesce((a >= low) & (b <= high), F.lit(False))
+    return low, 33 - (high - low + 1).bit_length()
+
+
+def is_subset(c: Column, block: str) -> Column:
+    """Is the address or block in ``c`` wholly inside the constant block; null if it is neither."""
+    low, bits = _constant(block)
+    parts = F.split(c, "/")
+    own = F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(32))
+    inside = F.call_function("shiftright", ipv4(F.get(parts, F.lit(0))), F.lit(32 - bits)) == F.lit(low >> (32 - bits))
+    return F.when(own.between(0, 32), inside & (own >= bits))
 
 
 def is_superset(c: Column, block: str) -> Column:
-    """Does the address or block in ``c`` wholly contain the constant block."""
-    low, high = cidr_bounds(block)
-    a, b = block_low_high(c)
-    return F.coalesce((a <= low) & (b >= high), F.lit(False))
+    """Does the address or block in ``c`` wholly contain the constant block; null if it is neither."""
+    low, bits = _constant(block)
+    key, own = block_key(c)
+    same = key == F.call_function("shiftright", F.lit(low), (32 - own).cast("int"))
+    return F.when(same.isNotNull(), same & (own <= bits))

@@ -1160,6 +1160,22 @@ def observations_together(spark, d):
     return observations.together(si.events(spark, d), ["user_id"], "ns", kinds, 6 * 3600)
 
 
+BLOCK_RULES = [
+    Rule(key, "b", "n", "a", "a", "a", "i", "i", "i", "r", (
+        Predicate(0, "process:extensions.kprobe0.sock_arg.daddr", op, block, negated=negated),))
+    for key, op, block, negated in (
+        ("inside", "ISSUBSET", "10.1.0.0/20", False), ("outside", "ISSUBSET", "10.1.0.0/20", True),
+        ("one", "ISSUBSET", "10.1.7.7", False), ("holds", "ISSUPERSET", "10.1.3.7/32", False),
+        ("wide", "ISSUPERSET", "10.1.0.0/16", False))]
+
+
+@query
+def rule_blocks(spark, d):
+    """Rule rows that compare a destination with address blocks."""
+    matched = rule_ops.match_rules(_kernel_norm(spark, d), _loaded(spark, BLOCK_RULES), "intended")
+    return matched.select("pid", F.explode("matches").alias("key"))
+
+
 LITERAL_RULES = [
     Rule(key, "l", "n", "a", "a", "a", "i", "i", "i", "r", (p,)) for key, p in {
         "hex": Predicate(0, "process:cwd", "=", "2f", "hex"),

@@ -778,6 +778,9 @@ ev("observations_together", """, e AS (SELECT user_id, ns, event_type FROM ev),
 ker("rule_literals", """SELECT key, count(*) AS n FROM (
     SELECT 'hex' AS key FROM ker UNION ALL SELECT 'binary' FROM ker WHERE namespace = 'webapp'
     UNION ALL SELECT 'timestamp' FROM ker WHERE ts < TIMESTAMP '2024-01-10') GROUP BY 1""")
+ker("rule_blocks", """SELECT pid, key FROM ker JOIN (VALUES ('inside'), ('outside'), ('one'), ('holds')) t(key)
+  ON fn = 'tcp_connect' AND CASE key WHEN 'inside' THEN k % 32 < 16 WHEN 'outside' THEN k % 32 >= 16
+    WHEN 'one' THEN k % 32 = 7 ELSE k % 32 = 3 END""")
 ker("rule_store", f"""SELECT key, count(*) AS n, CAST(CASE WHEN key = 'nsenter' THEN 1 ELSE 0 END AS BIGINT)
     AS refs FROM ({hits({k: v for k, v in INTENDED.items() if k != 'tree'}, 'pid')}) GROUP BY 1""")
 ev("span_files", """SELECT 'dns' AS kind, ns AS time_, event_id AS pid FROM ev
