@@ -11,10 +11,10 @@ def brute(rows, k, every):
     usable = {(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows
               if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     out = []
-    for q, a in usable:
-        if q % every == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in usable if i != q and len(a) == len(b))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
+    for q in {i for i, _ in usable if i % every == 0}:
+        found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for own, a in usable if own == q
+                       for i, b in usable if i != q and len(a) == len(b))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
     return sorted(out)
 
 
@@ -54,3 +54,27 @@ def test_bounds_hold():
     every = np.arange(50)
     for level in range(len(S.SEGMENTS)):
         assert (S.bound(block, block, level, every, every) >= rows @ rows.T).all()
+
+
+def test_an_id_with_two_vectors_asks_with_both(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i % 40, rng.normal(size=6).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = S.top_k(df, F.col("vec_id") % 10 == 0, block_rows=16, query_rows=3)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 10, 10)
+
+
+def test_finer_bounds_only_for_what_coarser_ones_leave():
+    """Vectors of very different lengths: one segment tells most candidates off, more segments more."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-1000, 1000, (2000, 48)) // (1 + np.arange(2000)[:, None] // 100)
+    rows[:, :12] += rng.integers(-400, 400, (2000, 1)) // (1 + np.arange(2000)[:, None] // 100)
+
+    def block(part, ids):
+        return S.Block(ids.astype("<i8").tobytes(), part.astype("<i8").tobytes(), 48)
+
+    best = S.Best(20, 10)
+    looked = S.compare(block(rows[:20], np.arange(20)), block(rows[20:], np.arange(20, 2000)), best)
+    assert looked[0] == 20 * 1980 and looked[0] > 1.5 * looked[1] and looked[1] > looked[2] > looked[3]
+    scores = rows[:20] @ rows[20:].T
+    assert (np.sort(best.score, axis=1) == np.sort(scores, axis=1)[:, -10:]).all()

@@ -8,7 +8,8 @@ bound reaches the k-th best score found so far. Bounds are rounded up, so nothin
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an
 id. Vectors of different lengths are not compared. The same vector under the same id counts
-once; a query's own id is no candidate. Ties go to the smaller id. With fewer than k candidates
+once; an id with several vectors asks with each, and their scores are ranked together; a query's own
+id is no candidate. Ties go to the smaller id. With fewer than k candidates
 all are returned; an empty table gives an empty result. Other columns are not looked at.
 """
 
@@ -25,6 +26,8 @@ from watchfold.llm.shared import ship, whole_keys, written
 SCALE, K = 1024, 10
 SEGMENTS = (1, 4, 16)
 CANDIDATES, QUERIES = 4096, 1024  # vectors of a block
+AT_ONCE = 1024                    # candidates multiplied with all queries of a block
+TRIED = 8                         # times k candidates scored at each level for something to prune by
 GROUP_BLOCKS = 8                  # candidate blocks that a run of one query block goes through
 
 
@@ -100,11 +103,11 @@ def bound(a: Block, b: Block, level: int, rows: np.ndarray, columns: np.ndarray)
     return most + 1e-6 * (1 + a.largest * b.largest * a.rows.shape[1])
 
 
-def exact(a: Block, b: Block, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Inner products of row pairs in whole numbers."""
+def products(a: Block, b: Block, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """All inner products of rows and columns in whole numbers."""
     if a.largest * b.largest * a.rows.shape[1] < 2.0 ** 53:
-        return np.einsum("ij,ij->i", a.real[rows], b.real[columns]).astype(np.int64)
-    return np.einsum("ij,ij->i", a.rows[rows], b.rows[columns])
+        return (a.real[rows] @ b.real[columns].T).astype(np.int64)
+    return a.rows[rows] @ b.rows[columns].T
 
 
 class Best:
@@ -128,36 +131,54 @@ class Best:
             self.score[q], self.ids[q] = score[best], own[best]
 
 
-def compare(queries: Block, block: Block, best: Best) -> None:
-    """Take what ``block`` adds to the best of every query, coarse bounds first."""
-    all_rows, all_columns = np.arange(len(queries.ids)), np.arange(len(block.ids))
-    top = bound(queries, block, len(SEGMENTS) - 1, all_rows, all_columns)
-    if (best.score[:, -1] == np.iinfo(np.int64).min).any():
-        # Some exact scores first, those of the highest bounds, to have something to prune by.
-        n = min(best.k + 1, len(block.ids))
-        columns = np.argpartition(-top, n - 1, axis=1)[:, :n].ravel()
-        rows = np.repeat(all_rows, n)
-        other = queries.ids[rows] != block.ids[columns]
-        rows, columns = rows[other], columns[other]
-        seed = Best(len(queries.ids), best.k)
-        seed.add(rows, block.ids[columns], exact(queries, block, rows, columns))
-        floor = np.maximum(best.score[:, -1], seed.score[:, -1])
+def compare(queries: Block, block: Block, best: Best) -> dict[int, int]:
+    """Take what ``block`` adds to the best of every query; how many pairs each level looked at.
+
+    The coarsest bound is worked out for all pairs, a finer one only for the queries and candidates
+    that a bound before has left, and the inner product for the pairs that all bounds leave. At
+    every level the pairs of the highest bounds are scored at once, to have more to prune by.
+    """
+    floor = best.score[:, -1].astype(np.float64)
+    floor[best.score[:, -1] == np.iinfo(np.int64).min] = -np.inf
+    rows, columns = np.arange(len(queries.ids)), np.arange(len(block.ids))
+    mask = np.ones((len(rows), len(columns)), bool)
+    looked = {}
+    for level in range(len(SEGMENTS)):
+        looked[level] = len(rows) * len(columns)
+        most = bound(queries, block, level, rows, columns)
+        most[~mask] = -np.inf
+        floor[rows] = np.maximum(floor[rows], _reached(queries, block, rows, columns, most, best.k))
+        mask = most >= np.maximum(floor[rows], -1e300)[:, None]
+        left, right = mask.any(axis=1), mask.any(axis=0)
+        rows, columns, mask = rows[left], columns[right], mask[np.ix_(left, right)]
+        if not len(rows):
+            return looked
+    looked[len(SEGMENTS)] = int(mask.sum())
+    for begin in range(0, len(columns), AT_ONCE):
+        part = slice(begin, begin + AT_ONCE)
+        score, own = products(queries, block, rows, columns[part]), mask[:, part]
+        own = own & (queries.ids[rows][:, None] != block.ids[columns[part]][None, :])
+        # Of each query only what can be among its best goes on: ties with the k-th included.
+        if own.shape[1] > best.k:
+            kth = np.partition(np.where(own, score, np.iinfo(np.int64).min), -best.k, axis=1)[:, -best.k]
+            own &= score >= np.maximum(kth, best.score[rows, -1])[:, None]
+        r, c = np.nonzero(own)
+        best.add(rows[r], block.ids[columns[part]][c], score[r, c])
+    return looked
+
+
+def _reached(queries: Block, block: Block, rows: np.ndarray, columns: np.ndarray, most: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k-th best score among its candidates of the highest bounds."""
+    n = min(TRIED * (k + 1), len(columns))
+    at = np.argpartition(-most, n - 1, axis=1)[:, :n]
+    i, c = np.repeat(rows, n), columns[at.ravel()]
+    if queries.largest * block.largest * queries.rows.shape[1] < 2.0 ** 53:
+        score = np.einsum("ij,ij->i", queries.real[i], block.real[c])
     else:
-        floor = best.score[:, -1]
-    floor = np.where(floor == np.iinfo(np.int64).min, -np.inf, floor.astype(np.float64))
-    columns = all_columns
-    for level in range(len(SEGMENTS) - 1):
-        reach = (bound(queries, block, level, all_rows, columns) >= floor[:, None]).any(axis=0)
-        columns = columns[reach]
-        if not len(columns):
-            return
-    rows, at = np.nonzero(top[:, columns] >= floor[:, None])
-    columns = columns[at]
-    other = queries.ids[rows] != block.ids[columns]
-    rows, columns = rows[other], columns[other]
-    for begin in range(0, len(rows), 1 << 17):
-        r, c = rows[begin:begin + (1 << 17)], columns[begin:begin + (1 << 17)]
-        best.add(r, block.ids[c], exact(queries, block, r, c))
+        score = np.nextafter(np.einsum("ij,ij->i", queries.rows[i], block.rows[c]).astype(np.float64), -np.inf)
+    score[(queries.ids[i] == block.ids[c]) | np.isneginf(np.take_along_axis(most, at, 1)).ravel()] = -np.inf
+    score = -np.sort(-score.reshape(len(rows), n), axis=1)
+    return score[:, k - 1] if n >= k else np.full(len(rows), -np.inf)
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -167,8 +188,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     ship(vectors.sparkSession)
     rows = written(quantised(vectors, id_col, vector_col, scale).dropDuplicates(["vec_id", "q"]), "search-vectors")
     candidates = written(blocks(rows, block_rows), "search-candidates")
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
-    asked = written(blocks(asked, query_rows), "search-queries")
+    asked = written(blocks(rows.where(is_query), query_rows), "search-queries")
     groups = max(1, -(-candidates.count() // GROUP_BLOCKS))
     dealt = asked.select("dim", F.col("block").alias("query"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
                          F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
@@ -190,7 +210,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                     names=["query_id", "vec_id", "score"])
 
     found = met.sortWithinPartitions("run", "block") if groups == 1 else met.repartition("run").sortWithinPartitions("run", "block")
-    found = written(found.mapInArrow(search, "query_id long, vec_id long, score long").distinct(), "search-found")
+    found = written(found.mapInArrow(search, "query_id long, vec_id long, score long"), "search-found")
     ranked = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
