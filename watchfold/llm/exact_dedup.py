@@ -94,7 +94,7 @@ def bucket_of(spark: SparkSession, rows: DataFrame, buckets: list[tuple[int, int
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256, bucket.
+    """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the smallest id stays. ``hash_of`` may be any function to a
     long; a poor one makes chains longer, not results wrong.
@@ -107,22 +107,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.monotonically_increasing_id().alias("row")), "dedup-entries")
     buckets = directory(entries.select("key").distinct(), capacity)
 
+    # The bucket that owns a key compares the bytes of its chain's texts and says which id stays.
     owned = bucket_of(spark, rows, buckets)
-    chains = owned.groupBy("bucket", "key", "body").agg(F.count("*").alias("group_size"))
-    chains = chains.select("bucket", "key", F.unhex(F.sha2("body", 256)).alias("sha"), "group_size")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
+    chains = owned.groupBy("bucket", "key", "body").agg(F.count("*").alias("group_size"), first.alias("first"))
+    chains = chains.select("bucket", "key", F.unhex(F.sha2("body", 256)).alias("sha"), "group_size",
+                           F.col("first.id").alias("keep_id"))
     index = written(chains.repartition("bucket").sortWithinPartitions("bucket", "key"), "dedup-index")
-    # Groups of one need no head; the others' heads come from the slim entries.
-    several = index.where("group_size > 1")
-    head = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")))
-    heads = entries.groupBy("key", "sha").agg(head.alias("head"))
-    heads = heads.join(several, ["key", "sha"]).select("key", "sha", "head", "group_size")
+    # Groups of one need no head. Of rows repeated under the id that stays, the first is the head.
+    several = index.where("group_size > 1").drop("bucket")
+    same = [entries["key"] == several["key"], entries["sha"] == several["sha"], entries["id"].eqNullSafe(several["keep_id"])]
+    heads = entries.join(several, same).groupBy(several["key"], several["sha"], "keep_id", "group_size").agg(
+        F.min("row").alias("head_row"))
+    heads = heads.withColumn("copied", F.lit(True))
     out = entries.join(written(heads, "dedup-heads"), ["key", "sha"], "left")
-    alone = F.col("head").isNull()
+    alone = F.col("copied").isNull()
     return out.select(
         F.col("id").alias(id_col),
-        F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("keep_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(alone, True).otherwise(F.col("head.row") == F.col("row")).alias("kept"),
+        F.when(alone, True).otherwise(F.col("head_row") == F.col("row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 
