@@ -78,3 +78,15 @@ def test_finer_bounds_only_for_what_coarser_ones_leave():
     assert looked[0] == 20 * 1980 and looked[0] > 1.5 * looked[1] and looked[1] > looked[2] > looked[3]
     scores = rows[:20] @ rows[20:].T
     assert (np.sort(best.score, axis=1) == np.sort(scores, axis=1)[:, -10:]).all()
+
+
+def test_many_copies_of_one_vector(spark):
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=8).tolist()
+    rows = [(i, one if i % 3 else rng.normal(size=8).tolist()) for i in range(200)] + [(300, [-x for x in one])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = S.top_k(df, F.col("vec_id") % 50 == 0, block_rows=7, query_rows=2)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 10, 50)
+    best = S.Best(1, 3)
+    best.add(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert (best.ids == np.iinfo(np.int64).max).all()

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def whole_keys(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tup
         change = None
         for i in range(keys):
             column = table.column(i).combine_chunks()
-            step = pa.compute.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+            step = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
             step = step.to_numpy(zero_copy_only=False).astype(bool)
             change = step if change is None else change | step
         return [0, *(change.nonzero()[0] + 1).tolist(), table.num_rows]

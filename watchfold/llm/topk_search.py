@@ -119,10 +119,12 @@ class Best:
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(rows):
+            return
         order = np.lexsort((ids, -scores.astype(np.float64), rows))
         order = order[np.lexsort((ids[order], ~scores[order], rows[order]))]
         rows, ids, scores = rows[order], ids[order], scores[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, int)
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
             q = rows[a]
             score = np.concatenate([self.score[q], scores[a:b][:self.k]])
