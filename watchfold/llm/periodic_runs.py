@@ -258,6 +258,7 @@ def repeating(ids: pd.Series, texts: pd.Series) -> pd.Series:
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, a tenth of which are made to repeat first; the decimal of a null id is empty."""
     ship(spark)
     decimal = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     chosen = F.crc32(decimal.cast("binary")) % 10 == 0
