@@ -31,7 +31,7 @@ ROWS_PER_LANGUAGE = 2_000   # labelled rows that a language is learned from, at
 MOST_LANGUAGES = 1_000      # more end the job: each has a column of costs in every worker
 CUT_BITS = 14               # of the hash by which rows are counted first
 PAD = "\0" * ORDER          # context of a text's first bytes
-STEP = 1 << 20              # positions scored at a time
+STEP = 1 << 18              # positions scored at a time
 UNKNOWN = "und"
 
 
