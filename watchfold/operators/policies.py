@@ -15,7 +15,7 @@ from ..functions import net
 from .barrier import once
 from .filters import all_of, any_of
 from .rules import SEPARATOR
-from .skew import ROWS_PER_TASK, salted_join, split_join
+from .skew import PAIRS_PER_TASK, ROWS_PER_TASK, split_join, wide_join
 
 
 @dataclass(frozen=True)
@@ -227,13 +227,14 @@ def tag_policies(events: DataFrame, policies: list[Policy], function: Column,
 
 
 def in_block_table(rows: DataFrame, ip: str, blocks: DataFrame, block: str,
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   rows_per_task: int = ROWS_PER_TASK, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
     """Addresses against a table of blocks, as an equi-join.
 
     An address is inside a /p block when its top p bits are the block's, so each
     address is shifted by every prefix length in use (at most 33 values) and
     joined on (length, shifted address). No range comparison, no nested loop; a
-    wide block that holds most addresses is a hot key, which is split.
+    wide block that holds most addresses is a hot key, which is split, and so is a block that
+    stands in the table many times.
     """
     key, bits = net.block_key(F.col(block))
     keyed = blocks.select("*", key.alias("_net"), bits.alias("_bits")).where("_net IS NOT NULL")
@@ -243,7 +244,7 @@ def in_block_table(rows: DataFrame, ip: str, blocks: DataFrame, block: str,
         "*", F.explode(lengths).alias("_bits")
     ).withColumn("_net", F.expr("shiftright(_ip, 32 - _bits)"))
     joined = split_join(probes.withColumnRenamed(ip, "_addr"), keyed, ["_bits", "_net"], "inner", [
-        "_ip", *[c for c, t in rows.dtypes if c != ip and "map" not in t and "variant" not in t]], rows_per_task)
+        "_ip", *[c for c, t in rows.dtypes if c != ip and "map" not in t and "variant" not in t]], rows_per_task, pairs_per_task)
     return joined.withColumnRenamed("_addr", ip).drop("_bits", "_net", "_ip")
 
 
@@ -264,5 +265,4 @@ def followed(events: DataFrame, lineage: DataFrame, binaries: tuple[str, ...] =
     if pids:
         tests.append(F.col("pid").isin(*pids))
     hits = descendants_of(lineage, any_of(tests)).select(F.col("id").alias(exec_id))
-    salt_by = salt_by or [c for c, t in events.dtypes if "map" not in t and "variant" not in t]
-    return salted_join(events, hits, [exec_id], "left_anti" if negated else "left_semi", salt_by)
+    return wide_join(events, hits, [exec_id], "left_anti" if negated else "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import bundles, context, filters, normalize, rules as rule_ops
-from ..operators.skew import salted_join
+from ..operators.skew import wide_join
 from ..sources import sinks
 from ..sources.rules import CORE_RULES, Rule
 
@@ -171,8 +171,7 @@ def scored_bundle(alerts: DataFrame, kernel: DataFrame, dns: DataFrame, http: Da
     rows = alerts_with_ns(alerts).withColumns({
         "_con": F.col("RuntimeK8sDetails")["containerID"],
         "_pid": F.col("BaseRuntimeMetadata")["infectedPID"]})
-    joined = salted_join(rows, execs, ["_con", "_pid"], "left", ["time_ns", "message"]).drop(
-        "_con", "_pid")
+    joined = wide_join(rows, execs, ["_con", "_pid"], "left").drop("_con", "_pid")
     endpoints = filters.http_endpoints(
         http.withColumn("pod", F.concat_ws("/", "namespace", "pod_name")), pod_dim)
     scored = context.scored_alerts(
