@@ -78,5 +78,6 @@ def object_id(kind: str | Column, *parts: Column) -> Column:
     """``type--uuid`` whose uuid is fixed by the parts, so retries agree."""
     kind_col = F.lit(kind) if isinstance(kind, str) else kind
     h = F.md5(F.concat_ws("|", kind_col, *[p.cast("string") for p in parts]))
-    cuts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(kind_col, F.lit("--"), F.concat_ws("-", *cuts))
+    # The hash stands here once: inside a lambda Spark evaluates every copy of an expression.
+    uuid = F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    return F.concat(kind_col, F.lit("--"), uuid)

@@ -10,8 +10,9 @@ from ..functions.fingerprints import with_object_fingerprint
 from ..session import cut_lineage
 from ..sources.rules import Rule, rule_objects_json
 from . import normalize
+from .barrier import once
 from .rules import rule_lookup
-from .skew import chunk_number, first_per_key, salted_join, split_join
+from .skew import chunk_number, first_per_key, split_join, wide_join
 
 SPEC = "2.1"
 
@@ -45,10 +46,11 @@ def assemble(matched: DataFrame, rules: list[Rule], flat: bool = False,
     process, observed-data (its refs extended by the indicators), one
     relationship per match, then the rules' own objects.
     """
-    df = matched.withColumn("bundle_id", bundle_id())
+    # Once per row: the links are made in a lambda, where an id would be worked out anew for each.
+    df = once(matched, "bundle_id", bundle_id(), [c for c in matched.columns if c != "bundle_id"])
     indicators = F.transform(
         "matches", lambda k: F.element_at(rule_lookup(rules, "indicator_id"), k))
-    df = df.withColumn("indicator_ids", indicators)
+    df = once(df, "indicator_ids", indicators)
     links = F.transform("indicator_ids", lambda i, n: relationship(
         F.col("bundle_id"), i, "indicates", F.col("time_text"),
         ids.object_id("relationship", F.col("bundle_id"), i, n)))
@@ -138,7 +140,7 @@ def consolidate(bundles: DataFrame, group: Column, order: list[str],
     if not keep_first_whole:
         return merged
     heads = merged.select("group_key", "merged_id").distinct()
-    first_rows = salted_join(grouped, heads, ["group_key"], "inner", ["bundle_id"]).where(
+    first_rows = wide_join(grouped, heads, ["group_key"], "inner").where(
         F.col("bundle_id") == F.col("merged_id"))
     firsts = explode_for_merge(first_rows, [*order, "merged_id"])
     return firsts.unionByName(merged.where(F.col("bundle_id") != F.col("merged_id")))
