@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.bundles import WILDCARD
-from .skew import ROWS_PER_TASK, first_n_per_key, first_per_key, salted_join, split_join
+from .skew import ROWS_PER_TASK, first_n_per_key, first_per_key, salted_join, split_join, wide_join
 
 
 def dedupe(df: DataFrame, key: str = "dedup_key", order: list[str] | None = None) -> DataFrame:
@@ -31,13 +31,12 @@ def drop_benign(df: DataFrame, benign: DataFrame, key: str = "dedup_key",
     are read, and only the probable hits are joined.
     """
     marks = cut_lineage(benign.select(key).where(F.col(key).isNotNull()).distinct())
-    salt = salt_by or ["event_ts_ns", "corr_id"]
     count = marks.count()
     if count > MOST_FILTERED:
-        return salted_join(df, marks, [key], "left_anti", salt)
+        return wide_join(df, marks, [key], "left_anti")
     known = maybe_in(df, marks, [key], count)
     passed = known.where("NOT _maybe").drop("_maybe")
-    return passed.unionByName(salted_join(known.where("_maybe").drop("_maybe"), marks, [key], "left_anti", salt))
+    return passed.unionByName(wide_join(known.where("_maybe").drop("_maybe"), marks, [key], "left_anti"))
 
 
 BITS_A_KEY = 16
@@ -93,7 +92,7 @@ def learn_profile(df: DataFrame, ts: str = "event_ts", minutes: float = 5) -> Da
     """Distinct behaviours of each workload in its own learning period, which
     starts with its first event. Tall rows: no list per workload is built."""
     start = df.groupBy("workload").agg(F.min(ts).alias("_start"))
-    joined = salted_join(df, start, ["workload"], "inner", [ts, "entry"])
+    joined = wide_join(df, start, ["workload"], "inner")
     end = F.col("_start") + F.make_interval(mins=F.lit(0), secs=F.lit(minutes * 60))
     return joined.where(F.col(ts) < end).select(*BEHAVIOUR).distinct()
 
@@ -101,7 +100,7 @@ def learn_profile(df: DataFrame, ts: str = "event_ts", minutes: float = 5) -> Da
 def deviations(df: DataFrame, profile: DataFrame, salt_by: list[str] | None = None) -> DataFrame:
     """Events whose behaviour is not in the profile, exact entries only."""
     known = profile.select(*BEHAVIOUR).distinct()
-    return salted_join(df, known, BEHAVIOUR, "left_anti", salt_by or ["event_ts"])
+    return wide_join(df, known, BEHAVIOUR, "left_anti")
 
 
 def _segments(path: Column) -> Column:
@@ -136,7 +135,7 @@ def deviations_wildcard(df: DataFrame, profile: DataFrame, salt_by: list[str] |
     # All ``/proc/<n>/…`` paths of a workload mask to one key: hot keys are split.
     hits = split_join(probes, known, ["workload", "kind", "_masked"], "left_semi", ["entry"],
                       rows_per_task).select(*BEHAVIOUR)
-    return salted_join(df, hits.distinct(), BEHAVIOUR, "left_anti", salt_by or ["event_ts"])
+    return wide_join(df, hits.distinct(), BEHAVIOUR, "left_anti")
 
 
 # Kind of behaviour -> name of the alert a deviation raises.

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.exact import floor_div
 from ..operators import baseline, bundles, normalize, observations, rules as rule_ops
-from ..operators.skew import salted_join
+from ..operators.skew import wide_join
 from ..session import cut_lineage, scratch_dir
 from ..sources import sinks
 from ..sources.rules import Rule
@@ -183,7 +183,7 @@ def profile_etl(stream: DataFrame, root: str, checkpoint: str, ts: str = "event_
         spark = batch.sparkSession
         first = batch.groupBy("workload").agg(F.min(ts).alias("start"))
         starts = _with_batch(first, f"{root}/profile_starts", batch_id).groupBy("workload").agg(F.min("start").alias("_start"))
-        dated = salted_join(batch, starts, ["workload"], "inner", [ts, "entry"])
+        dated = wide_join(batch, starts, ["workload"], "inner")
         learning = F.col(ts) < F.col("_start") + F.make_interval(mins=F.lit(0), secs=F.lit(minutes * 60))
         learned = _with_batch(dated.where(learning).select(*baseline.BEHAVIOUR).distinct(), f"{root}/profile", batch_id)
         judged = dated.where(~learning).drop("_start")
