@@ -27,21 +27,13 @@ def test_scored_bundle_broadcasts_only_the_pods(spark, testdata):
     assert {k.split("#")[0] for kind, k in joins if kind.startswith("Broadcast")} == {"remote_addr"}
 
 
-def test_an_id_hashes_its_parts_once(spark):
+def test_an_id_hashes_its_parts_once(spark, testdata):
     c = ids.object_id("bundle", F.col("id"), F.lit("x"))
     assert str(c).count("md5") == 1
-    plan = plan_of(catalogue.QUERIES["graph_edges"](spark, catalogue_data(spark)))
+    plan = plan_of(catalogue.QUERIES["graph_edges"](spark, testdata))
     assert all(line.count("md5") < 20 for line in plan.splitlines() if "transform(" in line)
 
 
-def catalogue_data(spark):
-    import os
-
-    if not os.path.isdir("/root/testdata/sf0.001"):
-        pytest.skip("tables not here")
-    return "/root/testdata/sf0.001"
-
-
 def test_gate_counts_are_those_of_every_pair(spark):
     logs = spark.createDataFrame([(f, c) for f in ("f", "g", None) for c in ("a tok 1", "tok", "x", None)] * 3,
                                  "function_name string, command_line string")
