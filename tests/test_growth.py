@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from watchfold.functions import ids
 from watchfold.operators import policies, rules, skew
-from watchfold.plans import catalogue
+from watchfold.plans import catalogue, standins
 
 
 def plan_of(df):
@@ -96,3 +96,18 @@ def test_a_batch_is_one_file_of_several_parts(spark, tmp_path):
     files = list((tmp_path / "ev").glob("*.parquet"))
     assert len(files) == catalogue.FILES
     assert all(pq.ParquetFile(f).num_row_groups > 3 for f in files)
+
+
+def test_one_row_group_of_events_is_work_for_several_tasks(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("user_id"),
+                                   F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    rows.union(rows).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    ev = standins.events(spark, str(tmp_path))
+    assert ev.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert ev.groupBy("event_id").count().where("count = 2").count() == 100
+    stream = catalogue._files_stream(spark, str(tmp_path / "events.parquet"), rows.schema)
+    tasks = []
+    stream.select(F.spark_partition_id().alias("p")).writeStream.foreachBatch(
+        lambda batch, _: tasks.append(batch.distinct().count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(
+        availableNow=True).start().awaitTermination()
+    assert max(tasks) > 4
