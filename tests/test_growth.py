@@ -111,3 +111,14 @@ def test_one_row_group_of_events_is_work_for_several_tasks(spark, tmp_path):
         lambda batch, _: tasks.append(batch.distinct().count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(
         availableNow=True).start().awaitTermination()
     assert max(tasks) > 4
+
+
+def test_matches_are_not_broadcast_to_the_rules(spark):
+    matches = spark.createDataFrame([(1, "a", "i1"), (2, "a", "i1"), (3, "b", "i2"), (4, None, "i2"), (5, "b", None)],
+                                    "pid int, key string, indicator_id string")
+    edges = spark.createDataFrame([("a", "i1", "t1"), ("b", "i2", "t2"), ("b", "i2", "t3")], "key string, source_ref string, target_ref string")
+    attacks = spark.createDataFrame([("a", "t1", "one"), ("b", "t2", "two"), ("b", "t2", "two")], "key string, attack_id string, attack_name string")
+    hit = rules.resolve_indicators(matches.repartition(3), edges, attacks)
+    plan = plan_of(hit)
+    assert plan.count("BroadcastHashJoin") == 2 and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert sorted((r.pid, r.attack_name) for r in hit.collect()) == [(1, "one"), (2, "one"), (3, "two"), (3, "two")]
