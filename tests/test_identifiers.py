@@ -215,3 +215,35 @@ def test_the_cases_show_every_policy():
 
     shown = {"list-syscalls" if n == "L" else n for names in oracles.TAKEN.values() for n in names.split()}
     assert shown == {p.name for p in POLICIES} and len(shown) == 32 and len(standins.POLICY_CASES) == 66
+
+
+def test_objects_of_plain_fields_are_not_parsed(spark):
+    from watchfold.functions import fingerprints
+
+    plain = {
+        '{"type":"process","id":"p","pid":7}': '{"pid":7,"type":"process"}',
+        '{"spec_version":"2","b":true,"a-b":-12,"type":"x y","a":"","created":"c","modified":"m"}':
+            '{"a":"","a-b":-12,"b":true,"type":"x y"}',
+        '{"id":"1","type":"i","id":"2"}': '{"type":"i"}',
+        '{"id_":"type","type":"id","ids":0}': '{"id_":"type","ids":0,"type":"id"}',
+    }
+    other = {
+        '{"type":"a", "n":1}': '{"n":1,"type":"a"}',
+        '{"type":"a","n":1.50}': '{"n":1.5,"type":"a"}',
+        '{"type":"a","n":-0}': '{"n":0,"type":"a"}',
+        '{"type":"\\u0061","l":[1,2]}': '{"l":[1,2],"type":"a"}',
+        '{"type":"a","n":null}': '{"type":"a"}',
+        '{"n":1,"type":"a","n":2}': '{"n":2,"type":"a"}',
+        '{"type":"b","type":"a"}': '{"type":"a"}',
+    }
+    rows = spark.createDataFrame([(t, p) for t, p in [*plain.items(), *other.items()]], "t string, p string")
+    got = fingerprints.with_object_fingerprint(rows, "t", "f", "kind").withColumn(
+        "print", fingerprints._plain_fields(F.col("t"))).collect()
+    for r in got:
+        assert r.f == hashlib.md5(r.p.encode()).hexdigest(), r.t
+        if r.t in plain:
+            assert "{" + r.print + "}" == r.p
+    assert [r.kind for r in got] == ["process", "x y", "i", "id", *["a"] * 5, "a", "b"]
+    long = "{" + ",".join(f'"f{i:05d}":{i}' for i in range(20_000)) + ',"type":"t"}'
+    rows = spark.createDataFrame([(long,)], "t string")
+    assert fingerprints.with_object_fingerprint(rows, "t", "f", "kind").first().f == hashlib.md5(long.encode()).hexdigest()

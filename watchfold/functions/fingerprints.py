@@ -92,6 +92,23 @@ def rule_alert_fingerprint(fields: Column) -> Column:
 # Object fields that do not count when two objects are compared.
 IGNORED_OBJECT_FIELDS = ["id", "created", "modified", "spec_version"]
 
+# A field whose text is its print: a plain name, and plain text, a whole number or a boolean.
+_NAME = "[A-Za-z0-9_-]+"
+_VALUE = r'(?:"[ !#-\[\]-~]*+"|-?[1-9][0-9]{0,17}+|0|true|false)'
+PLAIN_OBJECT = rf'\A\{{(?:"{_NAME}":{_VALUE}(?:,(?=")|(?=\}}\z)))*+\}}\z'
+KEPT_FIELD = rf'"(?!(?:{"|".join(IGNORED_OBJECT_FIELDS)})"){_NAME}":{_VALUE}'
+SAME_NAME_TWICE = rf'("{_NAME}":){_VALUE},\1'
+
+
+def _plain_fields(json_text: Column) -> Column:
+    """The sorted print of an object of plain fields without its ignored ones; null for any other.
+
+    In such an object a name in quotes before a colon is nothing but a field's name, and sorted
+    fields are sorted names: a quote sorts before all that a plain name can hold.
+    """
+    kept = F.array_join(F.array_sort(F.regexp_extract_all(json_text, F.lit(KEPT_FIELD), F.lit(0))), ",")
+    return F.when(json_text.rlike(PLAIN_OBJECT) & F.contains(json_text, F.lit('"type":"')), kept)
+
 
 def with_object_fingerprint(df: DataFrame, json_text: str, into: str, kind: str | None = None) -> DataFrame:
     """``df`` with a fingerprint of its object texts, and as ``kind`` their type.
@@ -100,12 +117,15 @@ def with_object_fingerprint(df: DataFrame, json_text: str, into: str, kind: str
     or in how numbers and spaces are written. Values of different type differ: ``1``, ``"1"`` and
     ``true`` are three values. Fields that are null do not count; of fields given twice the last does.
 
-    A variant prints keys sorted, numbers one way and text in quotes. Nearly always the ignored
+    Objects of plain fields alone are put in order as text. Others are parsed:
+    a variant prints keys sorted, numbers one way and text in quotes. Nearly always the ignored
     fields can be cut out of that print, each where its name and value stand and nothing else does;
     objects with a null, a field given twice or the same name and value further inside are put
     together from their fields one by one, to the same text.
     """
-    parsed = df.withColumn("_v", F.try_parse_json(json_text))
+    sorted_fields = df.withColumn("_s", _plain_fields(F.col(json_text)))
+    sorted_fields = sorted_fields.withColumn("_s", F.when(~F.col("_s").rlike(SAME_NAME_TWICE), F.col("_s")))
+    parsed = sorted_fields.withColumn("_v", F.when(F.col("_s").isNull(), F.try_parse_json(json_text)))
     names = [f"_f{i}" for i in range(len(IGNORED_OBJECT_FIELDS))]
     printed = parsed.withColumns({"_t": F.to_json("_v"), **{
         name: F.concat(F.lit(f'"{field}":'), F.to_json(F.try_variant_get("_v", f"$.{field}", "variant")))
@@ -117,10 +137,13 @@ def with_object_fingerprint(df: DataFrame, json_text: str, into: str, kind: str
         text = F.when(field.isNull(), text).otherwise(without)
         once_there = F.length(F.replace("_t", field)) == F.length("_t") - F.length(field)
         plain = plain & (field.isNull() | once_there)
-    whole = F.when(F.coalesce(plain, F.lit(False)), text).otherwise(_from_fields(F.col(json_text)))
-    extra = {} if kind is None else {kind: F.coalesce(
-        F.try_variant_get("_v", "$.type", "string"), F.get_json_object(json_text, "$.type"))}
-    return printed.withColumns({into: F.md5(whole), **extra}).drop("_v", "_t", *names)
+    whole = (F.when(F.col("_s").isNotNull(), F.concat(F.lit("{"), F.col("_s"), F.lit("}")))
+             .when(F.coalesce(plain, F.lit(False)), text).otherwise(_from_fields(F.col(json_text))))
+    after = F.substring_index("_s", '"type":"', -1)
+    extra = {} if kind is None else {kind: F.when(
+        F.col("_s").isNotNull(), F.substring_index(after, '"', 1)).otherwise(F.coalesce(
+            F.try_variant_get("_v", "$.type", "string"), F.get_json_object(json_text, "$.type")))}
+    return printed.withColumns({into: F.md5(whole), **extra}).drop("_s", "_v", "_t", *names)
 
 
 def _from_fields(json_text: Column) -> Column:
