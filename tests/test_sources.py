@@ -172,6 +172,14 @@ def test_a_store_grows_and_keeps_its_snapshots(spark, tmp_path):
         sinks._put(spark, f"{path}/log/{4:010d}.json", "{}")
 
 
+def test_small_slots_are_written_by_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "store")
+    sinks.upsert(spark, path, spark.range(200).select("id", F.lit(1).alias("t")), ["id"], ["t"], 40)
+    tasks = {file.name.split("-")[1] for file in tmp_path.glob("store/data/*/slot=*/part-*.parquet")}
+    assert len(tasks) > 1
+    assert sorted(r.id for r in sinks.read_store(spark, path).collect()) == list(range(200))
+
+
 def test_compacted_dates_read_the_same(spark, tmp_path):
     root, day = str(tmp_path), 86_400 * 10**9
     columns = [f.name for f in schemas.RESULT_TABLES["dns_events"][0].fields]

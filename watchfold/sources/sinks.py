@@ -138,7 +138,11 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str],
     if old is not None:
         fresh = latest_per_key(old.withColumn("slot", slot).select(fresh.columns).unionByName(fresh), keys, order)
     folder = f"{uuid.uuid4().hex}"
-    fresh.repartition("slot").write.partitionBy("slot").parquet(f"{path}/data/{folder}")
+    # A number of tasks of its own: small slots would be put together into one task, which then makes
+    # all their folders. Nobody reads the folder before the log names it, so tasks move files there.
+    tasks = min(grown, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (fresh.repartition(tasks, "slot").write.partitionBy("slot")
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{path}/data/{folder}"))
     sizes = spark.read.schema(fresh.schema).parquet(f"{path}/data/{folder}").groupBy("slot").count().collect()
     slots = {} if not state or grown != state["buckets"] else dict(state["slots"])
     slots.update({str(r["slot"]): [folder, r["count"]] for r in sizes})
