@@ -60,6 +60,30 @@ def test_context_pages_are_bounded_and_whole(spark):
     assert {p["lid"] for p in pages} == {x[0] for x in left}
 
 
+@pytest.mark.parametrize("seed,hot,page_size,run_rows", [(1, False, 4, 1000), (3, True, 4, 5), (5, True, 1, 1), (9, True, 7, 8)])
+def test_pages_cut_of_runs_are_those_of_the_pairs(spark, seed, hot, page_size, run_rows):
+    _, _, ldf, rdf = two_sides(spark, seed, hot)
+    odd = [(None, "a", 1), (None, "a", 1), (60, "a", None), (61, "a", 5000), (62, "b", 2), (62, "b", 2), (62, "c", 2),
+           (63, "a", 1), (63, "a", 9), (64, "a", 2), (64, "b", None), (65, "a", -30)] + [(66, "a", 3)] * 101
+    ldf = ldf.union(spark.createDataFrame(odd, ldf.schema))
+    rdf = rdf.union(spark.createDataFrame([(7, "a", None), (None, "a", 2), (3, "b", 2), (3, "b", 2)], rdf.schema)).drop("pod")
+    pairs = context.interval_join(ldf, rdf, "lt", "rt", W, salt_by=["rid"])
+    want = context.context_arrays(ldf, pairs, "lid", ["rt", "rid"], "spans", page_size)
+    got = context.context_arrays(ldf, rdf, "lid", ["rt", "rid"], "spans", page_size, ("lt", "rt", W), run_rows)
+    assert got.columns == want.columns and got.schema["page"].dataType == want.schema["page"].dataType
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_pairs_of_context_pages_are_not_shuffled(spark):
+    _, _, ldf, rdf = two_sides(spark, 9, hot=True)
+    near = ("lt", "rt", W)
+    pages = context._pages_of_runs(ldf, context._ids(ldf, "lid", "lt"), rdf, "lid", ["rt", "rid"], "spans", 4, near, 1000)
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join") < plan.index("Exchange")
+    with pytest.raises(ValueError):
+        context.context_arrays(ldf, rdf, "lid", ["rid", "rt"], "spans", 4, near)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, how):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(90)],
