@@ -74,6 +74,27 @@ def test_pages_cut_of_runs_are_those_of_the_pairs(spark, seed, hot, page_size, r
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_a_span_stands_in_one_run(spark):
+    """But for those at the borders of runs, which a page may need from the run before."""
+    spans = spark.range(3000).select((F.col("id") % 45).alias("rt"), F.col("id").cast("int").alias("rid"))
+    listed = context._runs(spans, ["rt", "rid"], W, 4, 100).collect()
+    assert sum(len(r["_listed"]) for r in listed) < 3200
+    assert max(len(r["_listed"]) for r in listed) < 210
+
+
+@pytest.mark.parametrize("page_size,run_rows", [(4, 20), (20, 20), (50, 50)])
+def test_pages_over_short_and_full_buckets(spark, page_size, run_rows):
+    rnd = random.Random(page_size)
+    times = [rnd.choice([rnd.randint(0, 40), rnd.randint(60, 90), rnd.randint(-300, 300)]) for _ in range(400)]
+    rdf = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "rid int, rt bigint")
+    alerts = [(i % 70, rnd.randint(-320, 320)) for i in range(70)]
+    ldf = spark.createDataFrame([*alerts, *alerts[:20], *alerts[:5]], "lid int, lt bigint")
+    pairs = context.interval_join(ldf, rdf, "lt", "rt", W, salt_by=["rid"])
+    want = context.context_arrays(ldf, pairs, "lid", ["rt", "rid"], "spans", page_size)
+    got = context.context_arrays(ldf, rdf, "lid", ["rt", "rid"], "spans", page_size, ("lt", "rt", W), run_rows)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_pairs_of_context_pages_are_not_shuffled(spark):
     _, _, ldf, rdf = two_sides(spark, 9, hot=True)
     near = ("lt", "rt", W)
