@@ -62,6 +62,41 @@ def test_indexed_counts_are_those_of_every_pair(spark):
     assert pairs[1] == 24 and pairs[2] == 4 and pairs[3] == 6 and pairs[4] == 2 and None not in pairs
 
 
+@pytest.mark.parametrize("few,broadcast,lengths", [(150, 1_000_000, 16), (0, 2, 16), (0, 1_000_000, 1)])
+def test_counts_of_plain_texts_are_those_of_every_pair(spark, monkeypatch, few, broadcast, lengths):
+    from watchfold.operators import rule_index
+
+    for name, value in (("FEW_PLAIN", few), ("MOST_BROADCAST", broadcast), ("MOST_LENGTHS", lengths)):
+        monkeypatch.setattr(rule_index, name, value)
+    texts = ["the cat sat on the cat", "a.cat", "aXcat", "é\u00e9\U0001f600cat", "\U0001f600", "c", "", "\n", None]
+    logs = spark.createDataFrame([(t, f) for t in texts for f in ("f", "g", None)] * 2, "command_line string, function_name string")
+    given = [r"a\.cat", "cat", "cat", "the cat", "é", "\U0001f600", "\U0001f600cat", "?cat", "c", "a.cat", "^c", "", "\n", r"\d", "dog", "}", r"\}", None]
+    rules = [(i, r, f) for i, r in enumerate(given) if r != "?cat" for f in (None, "f")]
+    table = spark.createDataFrame(rules, "key int, regex string, function_name string")
+    want = collections.Counter()
+    for key, regex, function in rules:
+        if regex is not None:
+            hit = logs.where(F.col("command_line").rlike(regex))
+            want[key] += (hit.where(F.col("function_name") == function) if function else hit).count()
+    got = rule_index.counts_indexed(logs, table).collect()
+    assert {r.key: r.n for r in got} == {k: n for k, n in want.items() if n}
+    plain = rule_index.counts_indexed(logs, table.drop("function_name"), function=None)
+    assert {r.key: r.n for r in plain.collect()} == {
+        i: 2 * logs.where(F.col("command_line").rlike(r)).count() for i, r in enumerate(given)
+        if r not in (None, "?cat") and logs.where(F.col("command_line").rlike(r)).count()}
+
+
+def test_pairs_of_plain_texts_are_not_made(spark, monkeypatch):
+    from watchfold.operators import rule_index
+
+    monkeypatch.setattr(rule_index, "match_indexed", None)  # what would pair them
+    logs = spark.range(40).select(F.concat(F.lit("log "), F.col("id").cast("string")).alias("command_line"))
+    rules = spark.range(40).select(F.col("id").alias("key"), F.concat(F.lit("log "), F.col("id").cast("string")).alias("regex"))
+    got = {r.key: r.n for r in rule_index.counts_indexed(logs, rules, function=None).collect()}
+    assert got == {i: 11 if 1 <= i <= 3 else 1 for i in range(40)}
+    assert rule_index.plain_text(r"a\.b") == "a.b" and rule_index.plain_text("a.b") is None and rule_index.plain_text(r"\d") is None
+
+
 @pytest.mark.parametrize("most", [0, 2_000])
 def test_rules_without_a_sure_text_as_rows(spark, monkeypatch, most):
     from watchfold.operators import rule_index
